@@ -15,10 +15,10 @@ distinct word shingles.  The join is exact and has these steps.
 3. Each list is scanned once.  Short lists give all pairs that pass the size
    and position filters; long ones give pairs with one pivot and keep their entries
    for step 5.  Lists of very frequent keys are salted and their pivots joined.
-4. Every class is verified against the pivot it shares most keys with, and
-   the verified links are resolved to groups.
+4. Every class is compared with the pivot it shares most keys with: first by counts of
+   hashes per range, which bound the overlap, then exactly.  The links are resolved to groups.
 5. Whatever pairs remain between *different* groups, of short and of long lists
-   alike, are verified too, and the groups are resolved again.  So a link
+   alike, are compared too, and the groups are resolved again.  So a link
    is only left out if its ends are known to be in one group already.
 
 Defined results: a text that is null, empty or without words has an empty set,
@@ -52,7 +52,10 @@ SALT_ENTRIES = 4096
 #: Postings that one reducing group holds in memory.
 GROUP_POSTINGS = 600_000
 
-_SCAN = "doc_id long, n long, ck long, chunk int, at binary, counts binary"
+#: Classes whose texts are fetched by broadcasting their ids; more are fetched by a merge join.
+FEW_IDS = 200_000
+
+_SCAN = "doc_id long, n long, ck long, bins binary, chunk int, at binary, counts binary"
 _FOUND = "kind int, key long, a long, b long, n int, pos int, shared int"
 
 
@@ -69,30 +72,63 @@ def class_key(hashes: np.ndarray) -> int:
     return int(tx.mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def bins_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each of 2**k equal ranges, about half as many ranges as hashes."""
+    k = max(3, int(len(hashes)).bit_length() - 2)
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """No two sets with these bins share more: a range shares the lesser count at most (255 may stand for any more)."""
+    if len(x) != len(y):
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = y.reshape(len(x), -1)
+        full = (y == 255).any(1)
+        y = np.where(full, 255, np.minimum(y.sum(1, dtype=np.int64), 255))
+    low = np.minimum(x, y)
+    return 1 << 62 if (low == 255).any() else int(low.sum(dtype=np.int64))
+
+
+def _likely(percent: int):
+    """Keeps the pairs whose bins allow the overlap that they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                over = -(-percent * (na + nb) // (100 + percent))
+                keep.append(overlap_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= over)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            n, ck = [], []
+            n, ck, bins = [], [], []
             for _, part in tx.slices(batch.column(1).to_pylist()):
                 sets = tx.sets_of_shingles(part, width)
                 n += [len(s) for s in sets]
                 ck += [class_key(s) for s in sets]
+                bins += [bins_of(s).tobytes() for s in sets]
                 if sets and (all_hashes := np.concatenate(sets)).size:
                     counts += np.bincount(all_hashes >> np.uint64(64 - SKETCH_BITS), minlength=len(counts)).astype(np.uint32)
             size = len(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ck, pa.int64(), mask=np.array(n) == 0) if size else pa.array([], pa.int64()),
-                 pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())],
-                names=["doc_id", "n", "ck", "chunk", "at", "counts"],
+                 pa.array(bins, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())],
+                names=["doc_id", "n", "ck", "bins", "chunk", "at", "counts"],
             )
         for k in range(len(counts) // CHUNK):
             part = counts[k * CHUNK : (k + 1) * CHUNK]
             at = np.flatnonzero(part).astype(np.uint16)
             if len(at):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64())] * 3 + [pa.array([k], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())],
-                    names=["doc_id", "n", "ck", "chunk", "at", "counts"],
+                    [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())],
+                    names=["doc_id", "n", "ck", "bins", "chunk", "at", "counts"],
                 )
 
     return run
@@ -252,20 +288,22 @@ def _scan_lists(percent: int):
 
 
 def _verify(width: int, percent: int):
+    def linked(rows: list[dict]) -> list[bool]:
+        out = []
+        sets = []
+        for _, part in tx.slices([t for r in rows for t in (r["ta"], r["tb"])]):
+            sets += tx.sets_of_shingles(part, width)
+        for row, a, b in zip(rows, sets[::2], sets[1::2], strict=True):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(100 * both >= percent * (len(a) + len(b) - both) and class_key(a) == row["a"] and class_key(b) == row["b"])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(2).to_pylist(), batch.column(3).to_pylist()]
-            texts = [t for pair in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True) for t in pair]
-            sets = []
-            for _, part in tx.slices(texts):
-                sets += tx.sets_of_shingles(part, width)
-            keep = []
-            for k, (x, y) in enumerate(zip(*keys, strict=True)):
-                a, b = sets[2 * k], sets[2 * k + 1]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both) and class_key(a) == x and class_key(b) == y)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                mask = pa.array(linked(part.to_pylist()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -276,7 +314,9 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scan = kept(docs.mapInArrow(_scan(width), _SCAN), "sets")
     rows = scan.where("chunk IS NULL").select("doc_id", "n", "ck")
-    classes = kept(rows.where("n > 0").groupBy("ck").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = kept(
+        scan.where("n > 0").groupBy("ck").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("bins").alias("bins")).where("rep IS NOT NULL"), "classes"
+    )
     level, salts = _levels(scan.where("chunk IS NOT NULL").select("chunk", "at", "counts"))
     sizes = {r["n"]: r["count"] for r in classes.where("n <= 64").groupBy("n").count().collect()}
     limit = boundary(sizes, percent, 2.0)
@@ -294,12 +334,17 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = best.union(joined.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
     def links(candidates: DataFrame, name: str) -> DataFrame:
-        reps = classes.where("rep IS NOT NULL").select("ck", "rep")
-        ids = candidates.join(reps.select(F.col("ck").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("ck").alias("b"), F.col("rep").alias("rb")), "b")
-        left = docs.select(F.col("doc_id").alias("ra"), F.col("text").alias("ta"))
-        right = docs.select(F.col("doc_id").alias("rb"), F.col("text").alias("tb"))
-        full = ids.join(left.hint("merge"), "ra").join(right.hint("merge"), "rb").select("ra", "rb", "a", "b", "ta", "tb")
-        return kept(full.mapInArrow(_verify(width, percent), "a long, b long"), name)
+        """The pairs of ids of those candidates that link."""
+        side = lambda x: classes.select(F.col("ck").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
+        likely = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "binsa", "binsb").mapInArrow(_likely(percent), "a long, b long")
+        rep = lambda x: classes.select(F.col("ck").alias(x), F.col("rep").alias(f"r{x}"))
+        likely = kept(likely.join(rep("a"), "a").join(rep("b"), "b").select("a", "b", "ra", "rb"), "likely")
+        ids = likely.select(F.col("ra").alias("id")).union(likely.select(F.col("rb").alias("id"))).distinct()
+        ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids.hint("merge")
+        texts = kept(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+        text = lambda x: texts.select(F.col("doc_id").alias(f"r{x}"), F.col("text").alias(f"t{x}"))
+        full = likely.join(text("a"), "ra").join(text("b"), "rb").select("ra", "rb", "a", "b", "ta", "tb")
+        return kept(full.mapInArrow(_verify(width, percent), "a long, b long").distinct(), name)
 
     sure = links(first, "links")
     group = kept(components(sure), "groups")
