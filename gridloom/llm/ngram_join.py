@@ -13,9 +13,9 @@ distinct word shingles.  The join is exact and has these steps.
    lists, which small sets near the boundary also enter.  The boundary is the
    one of least cost under the corpus' histogram of set sizes.
 3. Each list is scanned once.  Short lists give all pairs that pass the size
-   and position filters; long ones give pairs with one pivot and keep their entries
-   for step 5.  Lists of very frequent keys are salted and their pivots joined.
-4. Every class is compared with the pivot it shares most keys with: first by counts of
+   and position filters; long ones give pairs with one pivot, the set in which the key
+   stands first, and keep their entries for step 5.  Lists of very frequent keys are salted and their pivots joined.
+4. Every class is compared with the partner it shares most keys with: first by counts of
    hashes per range, which bound the overlap, then exactly.  The links are resolved to groups.
 5. Whatever pairs remain between *different* groups, of short and of long lists
    alike, are compared too, and the groups are resolved again.  So a link
@@ -247,7 +247,7 @@ def _scan_lists(percent: int):
         import pandas as pd
 
         key, ck, n, pos, kind = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("keys", np.uint64), ("ck", np.int64), ("n", np.int32), ("pos", np.int32), ("kind", np.int8)))
-        order = np.lexsort((ck, key))
+        order = np.lexsort((ck, pos, key))  # a list's pivot has the fewest rarer shingles, as an original has beside its edited copies
         key, ck, n, pos, kind = key[order], ck[order], n[order], pos[order], kind[order]
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ck[1:] != ck[:-1])))
         key, ck, n, pos, kind = key[fresh], ck[fresh], n[fresh], pos[fresh], kind[fresh]
@@ -274,7 +274,7 @@ def _scan_lists(percent: int):
         i, j = head[own], np.flatnonzero(own)
         star = (i != j) & passes(i, j)
         left, right = np.concatenate([*left, i[star]]).astype(np.int64), np.concatenate([*right, j[star]]).astype(np.int64)
-        pairs = pd.DataFrame({"a": ck[left], "b": ck[right]}).groupby(["a", "b"], sort=False).size().reset_index(name="shared")
+        pairs = pd.DataFrame({"a": np.minimum(ck[left], ck[right]), "b": np.maximum(ck[left], ck[right])}).groupby(["a", "b"], sort=False).size().reset_index(name="shared")
         parts = [pairs.assign(kind=0, key=None, n=None, pos=None)]
         stay = own | (salted & np.repeat(large, size))
         parts.append(pd.DataFrame({"kind": 1 + kind[stay].astype(np.int32), "key": key[stay].view(np.int64), "a": ck[stay], "b": None, "n": n[stay], "pos": pos[stay], "shared": None}))
@@ -326,12 +326,13 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = kept(packed.groupBy("g").applyInPandas(_scan_lists(percent), _FOUND), "found")
 
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    heads = found.where("kind = 9").select("key", "a", "n")
-    chosen = heads.groupBy("key").agg(F.min("a").alias("b"))
+    heads = found.where("kind = 9").select("key", "a", "pos")
+    chosen = heads.groupBy("key").agg(F.min_by("a", F.struct("pos", "a")).alias("b"))
     joined = heads.join(chosen, "key").where("a <> b").select("a", "b").distinct()
-    # Each class with the pivot it shares most with, and the pivots of one salted list.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    first = best.union(joined.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # Each class with the one it shares most keys with, and the pivots of one salted list.
+    both = pairs.union(pairs.select("b", "a", "shared"))
+    best = both.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).union(joined.select("a", "b"))
+    first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def links(candidates: DataFrame, name: str) -> DataFrame:
         """The pairs of ids of those candidates that link."""
