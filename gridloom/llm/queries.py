@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language, licenses, nearest, unigram, url_rules
 from .ngram_join import ngram_jaccard_join
 
+#: Where the public vocabulary files are; a parameter of the queries that read one.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,9 +39,60 @@ SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, CAST
 FROM w JOIN r ON r.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
 """
 
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: Fixed values of the query's contract: (verdict, host, path).
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose id its path names after the language: bad if of low quality or toxic."""
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
+    named = pages.select("url", F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS bigint)").alias("doc_id")).where("doc_id IS NOT NULL")
+    labelled = named.join(labels.where("quality IS NOT NULL OR toxic IS NOT NULL"), "doc_id").select("url", F.expr("coalesce(quality = 0, false) OR coalesce(toxic = 1, false)").alias("block"))
+    return url_rules.filter_urls(pages, labelled, URL_RULES)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Every document's piece ids, and whether decoding them gives the text back."""
+    model = f"{tokenizers}/piece_bpe_32k.model"
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = unigram.decode(unigram.encode(docs, model), model)
+    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids", F.expr(f"decoded <=> replace(text, '{unigram.MARK}', ' ')").alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_language_id": op5_language_id,
+    "op6_nearest": op6_nearest,
+    "op7_url_filter": op7_url_filter,
+    "op9_license_scan": op9_license_scan,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op6_nearest": OP6_SQL,
 }

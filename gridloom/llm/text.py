@@ -60,15 +60,16 @@ def slices(texts: Sequence[str | None], size: int = SLICE_BYTES) -> Iterator[tup
         yield first, held
 
 
-def words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: Sequence[bytes], inside_table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, each text's first word, and each word's byte span.
 
-    Text t owns words first[t] to first[t + 1]; spans count within the text.
+    Text t owns words first[t] to first[t + 1]; spans count within the text.  inside_table
+    tells of each byte whether it belongs to words, where that isn't the module's rule.
     """
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     begin = np.concatenate(([0], np.cumsum(lengths)))
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    inside = ~_IS_SEPARATOR[raw]
+    inside = ~_IS_SEPARATOR[raw] if inside_table is None else inside_table[raw]
     edge = np.diff(np.concatenate(([False], inside, [False])).view(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _power(len(raw) + 1)
