@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .store import bound_batches
 
 #: Notices that licenses ask to be given, by SPDX identifier and a number.
 TEMPLATES = {
@@ -139,6 +140,7 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.75, probability: float = 0.999) -> DataFrame:
     """(doc_id, license, template, share, start, end) for every occurrence of a template; offsets in code points."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = ["doc_id", "license", "template", "share", "start", "end"]
 

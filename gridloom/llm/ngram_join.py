@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import components, kept, partitions
+from .store import bound_batches, components, kept, partitions
 
 #: Counters of the shingle sketch (a fixed size) and the counters a row carries.
 SKETCH_BITS = 20
@@ -311,6 +311,7 @@ def _verify(width: int, percent: int):
 def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs; see the module for the method and the defined results."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scan = kept(docs.mapInArrow(_scan(width), _SCAN), "sets")
     rows = scan.where("chunk IS NULL").select("doc_id", "n", "ck")

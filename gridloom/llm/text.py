@@ -14,7 +14,7 @@ import numpy as np
 #: Bytes that separate words (space, tab to carriage return).
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that are hashed at once; bounds the memory of the arrays below.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _IS_SEPARATOR = np.zeros(256, bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bound_batches
+
 MARK = "▁"
 #: Fixed values of the model file: piece kinds and the kind of model whose scores are merge ranks.
 UNKNOWN, CONTROL, UNUSED, BYTE, BPE_MODEL = 2, 3, 5, 6, 2
@@ -313,6 +315,7 @@ def segmenter(pieces: Pieces) -> Segmenter:
 
 def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with a column of piece ids (array<int>) added, or put in place of a column of that name."""
+    bound_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))  # a vocabulary: its size doesn't depend on docs
     kept = [c for c in docs.columns if c != ids_col]
     place = kept.index(text_col)
