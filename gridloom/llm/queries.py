@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, nearest, unigram, url_rules
+from . import decontaminate, language, licenses, line_dedup, nearest, secret_scan, unigram, url_rules
 from .ngram_join import ngram_jaccard_join
 
 #: Where the public vocabulary files are; a parameter of the queries that read one.
@@ -40,6 +40,56 @@ FROM w JOIN r ON r.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.d
 """
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item", "containment")
+
+
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+v AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM benchmark),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM w WHERE len(ws) > 0),
+t AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM v WHERE len(ws) > 0),
+n AS (SELECT item_id, count(*) AS n_item FROM t GROUP BY item_id),
+p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM s JOIN t USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, CAST(n_shared AS DOUBLE) / n_item AS containment FROM p JOIN n USING (item_id) WHERE n_shared >= ceil(0.75 * n_item)
+"""
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    return line_dedup.dedup_lines(docs)
+
+
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+w AS (SELECT doc_id, pos, line, list_filter(list_distinct(string_split(line, ' ')), lambda x: x <> '') AS ws FROM l),
+f AS (
+  SELECT line, any_value(ws) AS ws, min((doc_id, pos)) AS o, row_number() OVER () AS k FROM w WHERE len(ws) >= 5 GROUP BY line),
+d AS (SELECT x, count(*) AS df FROM (SELECT unnest(ws) AS x FROM f) GROUP BY x),
+r AS (SELECT k, o, len(ws) AS n, x, row_number() OVER (PARTITION BY k ORDER BY df, x) AS i FROM (SELECT k, o, ws, unnest(ws) AS x FROM f) JOIN d USING (x)),
+c AS (
+  SELECT DISTINCT a.k AS ka, b.k AS kb FROM r a JOIN r b ON a.x = b.x AND a.o > b.o
+  WHERE a.i <= a.n - ceil(0.75 * a.n) + 1 AND b.i <= b.n - ceil(0.75 * b.n) + 1 AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+g AS (
+  SELECT DISTINCT ka FROM c JOIN f a ON a.k = ka JOIN f b ON b.k = kb
+  WHERE 100 * len(list_intersect(a.ws, b.ws)) >= 75 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))),
+stay AS (
+  SELECT doc_id, pos, line FROM w LEFT JOIN (SELECT o FROM f WHERE k NOT IN (SELECT ka FROM g)) h ON h.o = (w.doc_id, w.pos) WHERE len(ws) < 5 OR h.o IS NOT NULL)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(s.line, chr(10) ORDER BY s.pos), '') END AS text, CAST(len(string_split(d.text, chr(10))) AS INTEGER) AS n_lines
+FROM documents d LEFT JOIN stay s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.text
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs, language.learn(docs))
@@ -86,6 +136,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKEN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_nearest": op6_nearest,
     "op7_url_filter": op7_url_filter,
@@ -94,5 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
+    "op4_line_dedup": OP4_SQL,
     "op6_nearest": OP6_SQL,
 }

@@ -62,10 +62,10 @@ def _matches(pattern: str, group: int, least: int, extra: str = "") -> str:
     p = _quoted(pattern)
     kind = "array<struct<s:bigint,e:bigint,f:string,g:string>>"
     return f"""CASE WHEN text RLIKE {p} THEN transform(filter(aggregate(
-        arrays_zip(split(text, {p}, -1) AS p, regexp_extract_all(text, {p}, 0) AS f, regexp_extract_all(text, {p}, {group}) AS g),
+        arrays_zip(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), regexp_extract_all(text, {p}, {group})),
         named_struct('at', 0L, 'out', CAST(array() AS {kind})),
-        (a, z) -> named_struct('at', a.at + length(z.p) + coalesce(length(z.f), 0), 'out', CASE WHEN z.f IS NULL THEN a.out ELSE
-            concat(a.out, array(named_struct('s', a.at + length(z.p), 'e', a.at + length(z.p) + length(z.f), 'f', z.f, 'g', z.g))) END),
+        (a, z) -> named_struct('at', a.at + length(z.`0`) + coalesce(length(z.`1`), 0), 'out', CASE WHEN z.`1` IS NULL THEN a.out ELSE
+            concat(a.out, array(named_struct('s', a.at + length(z.`0`), 'e', a.at + length(z.`0`) + length(z.`1`), 'f', z.`1`, 'g', z.`2`))) END),
         a -> a.out), m -> length(m.g) >= {least}), m -> named_struct('s', m.s, 'e', m.e{extra}))
       ELSE array() END"""
 
