@@ -238,21 +238,25 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return fit([r for r, _ in drawn], [k for _, k in drawn])
 
 
-def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of docs."""
+def label(docs: DataFrame, net: Network, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with each text's language and score added, or put in place of columns of those names."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*(c for c in docs.columns if c not in (lang_col, score_col)))
+    names, place = [*rows.columns, lang_col, score_col], rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _labeller(net)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = own.label(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
-                )
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+                found = own.label(part.column(place).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=names)
+
+    schema = rows.withColumn(lang_col, F.lit(None).cast("string")).withColumn(score_col, F.lit(None).cast("double")).schema
+    return rows.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row of docs."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return label(rows, net).select("doc_id", "held_out", "lang_pred", "score")
