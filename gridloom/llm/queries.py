@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, line_dedup, nearest, secret_scan, unigram, url_rules
+from . import decontaminate, language, licenses, line_dedup, nearest, passages, secret_scan, unigram, url_rules
 from .ngram_join import ngram_jaccard_join
 
 #: Where the public vocabulary files are; a parameter of the queries that read one.
@@ -122,6 +122,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(pages, labelled, URL_RULES)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -142,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_nearest": op6_nearest,
     "op7_url_filter": op7_url_filter,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_license_scan": op9_license_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
