@@ -52,8 +52,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Documents with their piece ids, and as text what those decode to."""
     model = f"{tokenizers}/piece_bpe_32k.model"
-    encoded = unigram.encode(docs, model)
-    return unigram.decode(encoded, model, text_col="text").select(*docs.columns, F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids")
+    return unigram.encode_and_decode(docs, model, decoded_col="text").select(*docs.columns, F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids")
 
 
 STAGES = [

@@ -4,7 +4,7 @@ The network reads the lower-cased UTF-8 bytes of each run without white space
 forwards and backwards, labels every byte with probabilities of the learned
 languages, and a document's probabilities are the mean over all its bytes.  As
 the state starts anew at white space (and after `SPAN` bytes of one run), a run's
-labels depend on it alone, so each worker holds the sums of runs it has met.
+labels depend on it alone, so each task holds the sums of runs it has met.
 
 It is trained here, in numpy, by backpropagation through time, on runs drawn at
 random from the whole texts of a sample of labelled documents: those with the least
@@ -28,7 +28,7 @@ from .store import bound_batches
 
 #: The longest run of bytes that is read as one sequence.
 SPAN = 48
-#: Runs whose labels a worker holds before it starts afresh.
+#: Runs whose labels a task holds before it starts afresh.
 HELD_RUNS = 400_000
 UNDETERMINED = "und"
 
@@ -201,18 +201,6 @@ class Labeller:
         return out
 
 
-_labellers: dict[bytes, Labeller] = {}
-
-
-def _labeller(net: Network) -> Labeller:
-    """This worker's labeller of the network, kept between tasks."""
-    key = net.inputs.tobytes() + net.output.tobytes()
-    if key not in _labellers:
-        _labellers.clear()
-        _labellers[key] = Labeller(net)
-    return _labellers[key]
-
-
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, sample_runs: int = 40) -> Network:
     """A network of the languages in lang_col, from documents that are not held out; see the module for the sample."""
     bound_batches(docs.sparkSession)
@@ -245,7 +233,7 @@ def label(docs: DataFrame, net: Network, *, text_col: str = "text", lang_col: st
     names, place = [*rows.columns, lang_col, score_col], rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _labeller(net)
+        own = Labeller(net)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

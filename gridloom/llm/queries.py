@@ -134,7 +134,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKEN
     """Every document's piece ids, and whether decoding them gives the text back."""
     model = f"{tokenizers}/piece_bpe_32k.model"
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = unigram.decode(unigram.encode(docs, model), model)
+    both = unigram.encode_and_decode(docs, model)
     return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids", F.expr(f"decoded <=> replace(text, '{unigram.MARK}', ' ')").alias("round_trip"))
 
 

@@ -10,7 +10,7 @@ Spaces become U+2581 and one is put before the text, as in the model's own rules
 and none but a byte piece holds a line feed, which is checked on loading, the best
 segmentation of a text is that of its units side by side: units start at each
 run of spaces and stand around each line feed.  Units are segmented many at a time, and
-their results are held by each worker in a store of bounded size.
+their results are held by each task in a store of bounded size.
 
 Scores: a unigram model's are used as they stand.  A merge model (BPE) stores minus
 the rank of the merge instead; rank r then scores as the log of Zipf's law, -log((r + 1) * H).
@@ -42,7 +42,7 @@ UNKNOWN, CONTROL, UNUSED, BYTE, BPE_MODEL = 2, 3, 5, 6, 2
 UNKNOWN_PENALTY = 10.0
 #: Log scores are rounded to this fraction, so that sums are exact and ties are ties in any order of adding.
 SCORE_STEPS = 1 << 20
-#: Units whose segmentation a worker holds before it starts afresh, and the longest one handled in an array.
+#: Units whose segmentation a task holds before it starts afresh, and the longest one handled in an array.
 HELD_UNITS, LONG_UNIT = 500_000, 128
 
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
@@ -313,44 +313,50 @@ def segmenter(pieces: Pieces) -> Segmenter:
     return Segmenter(pieces)
 
 
-def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with a column of piece ids (array<int>) added, or put in place of a column of that name."""
-    bound_batches(docs.sparkSession)
-    pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))  # a vocabulary: its size doesn't depend on docs
-    kept = [c for c in docs.columns if c != ids_col]
-    place = kept.index(text_col)
+def _added(rows: DataFrame, model_path: str, source: str, ids_col: str | None, text_col: str | None) -> DataFrame:
+    """rows with the ids of column `source`, with the text of ids, or with both, in one pass."""
+    bound_batches(rows.sparkSession)
+    pieces = rows.sparkSession.sparkContext.broadcast(load_pieces(model_path))  # a vocabulary: its size doesn't depend on the rows
+    new = [c for c in (ids_col, text_col) if c]
+    kept = [c for c in rows.columns if c == source or c not in new]
+    place = kept.index(source)
+    out = [c for c in kept if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = segmenter(pieces.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = part.column(place).to_pylist()
-                ids = own.encode_batch([t or "" for t in texts])
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                missing = np.array([t is None for t in texts] + [False])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=missing), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*kept, ids_col])
-
-    source = docs.select(*kept)
-    schema = source.withColumn(ids_col, F.expr("CAST(NULL AS array<int>)")).schema
-    return source.mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    given, columns = part.column(place).to_pylist(), []
+                    if ids_col:
+                        ids = own.encode_batch([t or "" for t in given])
+                        offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                        missing = np.array([t is None for t in given] + [False])
+                        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                        columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=missing), pa.array(flat, pa.int32())))
+                        given = [None if t is None else x.tolist() for t, x in zip(given, ids, strict=True)]
+                    if text_col:
+                        columns.append(pa.array([None if x is None else own.decode([i for i in x if i is not None]) for x in given], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*(c for c, n in zip(part.columns, kept, strict=True) if n in out), *columns], names=[*out, *new])
+        finally:
+            own._forget()
+
+    kinds = {ids_col: "array<int>", text_col: "string"}
+    schema = rows.select(*out, *(F.lit(None).cast(kinds[c]).alias(c) for c in new)).schema
+    return rows.select(*kept).mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """docs with a column of piece ids (array<int>) added, or put in place of a column of that name."""
+    return _added(docs, model_path, text_col, ids_col, None)
 
 
 def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with the text of their piece ids added, or put in place of a column of that name."""
-    pieces = rows.sparkSession.sparkContext.broadcast(load_pieces(model_path))
-    kept = [c for c in rows.columns if c != text_col]
-    place = kept.index(ids_col)
+    return _added(rows, model_path, ids_col, None, text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segmenter(pieces.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [None if ids is None else own.decode([i for i in ids if i is not None]) for ids in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, text_col])
-
-    source = rows.select(*kept)
-    return source.mapInArrow(run, source.withColumn(text_col, F.expr("CAST(NULL AS string)")).schema)
+
+def encode_and_decode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """docs with piece ids and with the text that they decode to, in one pass."""
+    return _added(docs, model_path, text_col, ids_col, decoded_col)
