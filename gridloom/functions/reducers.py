@@ -31,7 +31,8 @@ def reducer(name: str, v: Column, wj: Column, wi: Column, rows: int, cols: int,
     whole = is_integer(dtype)
     seen = v.cast("double") if whole else present(v)
     nan = lambda c: c if whole else F.coalesce(c, F.lit(NAN))
-    mean = lambda c: F.rint(c) if whole else F.coalesce(c, F.lit(NAN))
+    # Rounded to nine digits first, so that the order of adding doesn't decide halves.
+    mean = lambda c: F.rint(F.round(c, 9)) if whole else F.coalesce(c, F.lit(NAN))
     if name == "center":
         return at(v, wj, wi, rows // 2, cols // 2)
     if name == "first":
