@@ -72,7 +72,8 @@ def contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text
     few = index.count() <= FEW_SKETCHES
     index = index.select("item_id", "value", "threshold")
     own = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), shingle_values(F.col("text"), width).alias("values"))
-    own = own.select("doc_id", "text_key", F.explode(F.filter("values", lambda v: v <= F.lit(top))).alias("value"))
+    # The outer form keeps the engine from making the values once more to see if there are any.
+    own = own.select("doc_id", "text_key", F.explode_outer(F.filter("values", lambda v: v <= F.lit(top))).alias("value"))
     met = own.join(F.broadcast(index) if few else index, "value").where("value <= threshold").select("doc_id", "text_key", "item_id").distinct()
     from .store import kept
 
@@ -81,7 +82,7 @@ def contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text
     keys = F.broadcast(keys) if keys.count() <= FEW_TEXTS else keys.hint("merge")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     texts = keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "text_key"])
-    held = texts.select("doc_id", "text_key", F.explode(shingles(F.col("text"), width)).alias("shingle"))
+    held = texts.select("doc_id", "text_key", F.explode_outer(shingles(F.col("text"), width)).alias("shingle"))
     wanted = items.select("item_id", shingles(F.col("item_text"), width).alias("all"))
     wanted = wanted.select("item_id", F.size("all").alias("n_item"), F.explode("all").alias("shingle"))
     own_pairs = pairs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("item_id").alias("i"))
