@@ -7,8 +7,6 @@ brings a target's pixels together again.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +85,3 @@ def gather(frame: GridFrame, targets: DataFrame, methods: dict[str, str], fills:
         fill = F.lit(fills[n]).cast("double" if is_integer(kind) and methods[n] != "nearest" and not truncate[n] else SPARK_TYPES[kind])
         out.append(F.when(F.col("sj").isNull(), fill).otherwise(value).alias(n))
     return held.select(*frame.leading, F.col("tj").alias("j"), F.col("ti").alias("i"), *out)
-
-
-def is_nan(x: float) -> bool:
-    return isinstance(x, float) and math.isnan(x)

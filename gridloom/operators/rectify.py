@@ -9,7 +9,6 @@ one aggregation with partial minima: no join compares ranges.
 
 from __future__ import annotations
 
-import math
 from dataclasses import replace
 from typing import Any
 
@@ -119,7 +118,3 @@ def rectify_dataset(source: GridFrame, target_gm: GridMapping | None = None, sou
     targets = cells.join(indices, ["j", "i"], "left")
     df = gather(frame, targets, methods, fills, ties="low", high="next", truncate={n: True for n in methods})
     return replace(frame, df=df, grid=target).with_spatial_ref()
-
-
-def is_nan(x: float) -> bool:
-    return math.isnan(x)

@@ -271,3 +271,48 @@ def grid_from_dataset(ds: Dataset, *, crs: CRS | str | None = None, tile_size: A
         if best := next((g for g in grids if rule(g)), None):
             return best
     return grids[0]
+
+
+def spatial_dims(ds: Dataset) -> tuple[str, str]:
+    """The names of a dataset's spatial dimensions: lon and lat, or else x and y."""
+    present = {d for v in ds.variables.values() for d in v.dims}
+    for pair_ in (("lon", "lat"), ("x", "y")):
+        if set(pair_) <= present:
+            return pair_
+    raise KeyError("No standard spatial dimensions found in dataset.")
+
+
+def grid_mapping_name(ds: Dataset) -> str | None:
+    """The one variable that describes the dataset's grid mapping, or None; several are an error."""
+    names = {v.attrs["grid_mapping"] for v in ds.variables.values() if "grid_mapping" in v.attrs}
+    names |= {n for n in ("crs", "spatial_ref") if n in ds.variables}
+    if len(names) > 1:
+        raise AssertionError(f"Multiple grid mapping names found: {sorted(names)}")
+    return next(iter(names), None)
+
+
+def normalized(ds: Dataset, grid: GridMapping) -> Dataset:
+    """ds with its grid mapping told by one variable, spatial_ref, that all spatial variables name."""
+    old = grid_mapping_name(ds)
+    y_x = (grid.xy_dim_names[1], grid.xy_dim_names[0])
+    kept = {
+        n: Variable(v.dims, {**v.attrs, "grid_mapping": "spatial_ref"} if tuple(v.dims[-2:]) == y_x else dict(v.attrs), v.values, v.chunks, v.size)
+        for n, v in ds.variables.items() if n != old
+    }
+    return Dataset({**kept, "spatial_ref": Variable((), grid.crs.to_cf())}, ds.attrs, ds.pixels)
+
+
+def frame_from_dataset(ds: Dataset, grid: GridMapping | None = None, *, side: Mapping[str, DataFrame] | None = None) -> Any:
+    """A GridFrame of ds's variables whose last dimensions are (y, x).
+
+    Variables without spatial dimensions stand beside it, as far as `side` has their tables; those with one
+    spatial dimension only, or with transposed ones, are left out.
+    """
+    from .frame import GridFrame
+
+    grid = grid or grid_from_dataset(ds)
+    y_x = (grid.xy_dim_names[1], grid.xy_dim_names[0])
+    own = [n for n, v in ds.variables.items() if tuple(v.dims[-2:]) == y_x and n not in grid.xy_var_names]
+    leading = tuple(dict.fromkeys(d for n in own for d in ds.variables[n].dims[:-2]))
+    beside = {n: t for n, t in (side or {}).items() if n in ds.variables and not set(ds.variables[n].dims) & set(y_x)}
+    return GridFrame.from_dataframe(ds.pixels, grid, variables=own, leading=leading, side=beside, attrs=ds.attrs)

@@ -7,7 +7,9 @@ from samples import regular, swath_2x2
 
 from gridloom.plans.crs import CRS, CRS_CRS84, CRS_WGS84, project, project_bounds, project_point
 from gridloom.plans.grid import GridMapping, from_lon_360, number, round_to_fraction, to_lon_360
-from gridloom.sources.infer import Dataset, Variable, chunk_sizes, find_grid_mappings, grid_from_axes, grid_from_dataset, grid_from_pixels, xy_bbox_of
+from gridloom.sources.infer import (
+    Dataset, Variable, chunk_sizes, find_grid_mappings, frame_from_dataset, grid_from_axes, grid_from_dataset, grid_from_pixels, grid_mapping_name, normalized, spatial_dims, xy_bbox_of,
+)
 
 PLANE = CRS.from_any("EPSG:5243")
 WORLD = regular((720, 360), (-180, -90), 0.5, tile_size=(360, 180))
@@ -202,3 +204,17 @@ def test_preference_of_two_grids(spark):
     assert not grid_from_dataset(ds).crs.is_geographic
     assert grid_from_dataset(ds, prefer_is_regular=False).crs.is_geographic
     assert grid_from_dataset(ds, prefer_crs="EPSG:4326").crs.is_geographic
+
+
+def test_datasets_as_frames(spark):
+    pixels = spark.createDataFrame([(t, j, i, float(i)) for t in "ab" for j in range(3) for i in range(3)], "time string, j long, i long, v double")
+    ds = Dataset({"lon": Variable(("lon",), {}, X.values), "lat": Variable(("lat",), {}, Y.values), "v": Variable(("time", "lat", "lon")), "crs": Variable((), {"grid_mapping_name": "latitude_longitude"}), "series": Variable(("time",)), "t": Variable(("lon", "lat"))}, {"title": "q"}, pixels)
+    assert spatial_dims(ds) == ("lon", "lat") and grid_mapping_name(ds) == "crs"
+    frame = frame_from_dataset(ds, side={"series": spark.range(2), "t": spark.range(1)})
+    assert list(frame.variables) == ["v"] and frame.leading == ("time",) and list(frame.side) == ["series"] and frame.attrs["title"] == "q"
+    told = normalized(ds, frame.grid)
+    assert "crs" not in told.variables and told.variables["v"].attrs["grid_mapping"] == "spatial_ref" and grid_mapping_name(told) == "spatial_ref"
+    with pytest.raises(KeyError):
+        spatial_dims(Dataset({"v": Variable(("r", "s"))}))
+    with pytest.raises(AssertionError, match="Multiple grid mapping names"):
+        grid_mapping_name(Dataset({"a": Variable((), {"grid_mapping": "p"}), "crs": Variable()}))
