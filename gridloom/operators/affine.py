@@ -80,7 +80,9 @@ def _sample(frame: GridFrame, matrix: Matrix, size: tuple[int, int], names: list
     width, height = size
     rows = axis_table(frame, ys, yo, height, frame.grid.height, "tj", "j", "wy", method)
     cols = axis_table(frame, xs, xo, width, frame.grid.width, "ti", "i", "wx", method)
-    source = frame.df.select(*frame.leading, "j", "i", *names)
+    # The lines that targets can reach, as ranges that a scan can be told of.
+    reach = lambda scale, offset, n: (math.floor(min(offset, offset + scale * (n - 1))) - 1, math.ceil(max(offset, offset + scale * (n - 1))) + 1)
+    source = frame.df.where(F.col("j").between(*reach(ys, yo, height)) & F.col("i").between(*reach(xs, xo, width))).select(*frame.leading, "j", "i", *names)
     fed = source.join(_axis(rows, 2 * height), "j").join(_axis(cols, 2 * width), "i")
     cells = target_cells(frame, width, height).withColumnsRenamed({"j": "tj", "i": "ti"})
     fed = fed.select(*frame.leading, "tj", "ti", (F.col("wy") * F.col("wx")).alias("w"), *names)

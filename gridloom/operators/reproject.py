@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 from typing import Any
 
@@ -31,6 +32,16 @@ def _scaled_down(frame: GridFrame, target: GridMapping, interp_methods: Any, agg
     return affine_transform_dataset(frame, coarse, interp_methods=downscale_methods(interp_methods), agg_methods=agg_methods, recover_nans=recover_nans)
 
 
+def _within(frame: GridFrame, target: GridMapping) -> GridFrame:
+    """The frame's pixels near the target's bounds, by ranges of rows and columns that a scan can be told of."""
+    grid = frame.grid
+    x0, y0, x1, y1 = project_bounds(target.crs, grid.crs, target.xy_bbox)
+    dx, dy = 2 * grid.x_res + 0.1 * (x1 - x0), 2 * grid.y_res + 0.1 * (y1 - y0)
+    columns = [math.floor((x - grid.x_min) / grid.x_res) for x in (x0 - dx, x1 + dx)]
+    rows = [math.floor((grid.y_max - y) / grid.y_res) for y in (y1 + dy, y0 - dy)]
+    return replace(frame, df=frame.df.where(F.col("j").between(*rows) & F.col("i").between(*columns)))
+
+
 def reproject_dataset(source: GridFrame, target_gm: GridMapping, source_gm: GridMapping | None = None, *, variables: Any = None, interp_methods: Any = None, agg_methods: Any = None, recover_nans: Any = False, fill_values: Any = None) -> GridFrame:
     """A frame on a regular target grid of another reference system."""
     frame = source if source_gm is None else replace(source, grid=source_gm)
@@ -44,5 +55,5 @@ def reproject_dataset(source: GridFrame, target_gm: GridMapping, source_gm: Grid
     centres = project(target_gm.pixel_frame(frame.df.sparkSession), target_gm.crs, grid.crs)
     index = lambda c, low, res: (F.col(c) - F.lit(float(low))) / F.lit(float(res))
     targets = centres.select("j", "i", index("y", grid.y_max - grid.y_res / 2, -grid.y_res).alias("sj"), index("x", grid.x_min + grid.x_res / 2, grid.x_res).alias("si"))
-    df = gather(frame, targets, methods, fills, ties="even", high="ceil", truncate={n: m == "triangular" for n, m in methods.items()})
+    df = gather(_within(frame, target_gm), targets, methods, fills, ties="even", high="ceil", truncate={n: m == "triangular" for n, m in methods.items()})
     return replace(frame, df=df, grid=target_gm).with_spatial_ref()

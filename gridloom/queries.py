@@ -413,6 +413,17 @@ def inferred_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, w long, h long, x_res double, y_res double, x0 double, y0 double, x1 double, y1 double, regular boolean, up boolean")
 
 
+#: The swath's cells are all alike: their edge, between the least and the largest, rounds to a tenth of a degree.
+GRIDS_SQL = f"""WITH g(name, w, h, x_res, y_res, x0, y0, x1, y1, regular, up) AS (
+    SELECT 'axes', 8, 5, 0.5, 0.25, 10 - 0.25, 50 - 4 * 0.25 - 0.125, 10 + 7 * 0.5 + 0.25, 50 + 0.125, true, false
+    UNION ALL SELECT 'uneven', 4, 3, median(dx), 2.25, -median(dx) / 2, -2.25 / 2, 3.5 + median(dx) / 2, 4.5 + 2.25 / 2, false, true FROM (VALUES (1.0), (1.5), (1.0)) d(dx)
+    UNION ALL SELECT 'swath', {SWATH[1]}, {SWATH[0]}, 0.1, 0.1, min(x) - 0.05, min(y) - 0.05, max(x) + 0.05, max(y) + 0.05, false, false FROM (SELECT {LON} AS x, {LAT} AS y FROM (SELECT unnest(range({SWATH[0]})) AS j), (SELECT unnest(range({SWATH[1]})) AS i))
+    UNION ALL SELECT 'scaled', 32, 8, 2.0, 4.0, 0, 0, 64, 32, true, false)
+  SELECT name, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, CAST(x_res AS DOUBLE) AS x_res, CAST(y_res AS DOUBLE) AS y_res, round(CAST(x0 AS DOUBLE), 6) AS x0, round(CAST(y0 AS DOUBLE), 6) AS y0, round(CAST(x1 AS DOUBLE), 6) AS x1, round(CAST(y1 AS DOUBLE), 6) AS y1, regular, up FROM g
+  UNION ALL SELECT 'regular', CAST(round_even((x1 - x0 + 0.1) / 0.1, 0) AS BIGINT), CAST(round_even((y1 - y0 + 0.1) / 0.1, 0) AS BIGINT), 0.1, 0.1, round(CAST(x0 AS DOUBLE), 6), round(CAST(y0 AS DOUBLE), 6),
+    round(CAST(x0 + 0.1 * round_even((x1 - x0 + 0.1) / 0.1, 0) AS DOUBLE), 6), round(CAST(y0 + 0.1 * round_even((y1 - y0 + 0.1) / 0.1, 0) AS DOUBLE), 6), true, false FROM g WHERE name = 'swath'"""
+
+
 def _project(crs: CRS) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lonlat = image(spark, sf_dir).df.select("j", "i", F.expr("6.0e0 + 0.1e0 * i").alias("x"), F.expr("47.0e0 + 0.015e0 * (j % 500)").alias("y"))
@@ -452,6 +463,6 @@ ORACLE_SQL: dict[str, str] = {
     "resample_auto_affine": _affine_sql("affine_bilinear"), "resample_auto_reproject": _reproject_sql("bilinear"), "resample_auto_rectify": _rectify_sql("nearest"),
     "resample_auto_same": f"SELECT j, i, round(v, 6) AS v FROM {IMAGE_SQL}",
     "clip_bbox": CLIP_SQL, "select_variables": f"SELECT j, i, q FROM {IMAGE_SQL}", "tile_boxes": TILES_SQL, "pixel_blocks": BLOCKS_SQL, "to_coords": COORDS_SQL, "ij_boxes": IJ_BOXES_SQL, "xy_box": XY_BOX_SQL,
-    "lon_wraps": LON_SQL, "index_transforms": INDEX_SQL,
+    "lon_wraps": LON_SQL, "index_transforms": INDEX_SQL, "inferred_grids": GRIDS_SQL,
     **{f"project_{n}": _project_sql(CRS.from_any(c)) for n, c in (("utm", "EPSG:32632"), ("laea", "EPSG:3035"), ("lcc", "EPSG:3034"), ("mercator", "EPSG:3857"))},
 }
