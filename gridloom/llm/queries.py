@@ -64,6 +64,56 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def _matches_sql(pattern: str, group: int) -> str:
+    """DuckDB: (rid, s, f, g) of a pattern's matches, with offsets from the texts between them."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT rid, m.s AS s, m.s + length(m.f) AS e, m.f AS f, m.g AS g FROM (
+      SELECT rid, unnest(list_transform(range(1, len(f) + 1), lambda i: {{'f': f[i], 'g': g[i],
+        's': CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT)}})) AS m
+      FROM (SELECT rid, string_split_regex(text, {p}) AS p, regexp_extract_all(text, {p}, 0) AS f, regexp_extract_all(text, {p}, {group}) AS g FROM d) WHERE len(f) > 0)"""
+
+
+def _secrets_sql() -> str:
+    kinds = " UNION ALL ".join(f"SELECT rid, {k} AS k, s, e FROM ({_matches_sql(pattern, group)}) WHERE length(g) >= {least}" for k, (_, pattern, group, least) in enumerate(secret_scan.BASE))
+    names = "CASE k " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(secret_scan.KINDS)) + " END"
+    alphabet = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{a}'" for p, a in secret_scan.ENCODINGS[:-1]) + f" ELSE '{secret_scan.ENCODINGS[-1][1]}' END"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({kinds}),
+c AS (SELECT c, sum(length(l) - length(replace(l, c, ''))) AS n FROM (SELECT lower(text) AS l FROM d), (SELECT unnest(string_split('{secret_scan.SYMBOLS}', '')) AS c) GROUP BY c),
+lg AS (SELECT c, ln((n + 1) / (sum(n) OVER () + {len(secret_scan.SYMBOLS)})) AS lg FROM c UNION ALL SELECT unnest(['+', '/']), ln(0.001)),
+t AS (SELECT row_number() OVER () AS tid, rid, s, e, t, {alphabet} AS abc FROM (SELECT *, translate(f, '-_', '+/') AS t FROM ({_matches_sql(secret_scan.CANDIDATE, 0)}))),
+r AS (
+  SELECT tid, sum(-ln(CASE WHEN length(abc) = 64 AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]') THEN length(abc) - 26 ELSE length(abc) END) - lg) AS ratio
+  FROM (SELECT *, unnest(string_split(lower(t), '')) AS c FROM t) JOIN lg USING (c) GROUP BY tid),
+v AS (SELECT *, CAST(len(v) AS DOUBLE) AS n, CAST(list_sum(v) AS DOUBLE) / len(v) AS mean FROM (SELECT *, list_transform(string_split(t, ''), lambda x: instr(abc, x) - 1) AS v, CAST(length(abc) AS DOUBLE) AS k FROM t)),
+b AS (
+  SELECT *, list_sum(list_transform(list_distinct(v), lambda x: pow(len(list_filter(v, lambda y: y = x)), 2))) AS sq,
+    2.0 * len(list_filter(v, lambda y: y >= k / 2)) * (n - len(list_filter(v, lambda y: y >= k / 2))) AS x,
+    len(list_filter(range(2, len(v) + 1), lambda i: (v[i] >= k / 2) <> (v[i - 1] >= k / 2))) AS turns,
+    list_sum(list_transform(v, lambda y: (y - mean) * (y - mean))) AS den,
+    list_sum(list_transform(range(2, len(v) + 1), lambda i: (v[i] - mean) * (v[i - 1] - mean))) AS num FROM v),
+j AS (
+  SELECT rid, s, e, CAST(floor(log2(length(t))) AS INTEGER) AS len, CAST(least(greatest(floor(4 * ratio / ln(10)), 0), {secret_scan.DECADES}) AS INTEGER) AS p,
+    pow((k / n * sq - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n), 2) < 8.615 AND x * (x - n) > 0 AND den > 0
+    AND CASE WHEN x * (x - n) > 0 THEN pow((turns - x / n) / sqrt(x * (x - n) / (n * n * (n - 1))), 2) < 8.615 END
+    AND CASE WHEN den > 0 THEN pow((num / den + 1 / (n - 1)) * sqrt(n), 2) < 8.615 END AS random
+  FROM b JOIN r USING (tid)),
+bars AS (SELECT len, min(p) AS bar FROM (SELECT len, p, count(*) OVER (PARTITION BY len ORDER BY p DESC) AS over, count(*) OVER (PARTITION BY len) AS total FROM j) WHERE pow(10, -p / 4.0) <= 0.05 * over / total GROUP BY len),
+added AS (
+  SELECT rid, {len(secret_scan.BASE)} AS k, s, e FROM j JOIN bars USING (len) WHERE random AND p >= bar
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.rid = j.rid AND base.s < j.e AND j.s < base.e)),
+a AS (SELECT rid, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY rid),
+n AS (
+  SELECT rid, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS base FROM base GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(n.base, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+FROM d LEFT JOIN n USING (rid) LEFT JOIN a USING (rid)
+"""
+
+
+OP3_SQL = _secrets_sql()
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
     return line_dedup.dedup_lines(docs)
@@ -153,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
+    "op3_secret_scan": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_nearest": OP6_SQL,
 }

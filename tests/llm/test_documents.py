@@ -387,3 +387,22 @@ def test_alignment_counts_equal_words(name):
     a0, a1, b0, b1, equal = passages.align(a, b, x, y, 8)
     assert (a0, a1, b0, b1) == (0, 120, 0, len(b))
     assert equal == (117 if name == "a" else 120)
+
+
+def test_secret_sql_agrees_on_random_tokens(spark):
+    import duckdb
+    import pandas as pd
+
+    from gridloom.llm.queries import OP3_SQL
+
+    rng = random.Random(14)
+    kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdefghijklmnopqrstuvwxyz"]
+    texts = []
+    for i in range(120):
+        token = "".join(rng.choice(kinds[i % 4]) for _ in range(rng.randrange(20, 60))) if i % 3 else "".join(prose(rng, rng.randrange(5, 9)))
+        texts.append(" ".join(prose(rng, 20)) + f" é😀 token={token} " + token + "\n" + " ".join(prose(rng, 20)))
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    want = {r.doc_id: r.spans for r in duckdb.query(OP3_SQL).df().itertuples()}
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan_secrets(frame(spark, texts))).collect()}
+    assert got == want and len(documents) == len(got)
+    assert sum("random" in s for s in got.values()) > 20
