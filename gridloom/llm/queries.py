@@ -172,6 +172,38 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(pages, labelled, URL_RULES)
 
 
+def _urls_sql() -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lower.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
+    path = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    fits = " UNION ALL ".join(
+        f"SELECT rid, '{h}{p}' AS rule, '{v}' AS verdict FROM p WHERE (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for v, h, p in URL_RULES
+    )
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, url, {host} AS host, {path} AS path FROM pages),
+fit AS (SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM ({fits}) GROUP BY rid),
+u AS (SELECT DISTINCT url, host, path, string_split(host, '.') AS parts FROM p WHERE contains(url, '://')),
+t AS (
+  SELECT url, list_sort(list_distinct(list_concat(['scheme:' || regexp_extract(url, '(?s)^(.*?)://', 1)],
+    list_transform(range(1, len(parts) + 1), lambda i: 'host:' || array_to_string(parts[i:], '.')),
+    list_transform(list_filter(string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/'), lambda s: s <> ''), lambda s: 'path:' || s),
+    list_transform(regexp_extract_all(regexp_extract(url, '\\?([^#]*)', 1), '(?:^|&)([^=&]+)', 1), lambda s: 'query:' || s)))) AS t FROM u),
+l AS (
+  SELECT p.url, coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS block FROM p JOIN labels ON doc_id = try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT)
+  WHERE quality IS NOT NULL OR toxic IS NOT NULL),
+n AS (SELECT count(*) AS total, CASE WHEN count(*) FILTER (block) >= 20 THEN ceil(greatest(0.002, 20 / count(*)) * count(*)) END AS least FROM l),
+s AS (SELECT list_filter(t, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS items, block FROM (SELECT t, block, unnest(range(1, 1 << len(t))) AS mask FROM l JOIN t USING (url))),
+f AS (SELECT items, count(*) FILTER (block) / count(*) AS confidence FROM s GROUP BY items HAVING count(*) FILTER (block) >= (SELECT least FROM n) AND count(*) FILTER (block) / count(*) >= 0.6),
+r AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE len(g.items) = len(f.items) - 1 AND list_has_all(f.items, g.items) AND g.confidence >= f.confidence)),
+h AS (SELECT url, max(confidence) AS confidence FROM t JOIN r ON list_has_all(t.t, r.items) GROUP BY url)
+SELECT page_id, host, path, rule, coalesce(fit.verdict, CASE WHEN confidence IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN confidence END AS confidence
+FROM p LEFT JOIN fit USING (rid) LEFT JOIN h USING (url)
+"""
+
+
+OP7_SQL = _urls_sql()
+
+
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -180,6 +212,34 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def _licenses_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    templates = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in licenses.TEMPLATES.items())
+    word = r"'[0-9A-Za-z\x{80}-\x{10FFFF}]+'"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    runs = lambda key: f"w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g, lead(s + fl, 4) OVER o AS e4"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents WHERE text IS NOT NULL),
+f AS (SELECT id, string_split_regex(text, {word}) AS p, regexp_extract_all(text, {word}) AS f FROM d),
+w AS (SELECT id, n, {lower.format('w')} AS w, sum(pl) OVER o + coalesce(sum(fl) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, fl FROM (
+    SELECT id, n, w, length(w) AS fl, length(p) AS pl FROM (SELECT id, unnest(range(len(f))) AS n, unnest(f) AS w, unnest(p[1:len(f)]) AS p FROM f)) WINDOW o AS (PARTITION BY id ORDER BY n)),
+g AS (SELECT * FROM (SELECT id, n, s, {runs('id')} FROM w WINDOW o AS (PARTITION BY id ORDER BY n)) WHERE g IS NOT NULL),
+tw AS (SELECT name AS id, unnest(range(len(f))) AS n, {lower.format('unnest(f)')} AS w, 0 AS s, 0 AS fl FROM (SELECT name, regexp_extract_all(t, {word}) AS f FROM (VALUES {templates}) v(name, t))),
+tg AS (SELECT DISTINCT id AS name, g FROM (SELECT id, {runs('id')} FROM tw WINDOW o AS (PARTITION BY id ORDER BY n)) WHERE g IS NOT NULL),
+tn AS (SELECT name, count(*) AS total, CAST(floor(log2(count(*))) AS INTEGER) AS part FROM tg GROUP BY name),
+tc AS (SELECT name, total, max(total) OVER (PARTITION BY part) AS block FROM tn),
+m AS (SELECT id, name, total, n, s, e4, tg.g, unnest([n // block - 1, n // block]) AS win FROM g JOIN tg USING (g) JOIN tc USING (name)),
+h AS (SELECT id, name, win, count(DISTINCT g) / total AS share, min(n) AS a, max(n) AS z, min(s) AS s, max(e4) AS e FROM m WHERE win >= 0 GROUP BY id, name, win, total HAVING count(DISTINCT g) >= 0.75 * total),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY id, name ORDER BY a, z) AS grp FROM (
+    SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY id, name ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM h))
+SELECT doc_id, string_split(name, '#')[1] AS license, name AS template, CAST(max(share) AS DOUBLE) AS share, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS end
+FROM i JOIN d USING (id) GROUP BY id, doc_id, name, grp
+"""
+
+
+OP9_SQL = _licenses_sql()
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Every document's piece ids, and whether decoding them gives the text back."""
     model = f"{tokenizers}/piece_bpe_32k.model"
@@ -206,4 +266,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_nearest": OP6_SQL,
+    "op7_url_filter": OP7_SQL,
+    "op9_license_scan": OP9_SQL,
 }
