@@ -115,7 +115,10 @@ def test_bounds_by_bins_never_fall_short():
         assert ngram_join.overlap_bound(ngram_join.bins_of(x), ngram_join.bins_of(y)) >= len(np.intersect1d(x, y))
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("bar,level", [(64, 3), (2, 1)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, bar, level):
+    monkeypatch.setattr(line_dedup, "LEAST_BAR", bar)
+    monkeypatch.setattr(line_dedup, "HOT_LEVEL", level)
     rng = random.Random(4)
     lines = []
     for size in (5, 6, 8, 12, 20, 40, 90):
