@@ -29,7 +29,7 @@ from .store import bound_batches
 #: The longest run of bytes that is read as one sequence.
 SPAN = 48
 #: Runs whose labels a task holds before it starts afresh.
-HELD_RUNS = 400_000
+HELD_RUNS = 200_000
 UNDETERMINED = "und"
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import bound_batches, components, kept, partitions
+from .store import bound_batches, components, dropped, kept, partitions
 
 #: Counters of the shingle sketch (a fixed size) and the counters a row carries.
 SKETCH_BITS = 20
@@ -346,7 +346,9 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         texts = kept(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
         text = lambda x: texts.select(F.col("doc_id").alias(f"r{x}"), F.col("text").alias(f"t{x}"))
         full = likely.join(text("a"), "ra").join(text("b"), "rb").select("ra", "rb", "a", "b", "ta", "tb")
-        return kept(full.mapInArrow(_verify(width, percent), "a long, b long").distinct(), name)
+        found = kept(full.mapInArrow(_verify(width, percent), "a long, b long").distinct(), name)
+        dropped(likely, texts)
+        return found
 
     sure = links(first, "links")
     group = kept(components(sure), "groups")
@@ -359,9 +361,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     far = lists.alias("x").join(lists.alias("y"), F.expr(
         f"x.key = y.key AND x.c < y.c AND NOT (x.kind = 3 AND y.kind = 3) AND least(x.n - x.pos, y.n - y.pos) >= ceil({percent} * (x.n + y.n) / {100 + percent})"
     )).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
-    rest = kept(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(far).distinct(), "rest")
-    if not rest.isEmpty():
-        more = links(rest, "links")
+    rest_of_all = kept(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(far).distinct(), "rest")
+    dropped(found, lists)
+    if not rest_of_all.isEmpty():
+        more = links(rest_of_all, "links")
         if not more.isEmpty():
             group = kept(components(sure.union(more)), "groups")
     named = classes.join(group.select(F.col("id").alias("rep"), "component"), "rep", "left").select("ck", F.coalesce("component", "rep").alias("component_id"))

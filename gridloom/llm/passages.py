@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import bound_batches, kept, partitions
+from .store import bound_batches, dropped, kept, partitions
 
 #: Occurrences of a seed in one batch from which only the first is sent on, and seeds a reducing group holds.
 FREQUENT, GROUP_SEEDS = 48, 600_000
@@ -296,6 +296,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ordered = matches.repartition(partitions(spark), "doc", "src").sortWithinPartitions("doc", "src", "x", "y")
     chained = kept(ordered.mapInArrow(_chain_rows(k, least), "doc long, src long, xs binary, ys binary, a0 int, a1 int, b0 int, b1 int"), "chains")
 
+    dropped(emitted, found)
+
     margin = REGION // 2
     low = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - margin) / REGION) * REGION).cast("int")
     high = lambda c: (F.ceil((F.col(c) + margin) / REGION) * REGION).cast("int")

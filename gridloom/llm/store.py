@@ -18,7 +18,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._kept_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of kept(), once all that was made of them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
@@ -54,7 +64,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, F.col("u") == F.col("w")).select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.*").where("u <> v").distinct()
-        edges = kept(small, "edges")
+        old, edges = edges, kept(small, "edges")
+        dropped(old)
         now = _digest(edges)
         if now == last:
             break

@@ -43,7 +43,7 @@ UNKNOWN_PENALTY = 10.0
 #: Log scores are rounded to this fraction, so that sums are exact and ties are ties in any order of adding.
 SCORE_STEPS = 1 << 20
 #: Units whose segmentation a task holds before it starts afresh, and the longest one handled in an array.
-HELD_UNITS, LONG_UNIT = 500_000, 128
+HELD_UNITS, LONG_UNIT = 250_000, 128
 
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
 
