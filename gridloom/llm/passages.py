@@ -12,6 +12,11 @@
 4. Chains are aligned: along each diagonal by words, between diagonals at the cut with the most
    equal words, and outwards while that gains.  Alignments of `min_words` words and more
    and the identity asked for are passages.
+5. Earlier documents may hold a passage's seeds singly, so that its first occurrence as a whole is nobody's
+   first.  So runs of `min_words` words that lie in no passage yet are taken as seeds themselves, at every
+   place: each is matched with its first occurrence, chained and aligned.  Hence every run of
+   `min_words` words that an earlier document holds word for word is in a passage.  For edited
+   passages that isn't certain: a seed's later holders are not compared with each other.
 
 Words are those of `text.words`.  Defined results: null, empty and short texts have no
 passages; rows with a null id take no part; rows that share an id count as one document,
@@ -38,6 +43,7 @@ FREQUENT, GROUP_SEEDS = 48, 600_000
 GAP_COST, DROP = 0.1, 8
 #: Words to which the regions fetched for aligning are rounded, so that chains share them.
 REGION = 64
+_EMITTED = "g int, keys binary, docs binary, pos binary, flags binary, seed long, doc long, at int"
 
 
 def seeds(hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,23 +59,44 @@ def seeds(hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarr
     return at, runs[at]
 
 
-def _emit(k: int, window: int, groups: int):
-    """Packed seeds by group, and rows of the occurrences that a batch holds back."""
+def whole_runs(hashes: np.ndarray, shared: list[int], k: int, window: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the runs of min_words words that another text may hold word for word: all seeds that such a text must share are shared."""
+    if len(hashes) < min_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    k = min(k, min_words)
+    runs, _ = tx.shingle_hashes(hashes, np.array([0, len(hashes)]), k)
+    inside = min_words - k - window + 2
+    if inside < 1:
+        at = np.arange(len(hashes) - min_words + 1)
+    else:
+        places = np.array(shared, np.int64)
+        good = np.isin(np.lib.stride_tricks.sliding_window_view(runs, window).min(1), runs[places[places < len(runs)]])
+        total = np.concatenate(([0], np.cumsum(good)))
+        at = np.flatnonzero(total[inside:] - total[:-inside] == inside)
+    value = np.zeros(len(at), np.uint64)
+    for step in (*range(0, min_words - k, k), min_words - k):
+        value = tx.mix(value + runs[at + step])
+    return at, value
+
+
+def _emit(k: int, window: int, groups: int, min_words: int = 0):
+    """Packed seeds by group, and rows of the occurrences that a batch holds back; with min_words those of whole runs, for rows (doc, text, shared, spans)."""
     names = ["g", "keys", "docs", "pos", "flags", "seed", "doc", "at"]
 
     def flush(held):
-        key, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, doc, pos, told = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((pos, doc, key))
-        key, doc, pos = key[order], doc[order], pos[order]
+        key, doc, pos, told = key[order], doc[order], pos[order], told[order]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
         often = np.repeat(size >= FREQUENT, size)
         back = often.copy()
         back[start] = False
+        sent, back = ~back, back & ~told
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(int(back.sum()), pa.int32())] + [pa.nulls(int(back.sum()), pa.binary())] * 4 + [pa.array(key[back].view(np.int64)), pa.array(doc[back]), pa.array(pos[back])], names=names
         )
-        key, doc, pos, flag = key[~back], doc[~back], pos[~back], often[~back].astype(np.int8)
+        key, doc, pos, flag = key[sent], doc[sent], pos[sent], (often[sent] + 2 * told[sent]).astype(np.int8)
         group = (tx.mix(key) % np.uint64(groups)).astype(np.int32)
         order = np.argsort(group, kind="stable")
         cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
@@ -81,12 +108,17 @@ def _emit(k: int, window: int, groups: int):
         held, total = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            shared, spans = (batch.column(c).to_pylist() for c in (2, 3)) if min_words else (None, None)
             for at, part in tx.slices(batch.column(1).to_pylist()):
                 hashes, first, _, _ = tx.words(part)
                 for t in range(len(part)):
-                    place, value = seeds(hashes[first[t] : first[t + 1]], k, window)
+                    own = hashes[first[t] : first[t + 1]]
+                    place, value = whole_runs(own, shared[at + t], k, window, min_words) if min_words else seeds(own, k, window)
                     if len(place):
-                        held.append((value, np.full(len(place), ids[at + t], np.int64), place.astype(np.int32)))
+                        told = np.zeros(len(place), bool)
+                        for span in (spans[at + t] or []) if min_words else []:
+                            told |= (place >= span["start"]) & (place + min_words <= span["end"])
+                        held.append((value, np.full(len(place), ids[at + t], np.int64), place.astype(np.int32), told))
                         total += len(place)
                 if total > 1_000_000:
                     yield from flush(held)
@@ -98,7 +130,7 @@ def _emit(k: int, window: int, groups: int):
 
 
 def _match(frame):
-    """Matches (doc, src, x, y) of one group of seeds, and rows (seed, src, y) for seeds that were held back."""
+    """Matches (doc, src, x, y) of one group of seeds, rows (seed, src, y) for seeds that were held back, and rows (doc, x) of the first holder's other places."""
     import pandas as pd
 
     key, doc, pos, flag = (np.concatenate([np.frombuffer(v, t) for v in frame[c]]) for c, t in (("keys", np.uint64), ("docs", np.int64), ("pos", np.int32), ("flags", np.int8)))
@@ -107,11 +139,15 @@ def _match(frame):
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
     head = np.repeat(start, size)
-    other = doc != doc[head]
-    told = start[np.maximum.reduceat(flag, start) > 0]
+    own = doc == doc[head]
+    other = ~own & (flag < 2)
+    often = np.maximum.reduceat(flag & 1, start) > 0
+    told = start[often]
+    again = own & (np.arange(len(key)) != head) & np.repeat(often | (np.add.reduceat(~own, start) > 0), size)
     pairs = pd.DataFrame({"seed": None, "doc": doc[other], "src": doc[head][other], "x": pos[other], "y": pos[head][other]})
     heads = pd.DataFrame({"seed": key[told].view(np.int64), "doc": None, "src": doc[told], "x": None, "y": pos[told]})
-    return pd.concat([p.astype("Int64") for p in (pairs, heads) if len(p)] or [pairs.astype("Int64")])
+    places = pd.DataFrame({"seed": None, "doc": doc[again], "src": None, "x": pos[again], "y": None})
+    return pd.concat([p.astype("Int64") for p in (pairs, heads, places) if len(p)] or [pairs.astype("Int64")])
 
 
 def chains(x: np.ndarray, y: np.ndarray, k: int) -> list[np.ndarray]:
@@ -284,20 +320,42 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(partitions(spark), math.ceil(size / 6 * 2 / (window + 1) / GROUP_SEEDS))
-    emitted = kept(docs.mapInArrow(_emit(k, window, groups), "g int, keys binary, docs binary, pos binary, flags binary, seed long, doc long, at int"), "seeds")
+    emitted = kept(docs.mapInArrow(_emit(k, window, groups), _EMITTED), "seeds")
+    found, matches = _stars(emitted)
+    # What may be missing of a passage at both ends of its chain.
+    passages = kept(_passages(docs, matches, k, max(k, min_words - 2 * (window + k)), min_words, identity), "passages")
+
+    places = matches.select("doc", "x").union(matches.select("src", "y")).union(found.where("seed IS NULL AND src IS NULL").select("doc", "x"))
+    places = places.union(emitted.where("g IS NULL").select("doc", "at")).distinct().groupBy("doc").agg(F.collect_list("x").alias("shared"))
+    # A passage doesn't tell which text of an id it is in.
+    single = docs.groupBy("doc").count().where("count > 1").select("doc")
+    spans = passages.select(F.col("doc_id").alias("doc"), "start", "end").join(single, "doc", "left_anti").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    asked = places.join(spans, "doc", "left")
+    runs = docs.join(asked.hint("merge"), "doc").select("doc", "text", "shared", "spans")
+    whole = kept(runs.mapInArrow(_emit(k, window, groups, min_words), _EMITTED), "runs")
+    dropped(emitted, found)
+    found, matches = _stars(whole)
+    more = kept(_passages(docs, matches, min_words, min_words, min_words, identity), "passages")
+    dropped(whole, found)
+    return passages.union(more).distinct()
+
+
+def _stars(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What _match finds, and the matches of each seed's occurrences with its first one."""
     packed = emitted.where("g IS NOT NULL").select("g", "keys", "docs", "pos", "flags")
     found = kept(packed.groupBy("g").applyInPandas(_match, "seed long, doc long, src long, x int, y int"), "matches")
     back = emitted.where("g IS NULL").select("seed", "doc", F.col("at").alias("x"))
     heads = found.where("seed IS NOT NULL").select("seed", "src", "y")
     late = back.join(heads.hint("merge"), "seed").where("doc <> src").select("doc", "src", "x", "y")
-    matches = found.where("seed IS NULL").select("doc", "src", "x", "y").union(late)
-    # What may be missing of a passage at both ends of its chain.
-    least = max(k, min_words - 2 * (window + k))
+    return found, found.where("seed IS NULL AND src IS NOT NULL").select("doc", "src", "x", "y").union(late)
+
+
+def _passages(docs: DataFrame, matches: DataFrame, k: int, least: int, min_words: int, identity: float) -> DataFrame:
+    """Passages along the chains of matches of k words."""
+    spark = docs.sparkSession
     ordered = matches.repartition(partitions(spark), "doc", "src").sortWithinPartitions("doc", "src", "x", "y")
     chained = kept(ordered.mapInArrow(_chain_rows(k, least), "doc long, src long, xs binary, ys binary, a0 int, a1 int, b0 int, b1 int"), "chains")
 
-    dropped(emitted, found)
-
     margin = REGION // 2
     low = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - margin) / REGION) * REGION).cast("int")
     high = lambda c: (F.ceil((F.col(c) + margin) / REGION) * REGION).cast("int")

@@ -380,6 +380,26 @@ def test_repeated_passages_with_frequent_seeds(spark, monkeypatch):
     assert {r.doc_id for r in rows} == set(range(1, 12)) and {r.src_doc_id for r in rows} == {0}
 
 
+def test_repeated_passages_whose_seeds_occur_earlier_singly(spark, monkeypatch):
+    """Earlier documents hold parts of a passage, or a source holds one of its phrases twice; every verbatim run is found all the same."""
+    rng = random.Random(15)
+    passage, phrase, late = prose(rng, 80), prose(rng, 20), prose(rng, 60)
+    around = lambda words: prose(rng, 60) + words + prose(rng, 60)
+    texts = [around(passage[:44]), around(passage[37:]), around(passage), around(passage), around(passage)]
+    texts += [around(phrase), around(phrase + prose(rng, 90) + phrase + late[:35]), around(phrase + late[:35]), around(phrase + late[:35])]
+    texts += [around((late[40:] + phrase) * 4), around((late[40:] + phrase) * 4)]
+    want = set()
+    for d, s in itertools.combinations(range(len(texts)), 2):
+        runs = {tuple(texts[d][i : i + 50]) for i in range(len(texts[d]) - 49)}
+        want |= {(s, i) for i in range(len(texts[s]) - 49) if tuple(texts[s][i : i + 50]) in runs}
+    assert {d for d, _ in want} == {3, 4, 7, 8, 10}
+    for often in (passages.FREQUENT, 2):
+        monkeypatch.setattr(passages, "FREQUENT", often)
+        rows = passages.repeated_passages(frame(spark, [" ".join(t) for t in texts])).collect()
+        assert all(any(r.doc_id == d and r.start <= i and i + 50 <= r.end for r in rows) for d, i in want)
+        assert all(r.src_doc_id < r.doc_id for r in rows) and {r.doc_id for r in rows} == {3, 4, 7, 8, 10}
+
+
 @pytest.mark.parametrize("name", ["a", "b"])
 def test_alignment_counts_equal_words(name):
     rng = np.random.default_rng(13)
