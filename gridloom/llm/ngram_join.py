@@ -276,7 +276,7 @@ def _scan_lists(percent: int):
         left, right = np.concatenate([*left, i[star]]).astype(np.int64), np.concatenate([*right, j[star]]).astype(np.int64)
         pairs = pd.DataFrame({"a": np.minimum(ck[left], ck[right]), "b": np.maximum(ck[left], ck[right])}).groupby(["a", "b"], sort=False).size().reset_index(name="shared")
         parts = [pairs.assign(kind=0, key=None, n=None, pos=None)]
-        stay = own | (salted & np.repeat(large, size))
+        stay = own | salted  # the large sets of a key may all be in its other salts
         parts.append(pd.DataFrame({"kind": 1 + kind[stay].astype(np.int32), "key": key[stay].view(np.int64), "a": ck[stay], "b": None, "n": n[stay], "pos": pos[stay], "shared": None}))
         heads = start[salted[start]]
         parts.append(pd.DataFrame({"kind": 9, "key": key[heads].view(np.int64), "a": ck[heads], "b": None, "n": n[heads], "pos": pos[heads], "shared": None}))
@@ -356,7 +356,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ends = lambda df: df.join(known.select(F.col("ck").alias("a"), F.col("c").alias("ca")), "a").join(known.select(F.col("ck").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
     rest = ends(pairs.select("a", "b")).select("a", "b")
     lists = found.where("kind BETWEEN 1 AND 3").join(known.select(F.col("ck").alias("a"), "c"), "a")
-    mixed = lists.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    mixed = lists.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("kind").alias("kind")).where("low < high AND kind < 3").select("key")
     lists = kept(lists.join(mixed, "key", "left_semi").select("key", "kind", "a", "n", "pos", "c"), "lists")
     far = lists.alias("x").join(lists.alias("y"), F.expr(
         f"x.key = y.key AND x.c < y.c AND NOT (x.kind = 3 AND y.kind = 3) AND least(x.n - x.pos, y.n - y.pos) >= ceil({percent} * (x.n + y.n) / {100 + percent})"

@@ -99,6 +99,23 @@ def test_ngram_join_long_lists_and_salts(spark, monkeypatch):
     assert got == expected_components(texts)
 
 
+def test_ngram_lists_keep_small_sets_of_salts_without_large_ones():
+    """A salt of a frequent key with small sets only keeps them all for the large sets of other salts."""
+    import pandas as pd
+
+    def scanned(cks, kind):
+        columns = {"keys": np.full(len(cks), 7, np.uint64), "ck": np.array(cks, np.int64), "n": np.full(len(cks), 20, np.int32), "pos": np.zeros(len(cks), np.int32), "kind": np.full(len(cks), kind, np.int8)}
+        return ngram_join._scan_lists(75)(pd.DataFrame({c: [v.tobytes()] for c, v in columns.items()}))
+
+    for count in (3, ngram_join.SHORT_LIST + 5):
+        got = scanned(range(count), 2 + 4)
+        assert set(got[got.kind == 3].a) == set(range(count))
+        assert set(got[got.kind == 9].a) == {0}
+        got = scanned(range(count), 0 + 4)
+        assert set(got[got.kind == 1].a) == set(range(count))
+        assert not (scanned(range(count), 2).kind == 3).any()
+
+
 def test_ngram_join_odd_rows(spark):
     rows = [(5, "a b c d e f g", "k"), (5, "a b c d e f g", "k"), (None, "a b c d e f g", "k"), (7, None, "k"), (9, "A b c d e f g", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ck string").withColumn("component_id", F.lit("clash"))
