@@ -124,7 +124,7 @@ WITH l AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
 w AS (SELECT doc_id, pos, line, list_filter(list_distinct(string_split(line, ' ')), lambda x: x <> '') AS ws FROM l),
 f AS (
-  SELECT line, any_value(ws) AS ws, min((doc_id, pos)) AS o, row_number() OVER () AS k FROM w WHERE len(ws) >= 5 GROUP BY line),
+  SELECT line, any_value(ws) AS ws, min((doc_id, pos)) AS o, row_number() OVER () AS k FROM w WHERE len(ws) > 0 GROUP BY line),
 d AS (SELECT x, count(*) AS df FROM (SELECT unnest(ws) AS x FROM f) GROUP BY x),
 r AS (SELECT k, o, len(ws) AS n, x, row_number() OVER (PARTITION BY k ORDER BY df, x) AS i FROM (SELECT k, o, ws, unnest(ws) AS x FROM f) JOIN d USING (x)),
 c AS (
@@ -134,7 +134,7 @@ g AS (
   SELECT DISTINCT ka FROM c JOIN f a ON a.k = ka JOIN f b ON b.k = kb
   WHERE 100 * len(list_intersect(a.ws, b.ws)) >= 75 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))),
 stay AS (
-  SELECT doc_id, pos, line FROM w LEFT JOIN (SELECT o FROM f WHERE k NOT IN (SELECT ka FROM g)) h ON h.o = (w.doc_id, w.pos) WHERE len(ws) < 5 OR h.o IS NOT NULL)
+  SELECT doc_id, pos, line FROM w LEFT JOIN (SELECT o FROM f WHERE k NOT IN (SELECT ka FROM g)) h ON h.o = (w.doc_id, w.pos) WHERE len(ws) = 0 OR h.o IS NOT NULL)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(s.line, chr(10) ORDER BY s.pos), '') END AS text, CAST(len(string_split(d.text, chr(10))) AS INTEGER) AS n_lines
 FROM documents d LEFT JOIN stay s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.text
 """

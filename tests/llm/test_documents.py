@@ -132,41 +132,61 @@ def test_bounds_by_bins_never_fall_short():
         assert ngram_join.overlap_bound(ngram_join.bins_of(x), ngram_join.bins_of(y)) >= len(np.intersect1d(x, y))
 
 
-@pytest.mark.parametrize("bar,level", [(64, 3), (2, 1)])
-def test_line_dedup_against_brute_force(spark, monkeypatch, bar, level):
-    monkeypatch.setattr(line_dedup, "LEAST_BAR", bar)
-    monkeypatch.setattr(line_dedup, "HOT_LEVEL", level)
-    rng = random.Random(4)
-    lines = []
-    for size in (5, 6, 8, 12, 20, 40, 90):
-        base = prose(rng, size)
-        lines += [" ".join(base), " ".join(base), *near_copies(rng, base, 5, max(1, size // 20)), " ".join(reversed(base))]
-    frequent = ["the of and to in", "of the and to in", "the of and to a", "a in to the of"]
-    lines += frequent * 3 + ["", "short line", "short line", "one two three four", "one two three four"]
-    hub = prose(rng, 40)
-    lines += near_copies(rng, hub, 40, 2)
-    rng.shuffle(lines)
-    texts = ["\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)] + [None, "", "\n\n"]
+def resembling(seen, words):
+    return any(100 * len(words & s) >= 75 * len(words | s) for s in seen)
 
+
+def dedup_by_hand(texts):
     seen, expected = [], []
     for t in texts:
         stay = []
         for line in (t or "").split("\n") if t is not None else []:
             words = set(line.split(" ")) - {""}
-            again = len(words) >= 5 and any(100 * len(words & s) >= 75 * len(words | s) for s in seen)
-            if len(words) >= 5:
-                seen.append(words)
-            if not again:
+            if not words or not resembling(seen, words):
                 stay.append(line)
+            if words:
+                seen.append(words)
         expected.append(None if t is None else "\n".join(stay))
+    return expected
+
+
+@pytest.mark.parametrize("counters,few", [(1 << 18, 100_000), (1 << 4, 0)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, counters, few):
+    monkeypatch.setattr(line_dedup, "COUNTERS", counters)
+    monkeypatch.setattr(line_dedup, "FEW_ROWS", few)
+    rng = random.Random(4)
+    lines = []
+    for size in (1, 2, 3, 4, 5, 6, 8, 12, 20, 40, 90, 200):
+        base = prose(rng, size)
+        lines += [" ".join(base), " ".join(base), *near_copies(rng, base, 5, max(1, size // 20)), " ".join(reversed(base))]
+    frequent = ["the of and to in", "of the and to in", "of the and to a", "a in to the of"]
+    lines += frequent * 3 + ["", "  ", "short line", "short line", "line  short", "one two three four", "one two three four", "one two three"]
+    hub = prose(rng, 40)
+    lines += near_copies(rng, hub, 40, 2) + near_copies(rng, hub, 40, 5)
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)] + [None, "", "\n\n"]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
-    assert got == dict(enumerate(expected))
+    assert got == dict(enumerate(dedup_by_hand(texts)))
+
+
+def test_line_dedup_large_group_gives_no_pairs_of_members(spark):
+    rng = random.Random(8)
+    texts = near_copies(rng, prose(rng, 40), 2000, 2) + [" ".join(prose(rng, 30)) for _ in range(50)]
+    rng.shuffle(texts)
+    owned, places, kind = line_dedup._owned(frame(spark, texts), "doc_id", "text")
+    docs = owned.selectExpr("_own AS own", "text")
+    tokens = line_dedup._tokens(line_dedup._lines(docs, kind, places).groupBy("line").agg(F.min("ord").alias("ord")), docs, 75, 1)
+    resolved = line_dedup._similar(line_dedup._first_pairs(tokens), docs, kind, places, 75)
+    marked = tokens.join(resolved.withColumn("hit", F.lit(True)), "ord", "left").withColumn("open", F.col("hit").isNull())
+    assert line_dedup._prefix_pairs(marked, 75).count() < 10 * len(texts)
+    got = [r.text for r in line_dedup.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == dedup_by_hand(texts)
 
 
 def test_line_dedup_odd_rows(spark):
     line = "alpha beta gamma delta epsilon zeta"
     rows = [(None, line, "x"), (-3, line, "x"), (4, f"{line}\n{line} \nno", "x"), (4, f"{line}\n{line} \nno", "x"), (9, None, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _keys string").withColumnRenamed("_keys", "line")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _own string")
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
@@ -176,6 +196,26 @@ def test_line_dedup_odd_rows(spark):
     assert sorted(r.text for r in line_dedup.dedup_lines(big).collect()) == ["", line]
 
 
+def test_line_dedup_rows_that_share_an_id_or_have_none(spark):
+    rows = [(4, "b one two"), (4, "a one two"), (4, "a one two\nno"), (5, "two b one\nyes")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.dedup_lines(docs).collect()) == ["a one two", "b one two", "no", "yes"]
+    rows = [(None, f"this is line {n} of nobody\nsame line of all") for n in range(30)] * 2 + [(7, "line 3 is this of nobody")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [r for r in line_dedup.dedup_lines(docs).collect()]
+    assert [r.text for r in out if r.doc_id == 7] == ["line 3 is this of nobody"]
+    assert sum("same line of all" in r.text for r in out) == 2 and len(out) == 61
+
+
+def test_line_dedup_long_text(spark):
+    rng = random.Random(2)
+    lines = [" ".join(prose(rng, 4)) for _ in range(3000)]
+    lines += [lines[5], " ".join(prose(rng, 20_000))]
+    docs = frame(spark, ["\n".join(lines), lines[-1] + " end", "fresh"])
+    got = [r.text for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()]
+    assert got == dedup_by_hand(["\n".join(lines), lines[-1] + " end", "fresh"])
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(5)
     items = [" ".join(prose(rng, n)) for n in (5, 6, 9, 15, 30, 60)] + ["too short", "", None]
