@@ -150,7 +150,7 @@ def dedup_by_hand(texts):
     return expected
 
 
-@pytest.mark.parametrize("counters,few", [(1 << 18, 100_000), (1 << 4, 0)])
+@pytest.mark.parametrize("counters,few", [(1 << 16, 500_000), (1 << 4, 0)])
 def test_line_dedup_against_brute_force(spark, monkeypatch, counters, few):
     monkeypatch.setattr(line_dedup, "COUNTERS", counters)
     monkeypatch.setattr(line_dedup, "FEW_ROWS", few)
@@ -176,7 +176,7 @@ def test_line_dedup_large_group_gives_no_pairs_of_members(spark):
     owned, places, kind = line_dedup._owned(frame(spark, texts), "doc_id", "text")
     docs = owned.selectExpr("_own AS own", "text")
     tokens = line_dedup._tokens(line_dedup._lines(docs, kind, places).groupBy("line").agg(F.min("ord").alias("ord")), docs, 75, 1)
-    resolved = line_dedup._similar(line_dedup._first_pairs(tokens), docs, kind, places, 75)
+    resolved = line_dedup._resolved(tokens, docs, kind, places, 75)
     marked = tokens.join(resolved.withColumn("hit", F.lit(True)), "ord", "left").withColumn("open", F.col("hit").isNull())
     assert line_dedup._prefix_pairs(marked, 75).count() < 10 * len(texts)
     got = [r.text for r in line_dedup.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()]
