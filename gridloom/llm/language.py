@@ -1,14 +1,14 @@
 """Operator 5: language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the lower-cased UTF-8 bytes of each run without white space
-forwards and backwards, labels every byte with probabilities of the learned
-languages, and a document's probabilities are the mean over all its bytes.  As
-the state starts anew at white space (and after `SPAN` bytes of one run), a run's
-labels depend on it alone, so each task holds the sums of runs it has met.
+The network reads a text's lower-cased UTF-8 bytes, every run of white space as one space, forwards
+and backwards across words, labels each byte with probabilities of the learned languages, and a document's
+probabilities are the mean over all its bytes.  Long texts are read in pieces: `STEP` bytes
+are labelled at a time, and `EDGE` more on either side are read to build up the state.
 
-It is trained here, in numpy, by backpropagation through time, on runs drawn at
+It is trained here, in numpy, by backpropagation through time, on spans of bytes drawn at
 random from the whole texts of a sample of labelled documents: those with the least
-hashes of their ids, about `sample_docs` of them, and `sample_runs` runs from each.
+hashes of their ids, about `sample_docs` of them, and `sample_spans` spans from each, of up to the
+length that is read at once when labelling.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where
 nothing was learned; a null id is never held out; extra columns are not read.
@@ -16,8 +16,10 @@ nothing was learned; a null id is never held out; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .store import bound_batches
 
-#: The longest run of bytes that is read as one sequence.
-SPAN = 48
-#: Runs whose labels a task holds before it starts afresh.
-HELD_RUNS = 200_000
+#: Bytes that are labelled at once, bytes read on either side of them, and both together.
+STEP, EDGE = 96, 16
+SPAN = STEP + 2 * EDGE
+#: Pieces of texts that are read side by side.
+ABREAST = 1024
+_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 UNDETERMINED = "und"
 
 
@@ -50,101 +54,90 @@ class Network:
     offset: np.ndarray  # languages
 
 
-def _padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(r) for r in runs])
-    width = int(sizes.max())
-    return np.frombuffer(b"".join(r.ljust(width, b"\0") for r in runs), np.uint8).reshape(len(runs), width), sizes
+def _padded(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (time, span), padded to the longest span, and the spans' sizes."""
+    sizes = np.array([len(s) for s in spans])
+    longest = int(sizes.max())
+    return np.ascontiguousarray(np.frombuffer(b"".join(s.ljust(longest, b"\0") for s in spans), np.uint8).reshape(len(spans), longest).T), sizes
 
 
-def _reversed(raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    at = sizes[:, None] - 1 - np.arange(raw.shape[1])
-    return np.where(at >= 0, np.take_along_axis(raw, np.maximum(at, 0), 1), 0)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _states(net: Network, way: int, raw: np.ndarray, steps: list | None = None) -> np.ndarray:
-    """Hidden states (time, run, width) of one direction; what learning needs goes to steps."""
+def _states(net: Network, way: int, raw: np.ndarray, sizes: np.ndarray, steps: list | None = None) -> np.ndarray:
+    """Hidden states (time, width, span) of one direction; what learning needs goes to steps."""
     width = net.recurrent.shape[1]
-    h = np.zeros((len(raw), width), np.float32)
-    out = np.empty((raw.shape[1], len(raw), width), np.float32)
-    for t in range(raw.shape[1]):
-        x, own = net.inputs[way][raw[:, t]], h @ net.recurrent[way]
-        gates = _sigmoid(x[:, : 2 * width] + own[:, : 2 * width])
-        z, r = gates[:, :width], gates[:, width:]
-        inner = own[:, 2 * width :] + net.bias[way]
-        c = np.tanh(x[:, 2 * width :] + r * inner)
+    turn, bias, shortest = np.ascontiguousarray(net.recurrent[way].T), net.bias[way][:, None], int(sizes.min())
+    h = np.zeros((width, raw.shape[1]), np.float32)
+    out = np.empty((raw.shape[0], *h.shape), np.float32)
+    for t in range(len(raw)) if way == 0 else reversed(range(len(raw))):
+        x, own = net.inputs[way][raw[t]].T, turn @ h
+        gates = np.tanh(0.5 * (own[: 2 * width] + x[: 2 * width]))
+        gates = 0.5 * gates + 0.5
+        z, r, inner = gates[:width], gates[width:], own[2 * width :] + bias
+        c = np.tanh(x[2 * width :] + r * inner)
         if steps is not None:
-            steps.append((h, z, r, c, inner))
-        h = z * h + (1 - z) * c
+            steps.append((t, h, z, r, c, inner))
+        h = c + z * (h - c)
+        if t >= shortest:
+            h *= t < sizes
         out[t] = h
     return out
 
 
 def _probabilities(net: Network, raw: np.ndarray, sizes: np.ndarray, steps: tuple[list, list] | None = None):
-    """Probabilities (run, time, language), and the states they come from."""
-    ahead = _states(net, 0, raw, steps and steps[0]).transpose(1, 0, 2)
-    back = _states(net, 1, _reversed(raw, sizes), steps and steps[1]).transpose(1, 0, 2)
-    at = np.maximum(sizes[:, None] - 1 - np.arange(raw.shape[1]), 0)
-    both = np.concatenate((ahead, np.take_along_axis(back, at[:, :, None], 1)), 2)
-    logits = both @ net.output + net.offset
-    p = np.exp(logits - logits.max(2, keepdims=True))
-    return p / p.sum(2, keepdims=True), both
+    """Probabilities (time, language, span), and the states they come from."""
+    both = np.concatenate([_states(net, way, raw, sizes, steps and steps[way]) for way in (0, 1)], 1)
+    logits = net.output.T @ both + net.offset[:, None]
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True), both
 
 
 def _gradients(net: Network, raw: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean cross entropy over all positions, by backpropagation through time."""
     steps: tuple[list, list] = ([], [])
     p, both = _probabilities(net, raw, sizes, steps)
-    inside = (np.arange(raw.shape[1]) < sizes[:, None])[:, :, None]
-    wrong = p - np.eye(len(net.languages), dtype=np.float32)[label][:, None, :]
-    wrong = (wrong * inside / sizes.sum()).astype(np.float32)
+    inside = (np.arange(len(raw))[:, None] < sizes).astype(np.float32)
+    wrong = p - np.eye(len(net.languages), dtype=np.float32)[label].T
+    wrong = (wrong * inside[:, None, :] / sizes.sum()).astype(np.float32)
     width = net.recurrent.shape[1]
-    out = {"output": np.einsum("nth,ntk->hk", both, wrong), "offset": wrong.sum((0, 1))}
+    out = {"output": np.einsum("thn,tkn->hk", both, wrong), "offset": wrong.sum((0, 2))}
     out |= {k: np.zeros_like(getattr(net, k)) for k in ("inputs", "recurrent", "bias")}
-    to_state = wrong @ net.output.T
-    at = np.maximum(sizes[:, None] - 1 - np.arange(raw.shape[1]), 0)
+    to_state = net.output @ wrong
+    order = np.argsort(raw, axis=None, kind="stable")
+    values, first = np.unique(raw.ravel()[order], return_index=True)
     for way in (0, 1):
-        part = to_state[:, :, way * width : (way + 1) * width] * inside
-        bytes_in = raw
-        if way:
-            part, bytes_in = np.take_along_axis(part, at[:, :, None], 1) * inside, _reversed(raw, sizes)
-        carry = np.zeros((len(raw), width), np.float32)
-        for t in range(raw.shape[1] - 1, -1, -1):
-            h, z, r, c, inner = steps[way][t]
-            dh = carry + part[:, t]
+        carry = np.zeros((width, raw.shape[1]), np.float32)
+        to_input = np.empty((len(raw), raw.shape[1], 3 * width), np.float32)
+        for t, h, z, r, c, inner in reversed(steps[way]):
+            dh = (carry + to_state[t, way * width : (way + 1) * width]) * inside[t]
             dc = dh * (1 - z) * (1 - c * c)
             dz = dh * (h - c) * z * (1 - z)
             dr = dc * inner * r * (1 - r)
-            d_own = np.concatenate((dz, dr, dc * r), 1)
-            out["recurrent"][way] += h.T @ d_own
-            out["bias"][way] += d_own[:, 2 * width :].sum(0)
-            np.add.at(out["inputs"][way], bytes_in[:, t], np.concatenate((dz, dr, dc), 1))
-            carry = dh * z + d_own @ net.recurrent[way].T
+            d_own = np.concatenate((dz, dr, dc * r))
+            out["recurrent"][way] += h @ d_own.T
+            out["bias"][way] += d_own[2 * width :].sum(1)
+            to_input[t] = np.concatenate((dz, dr, dc)).T
+            carry = dh * z + net.recurrent[way] @ d_own
+        out["inputs"][way][values] = np.add.reduceat(to_input.reshape(-1, 3 * width)[order], first)
     return out
 
 
-def fit(runs: list[bytes], labels: list[str], *, width: int = 12, steps: int = 350, batch: int = 192, rate: float = 0.02, seed: int = 7) -> Network:
-    """A network trained on runs of bytes, each with a language, by Adam over random batches of runs of like length."""
+def fit(spans: list[bytes], labels: list[str], *, width: int = 8, steps: int = 240, batch: int = 96, rate: float = 0.03, seed: int = 7) -> Network:
+    """A network trained on spans of bytes, each with a language, by Adam over random batches of spans of like length."""
     rng = np.random.default_rng(seed)
     languages = tuple(sorted(set(labels)))
     index = {k: i for i, k in enumerate(languages)}
     small = lambda *shape: rng.normal(0, 0.2, shape).astype(np.float32)
     net = Network(languages, small(2, 256, 3 * width), small(2, width, 3 * width), small(2, width), small(2 * width, len(languages)), np.zeros(len(languages), np.float32))
-    if len(languages) < 2 or not runs:
+    if len(languages) < 2 or not spans:
         return net
-    sizes = np.array([min(len(r), 16) for r in runs])
-    order = np.argsort(sizes, kind="stable")
+    order = np.argsort([len(s) for s in spans], kind="stable")
     first = {k: np.zeros_like(getattr(net, k)) for k in ("inputs", "recurrent", "bias", "output", "offset")}
     second = {k: np.zeros_like(v) for k, v in first.items()}
-    spots = max(1, len(runs) - batch)
+    spots = max(1, len(spans) - batch)
     for step in range(1, steps + 1):
         at = int(rng.integers(0, spots))
         pick = order[at : at + batch]
-        raw, size = _padded([runs[i][:16] for i in pick])
-        grads = _gradients(net, raw, size, np.array([index[labels[i]] for i in pick]))
+        raw, sizes = _padded([spans[i] for i in pick])
+        grads = _gradients(net, raw, sizes, np.array([index[labels[i]] for i in pick]))
         for k, g in grads.items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
@@ -153,55 +146,38 @@ def fit(runs: list[bytes], labels: list[str], *, width: int = 12, steps: int = 3
     return net
 
 
-class Labeller:
-    """Sums of a network's labels over the bytes of runs, held by run."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.forget()
-
-    def forget(self) -> None:
-        self.held: dict[bytes, int] = {}
-        self.sums, self.sizes = [np.zeros((0, len(self.net.languages)))], [np.zeros(0, np.int64)]
-
-    def _add(self, new: list[bytes]) -> None:
-        pieces = [(r[a : a + SPAN], i) for i, r in enumerate(new) for a in range(0, len(r), SPAN)]
-        sizes = np.array([len(p) for p, _ in pieces])
-        sums = np.zeros((len(new), len(self.net.languages)))
-        order = np.argsort(sizes, kind="stable")
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            raw, size = _padded([pieces[i][0] for i in part])
-            p, _ = _probabilities(self.net, raw, size)
-            p *= (np.arange(raw.shape[1]) < size[:, None])[:, :, None]
-            np.add.at(sums, [pieces[i][1] for i in part], p.sum(1))
-        self.held.update(zip(new, range(len(self.held), len(self.held) + len(new)), strict=True))
-        self.sums.append(sums)
-        self.sizes.append(np.array([len(r) for r in new]))
-
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Each text's language and its pooled probability."""
-        languages = self.net.languages
-        runs = [t.lower().encode("utf-8", "replace").split() if t is not None and languages and any(map(str.isalpha, t)) else [] for t in texts]
-        if len(self.held) > HELD_RUNS:
-            self.forget()
-        if new := list(dict.fromkeys(r for rs in runs for r in rs if r not in self.held)):
-            self._add(new)
-        if len(self.sums) > 1:
-            self.sums, self.sizes = [np.concatenate(self.sums)], [np.concatenate(self.sizes)]
-        out = []
-        for rs in runs:
-            if not rs:
-                out.append((UNDETERMINED, 0.0))
-                continue
-            at = np.fromiter(map(self.held.__getitem__, rs), np.int64, len(rs))
-            mean = self.sums[0][at].sum(0) / self.sizes[0][at].sum()
-            best = int(mean.argmax())
-            out.append((languages[best], round(min(1.0, float(mean[best])), 6)))
-        return out
-
-
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, sample_runs: int = 40) -> Network:
+def readable(text: str | None) -> bytes:
+    """What the network reads of a text: nothing if it is null or has no letter."""
+    if text is None or not any(map(str.isalpha, text)):
+        return b""
+    return re.sub(b" {2,}", b" ", text.lower().encode("utf-8", "replace").translate(_SPACES)).strip()
+
+
+def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
+    """The mean of the labels of all bytes of each text (text, language); a text without bytes has zeros."""
+    sums = np.zeros((len(texts), len(net.languages)))
+    pieces = ((i, max(0, a - EDGE), a, min(a + STEP, len(t))) for i, t in enumerate(texts) for a in range(0, len(t), STEP))
+    while some := list(islice(pieces, 16 * ABREAST)):
+        read = [texts[i][low : end + EDGE] for i, low, _, end in some]
+        order, spots = np.argsort([len(r) for r in read], kind="stable"), np.array(some, np.int64)
+        for at in range(0, len(order), ABREAST):
+            part = order[at : at + ABREAST]
+            raw, sizes = _padded([read[i] for i in part])
+            p, _ = _probabilities(net, raw, sizes)
+            own, low, begin, end = spots[part].T
+            place = np.arange(len(raw))[:, None] + low
+            np.add.at(sums, own, np.einsum("tkn,tn->nk", p, ((place >= begin) & (place < end)).astype(np.float32)))
+    return sums / np.maximum([len(t) for t in texts], 1)[:, None]
+
+
+def labels_of(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Each text's language and its pooled probability."""
+    raw = [readable(t) if net.languages else b"" for t in texts]
+    best = pooled(net, raw) if net.languages else None
+    return [(net.languages[int(best[i].argmax())], round(min(1.0, float(best[i].max())), 6)) if r else (UNDETERMINED, 0.0) for i, r in enumerate(raw)]
+
+
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, sample_spans: int = 8) -> Network:
     """A network of the languages in lang_col, from documents that are not held out; see the module for the sample."""
     bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -212,18 +188,18 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs, langs = [], []
+            spans, langs = [], []
             for key, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = text.lower().encode("utf-8", "replace").split()
-                if own and any(map(str.isalpha, text)):
+                if own := readable(text):
                     rng = np.random.default_rng(np.frombuffer(key.encode(), np.uint8))
-                    picked = [own[i] for i in rng.integers(0, len(own), sample_runs)]
-                    runs += picked
-                    langs += [lang] * len(picked)
-            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.binary()), pa.array(langs, pa.string())], names=["run", "lang"])
+                    sizes = rng.integers(EDGE, SPAN + 1, sample_spans)
+                    starts = (rng.random(sample_spans) * np.maximum(len(own) - sizes + 1, 1)).astype(np.int64)
+                    spans += [own[a : a + n] for a, n in zip(starts, sizes, strict=True)]
+                    langs += [lang] * sample_spans
+            yield pa.RecordBatch.from_arrays([pa.array(spans, pa.binary()), pa.array(langs, pa.string())], names=["span", "lang"])
 
-    drawn = sorted((bytes(r["run"]), r["lang"]) for r in rows.mapInArrow(draw, "run binary, lang string").collect())
-    return fit([r for r, _ in drawn], [k for _, k in drawn])
+    drawn = sorted((bytes(r["span"]), r["lang"]) for r in rows.mapInArrow(draw, "span binary, lang string").collect())
+    return fit([s for s, _ in drawn], [k for _, k in drawn])
 
 
 def label(docs: DataFrame, net: Network, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
@@ -233,11 +209,10 @@ def label(docs: DataFrame, net: Network, *, text_col: str = "text", lang_col: st
     names, place = [*rows.columns, lang_col, score_col], rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Labeller(net)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = own.label(part.column(place).to_pylist())
+                found = labels_of(net, part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=names)
 
     schema = rows.withColumn(lang_col, F.lit(None).cast("string")).withColumn(score_col, F.lit(None).cast("double")).schema

@@ -300,7 +300,7 @@ def test_language_gradients_match_differences():
 
     def loss():
         p, _ = language._probabilities(net, raw, size)
-        return -sum(np.log(p[n, t, label[n]]) for n in range(3) for t in range(size[n])) / size.sum()
+        return -sum(np.log(p[t, label[n], n]) for n in range(3) for t in range(size[n])) / size.sum()
 
     grads = language._gradients(net, raw, size, label)
     rng = np.random.default_rng(0)
@@ -316,6 +316,35 @@ def test_language_gradients_match_differences():
             assert abs((up - down) / 2e-2 - g[at]) < 5e-3, name
 
 
+def test_language_reads_every_byte_as_a_plain_loop_does(monkeypatch):
+    monkeypatch.setattr(language, "STEP", 7)
+    monkeypatch.setattr(language, "EDGE", 3)
+    net = language.fit([b"abc de", b"xyz zy"] * 4, ["p", "q"] * 4, width=3, steps=5)
+    gate = lambda v: 1 / (1 + np.exp(-v))
+
+    def walk(way, piece):
+        h, out = np.zeros(3), []
+        for b in piece:
+            x, own = net.inputs[way][b], h @ net.recurrent[way]
+            z, r = gate(x[:3] + own[:3]), gate(x[3:6] + own[3:6])
+            h = z * h + (1 - z) * np.tanh(x[6:] + r * (own[6:] + net.bias[way]))
+            out.append(h)
+        return out
+
+    texts = [b"a", b"abc xyz", b"some words of a longer text that are read in pieces", b""]
+    found = language.pooled(net, texts)
+    for text, got in zip(texts, found, strict=True):
+        total = np.zeros(2)
+        for a in range(0, len(text), 7):
+            low = max(0, a - 3)
+            piece = text[low : min(a + 7, len(text)) + 3]
+            ahead, back = walk(0, piece), walk(1, piece[::-1])[::-1]
+            for t in range(a - low, min(a + 7, len(text)) - low):
+                logits = np.concatenate((ahead[t], back[t])) @ net.output + net.offset
+                total += np.exp(logits) / np.exp(logits).sum()
+        np.testing.assert_allclose(got, total / max(len(text), 1), atol=1e-5)
+
+
 def test_license_scan_against_brute_force(spark):
     rng = random.Random(8)
     names = sorted(licenses.TEMPLATES)

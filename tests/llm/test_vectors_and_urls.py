@@ -55,6 +55,18 @@ def test_nearest_odd_rows(spark):
     assert nearest.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_large_ids_and_extreme_components(spark):
+    rows = [(0, [1.0, 0.0]), (2**53, [3.0, 1.0]), (2**53 + 1, [3.0, 1.0]), (5, [1e100, 1e100]), (6, [1e200, 1e-200]), (7, [1e-200, 0.0]), (8, [-5e-324, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest.nearest(df, F.col("vec_id").isin(0, 6, 7), k=6).orderBy("query_id", "rank").collect()
+    want = [(7, 1.0), (2**53, 3 / 10**0.5), (2**53 + 1, 3 / 10**0.5), (5, 0.5**0.5), (8, -(0.5**0.5))]
+    for query, twin in ((0, 6), (6, 0), (7, 0)):
+        got = [(r.vec_id, r.score) for r in found if r.query_id == query]
+        others = sorted([(twin, 1.0), ({0: 7, 6: 7, 7: 6}[query], 1.0)])
+        assert {i for i, _ in got[:2]} == {i for i, _ in others} and [i for i, _ in got[2:]] == [i for i, _ in want[1:]]
+        np.testing.assert_allclose([x for _, x in got], [x for _, x in others + want[1:]], rtol=1e-12)
+
+
 URLS = ["http://Sub.Example.ORG/en/17?x", "https://example.org/es/3", "http://badexample.org/es/", "ftp://a.com/fr/", "http://a.com/de/9#t", "http://a.com/de", "http://org/", "http://a.org?/", "nohost", None, "", "x://", "http://a.org:80/", "a://b.com/fr/c://d.com/de/"]
 
 
