@@ -48,6 +48,8 @@ ENCODINGS = (
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
 #: Quarters of a decade of p-values that are told apart.
 DECADES = 1200
+#: Matches of a text whose offsets are summed one after the other.
+BLOCK = 256
 
 
 def _quoted(text: str) -> str:
@@ -57,17 +59,21 @@ def _quoted(text: str) -> str:
 def _matches(pattern: str, group: int, least: int, extra: str = "") -> str:
     """SQL: array of (s, e, ...) of a pattern's matches in `text` whose group has the least length.
 
-    Texts between matches and the matches themselves, in turn, give the offsets.
+    Texts between matches and the matches themselves, in turn, give the offsets.  They are summed in
+    blocks, and then within each block, so the time grows in proportion to the matches of a text.
     """
     p = _quoted(pattern)
     kind = "array<struct<s:bigint,e:bigint,f:string,g:string>>"
-    return f"""CASE WHEN text RLIKE {p} THEN transform(filter(aggregate(
-        arrays_zip(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), regexp_extract_all(text, {p}, {group})),
-        named_struct('at', 0L, 'out', CAST(array() AS {kind})),
+    parts = f"arrays_zip(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), regexp_extract_all(text, {p}, {group}))"
+    blocks, block = f"sequence(0, (size(v) - 1) div {BLOCK})", f"slice(v, CAST(b * {BLOCK} + 1 AS int), {BLOCK})"
+    starts = f"""aggregate({blocks}, array(0L), (a, b) -> concat(a, array(element_at(a, -1)
+        + aggregate({block}, 0L, (n, z) -> n + length(z.`0`) + coalesce(length(z.`1`), 0)))))"""
+    spans = f"""flatten(transform({blocks}, b -> aggregate({block}, named_struct('at', at[CAST(b AS int)], 'out', CAST(array() AS {kind})),
         (a, z) -> named_struct('at', a.at + length(z.`0`) + coalesce(length(z.`1`), 0), 'out', CASE WHEN z.`1` IS NULL THEN a.out ELSE
-            concat(a.out, array(named_struct('s', a.at + length(z.`0`), 'e', a.at + length(z.`0`) + length(z.`1`), 'f', z.`1`, 'g', z.`2`))) END),
-        a -> a.out), m -> length(m.g) >= {least}), m -> named_struct('s', m.s, 'e', m.e{extra}))
-      ELSE array() END"""
+            concat(a.out, array(named_struct('s', a.at + length(z.`0`), 'e', a.at + length(z.`0`) + length(z.`1`), 'f', z.`1`, 'g', z.`2`))) END), a -> a.out)))"""
+    # A lambda over an array of one holds what is used more than once.
+    found = f"transform(array({parts}), v -> transform(array({starts}), at -> {spans})[0])[0]"
+    return f"CASE WHEN text RLIKE {p} THEN transform(filter({found}, m -> length(m.g) >= {least}), m -> named_struct('s', m.s, 'e', m.e{extra})) ELSE array() END"
 
 
 def _battery() -> str:

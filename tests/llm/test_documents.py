@@ -276,6 +276,14 @@ def test_secret_battery_tells_random_from_text(spark):
     assert sum(rows[i] for i in range(20, len(texts))) == 0
 
 
+def test_secret_scan_of_very_many_matches(spark):
+    text = " ".join(f"token=abc{n:06d}" for n in range(40_000))
+    r = secret_scan.digest(secret_scan.scan_secrets(frame(spark, [text, "token=abcdef"]))).orderBy("doc_id").collect()
+    assert [x.n_assign for x in r] == [40_000, 1]
+    want = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=\w+", text)]
+    assert r[0].spans.split(",") == want
+
+
 def test_language_learns_and_marks_undetermined(spark):
     rng = random.Random(7)
     tongues = {"aa": ["kar", "tol", "min", "zak", "kost"], "bb": ["öu", "eli", "çan", "wia", "éo"], "cc": ["thry", "wyn", "ghul", "cwm", "llan"]}
@@ -401,6 +409,11 @@ def test_pieces_against_brute_force_and_round_trip(spark, tmp_path):
         assert own.decode(ids.tolist()) == t
 
 
+def test_ids_of_no_piece_are_decoded_as_replacement_characters():
+    pieces = tiny_pieces()
+    assert unigram.Segmenter(pieces).decode([-1, 258 + 1, len(pieces.raw), 10**9]) == "\ufffda\ufffd\ufffd"
+
+
 def test_pieces_on_frames(spark):
     from gridloom.llm.queries import TOKENIZERS
 
