@@ -304,8 +304,9 @@ class Segmenter:
         return np.array(out[::-1], np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        """The text of pieces, without the space put before it; bytes that are no UTF-8 come out as U+FFFD."""
-        return b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+        """The text of pieces, without the space put before it; bytes that are no UTF-8, and ids of no piece, come out as U+FFFD."""
+        shown, missing = self.shown, "\ufffd".encode()
+        return b"".join(shown[i] if 0 <= i < len(shown) else missing for i in ids).decode("utf-8", "replace").removeprefix(" ")
 
 
 @lru_cache(maxsize=2)
