@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bound_batches
+from .store import bound_batches, trimmed
 
 #: Bytes that are labelled at once, bytes read on either side of them, and both together.
 STEP, EDGE = 96, 16
@@ -216,7 +216,7 @@ def label(docs: DataFrame, net: Network, *, text_col: str = "text", lang_col: st
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=names)
 
     schema = rows.withColumn(lang_col, F.lit(None).cast("string")).withColumn(score_col, F.lit(None).cast("double")).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import bound_batches, components, dropped, kept, partitions
+from .store import bound_batches, components, dropped, give_back, kept, partitions, trimmed
 
 #: Counters of the shingle sketch (a fixed size) and the counters a row carries.
 SKETCH_BITS = 20
@@ -246,6 +246,7 @@ def _scan_lists(percent: int):
     def run(frame):
         import pandas as pd
 
+        give_back()
         key, ck, n, pos, kind = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("keys", np.uint64), ("ck", np.int64), ("n", np.int32), ("pos", np.int32), ("kind", np.int8)))
         order = np.lexsort((ck, pos, key))  # a list's pivot has the fewest rarer shingles, as an original has beside its edited copies
         key, ck, n, pos, kind = key[order], ck[order], n[order], pos[order], kind[order]
@@ -313,7 +314,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scan = kept(docs.mapInArrow(_scan(width), _SCAN), "sets")
+    scan = kept(docs.mapInArrow(trimmed(_scan(width)), _SCAN), "sets")
     rows = scan.where("chunk IS NULL").select("doc_id", "n", "ck")
     classes = kept(
         scan.where("n > 0").groupBy("ck").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("bins").alias("bins")).where("rep IS NOT NULL"), "classes"
@@ -323,7 +324,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     limit = boundary(sizes, percent, 2.0)
     total = classes.agg(F.sum("n")).first()[0] or 0
     groups = max(partitions(spark), math.ceil(total * (102 - percent) / 100 / GROUP_POSTINGS))
-    packed = docs.select("text").mapInArrow(_postings(width, percent, level, salts, limit, groups), "g int, keys binary, ck binary, n binary, pos binary, kind binary")
+    packed = docs.select("text").mapInArrow(trimmed(_postings(width, percent, level, salts, limit, groups)), "g int, keys binary, ck binary, n binary, pos binary, kind binary")
     found = kept(packed.groupBy("g").applyInPandas(_scan_lists(percent), _FOUND), "found")
 
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
@@ -338,7 +339,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def links(candidates: DataFrame, name: str) -> DataFrame:
         """The pairs of ids of those candidates that link."""
         side = lambda x: classes.select(F.col("ck").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
-        likely = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "binsa", "binsb").mapInArrow(_likely(percent), "a long, b long")
+        likely = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "binsa", "binsb").mapInArrow(trimmed(_likely(percent)), "a long, b long")
         rep = lambda x: classes.select(F.col("ck").alias(x), F.col("rep").alias(f"r{x}"))
         likely = kept(likely.join(rep("a"), "a").join(rep("b"), "b").select("a", "b", "ra", "rb"), "likely")
         ids = likely.select(F.col("ra").alias("id")).union(likely.select(F.col("rb").alias("id"))).distinct()
@@ -346,7 +347,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         texts = kept(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
         text = lambda x: texts.select(F.col("doc_id").alias(f"r{x}"), F.col("text").alias(f"t{x}"))
         full = likely.join(text("a"), "ra").join(text("b"), "rb").select("ra", "rb", "a", "b", "ta", "tb")
-        found = kept(full.mapInArrow(_verify(width, percent), "a long, b long").distinct(), name)
+        found = kept(full.mapInArrow(trimmed(_verify(width, percent)), "a long, b long").distinct(), name)
         dropped(likely, texts)
         return found
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bound_batches
+from .store import bound_batches, trimmed
 
 MARK = "▁"
 #: Fixed values of the model file: piece kinds and the kind of model whose scores are merge ranks.
@@ -345,7 +345,7 @@ def _added(rows: DataFrame, model_path: str, source: str, ids_col: str | None, t
 
     kinds = {ids_col: "array<int>", text_col: "string"}
     schema = rows.select(*out, *(F.lit(None).cast(kinds[c]).alias(c) for c in new)).schema
-    return rows.select(*kept).mapInArrow(run, schema)
+    return rows.select(*kept).mapInArrow(trimmed(run), schema)
 
 
 def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
