@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import replace
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import functions as F
@@ -21,13 +23,21 @@ def _scaled_down(frame: GridFrame, target: GridMapping, interp_methods: Any, agg
     grid = frame.grid
     x0, y0, x1, y1 = project_bounds(target.crs, grid.crs, target.xy_bbox)
     x_res, y_res = (x1 - x0) / target.width, (y1 - y0) / target.height
+    polar = grid.crs.is_geographic and not target.crs.is_geographic and 90 in (-y0, y1)
+    if polar:
+        x_res = y_res  # around a pole, longitudes tell nothing of a pixel's width
     x_scale, y_scale = grid.x_res / x_res, grid.y_res / y_res
     if x_scale >= SCALE_LIMIT and y_scale >= SCALE_LIMIT:
         return frame
     dx, dy = 2 * grid.x_res, 2 * grid.y_res
-    frame = clip_by_bbox(frame, (x0 - dx, y0 - dy, x1 + dx, y1 + dy))
+    # A box across the source's seam needs columns of both sides.
+    seam = grid.crs.is_geographic and (x0 < grid.x_min or x1 > grid.x_max)
+    columns = (grid.x_min, grid.x_max) if seam else (x0 - dx, x1 + dx)
+    frame = clip_by_bbox(frame, (columns[0], y0 - dy, columns[1], y1 + dy))
     grid = frame.grid
     size = scale_size(grid.size, x_scale, y_scale)
+    if polar:  # no pixel reaches beyond the pole
+        x_res, y_res = (grid.x_max - grid.x_min) / size[0], (grid.y_max - grid.y_min) / size[1]
     coarse = GridMapping.regular(size, (grid.x_min, grid.y_min), (x_res, y_res), grid.crs, tile_size=(min(size[0], grid.tile_width), min(size[1], grid.tile_height)))
     return affine_transform_dataset(frame, coarse, interp_methods=downscale_methods(interp_methods), agg_methods=agg_methods, recover_nans=recover_nans)
 
@@ -37,9 +47,11 @@ def _within(frame: GridFrame, target: GridMapping) -> GridFrame:
     grid = frame.grid
     x0, y0, x1, y1 = project_bounds(target.crs, grid.crs, target.xy_bbox)
     dx, dy = 2 * grid.x_res + 0.1 * (x1 - x0), 2 * grid.y_res + 0.1 * (y1 - y0)
-    columns = [math.floor((x - grid.x_min) / grid.x_res) for x in (x0 - dx, x1 + dx)]
+    turns = (-360, 0, 360) if grid.crs.is_geographic else (0,)
+    columns = [[math.floor((x + turn - grid.x_min) / grid.x_res) for x in (x0 - dx, x1 + dx)] for turn in turns]
     rows = [math.floor((grid.y_max - y) / grid.y_res) for y in (y1 + dy, y0 - dy)]
-    return replace(frame, df=frame.df.where(F.col("j").between(*rows) & F.col("i").between(*columns)))
+    some = reduce(or_, (F.col("i").between(*c) for c in columns if c[1] >= 0 and c[0] < grid.width), F.lit(False))
+    return replace(frame, df=frame.df.where(F.col("j").between(*rows) & some))
 
 
 def reproject_dataset(source: GridFrame, target_gm: GridMapping, source_gm: GridMapping | None = None, *, variables: Any = None, interp_methods: Any = None, agg_methods: Any = None, recover_nans: Any = False, fill_values: Any = None) -> GridFrame:
@@ -53,7 +65,14 @@ def reproject_dataset(source: GridFrame, target_gm: GridMapping, source_gm: Grid
     frame = _scaled_down(frame, target_gm, interp_methods, agg_methods, recover_nans)
     grid = frame.grid
     centres = project(target_gm.pixel_frame(frame.df.sparkSession), target_gm.crs, grid.crs)
+    if grid.crs.is_geographic:
+        # Longitudes count within half a turn of the source's middle, so that sources of 0 to 360 degrees are met too.
+        middle = (grid.x_min + grid.x_max) / 2
+        centres = centres.withColumn("x", F.col("x") - 360 * F.floor((F.col("x") - middle + 180) / 360))
     index = lambda c, low, res: (F.col(c) - F.lit(float(low))) / F.lit(float(res))
-    targets = centres.select("j", "i", index("y", grid.y_max - grid.y_res / 2, -grid.y_res).alias("sj"), index("x", grid.x_min + grid.x_res / 2, grid.x_res).alias("si"))
+    row = index("y", grid.y_max - grid.y_res / 2, -grid.y_res)
+    if grid.crs.is_geographic and grid.y_min <= -90:
+        row = F.least(row, F.lit(grid.height - 0.5 - 1e-9))  # the pole itself lies in the last row
+    targets = centres.select("j", "i", row.alias("sj"), index("x", grid.x_min + grid.x_res / 2, grid.x_res).alias("si"))
     df = gather(_within(frame, target_gm), targets, methods, fills, ties="even", high="ceil", truncate={n: m == "triangular" for n, m in methods.items()})
     return replace(frame, df=df, grid=target_gm).with_spatial_ref()

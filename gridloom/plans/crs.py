@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 Steps = tuple[tuple[str, str], ...]
 
 _FUNCTIONS = {
-    n: getattr(math, n) for n in ("sin", "cos", "tan", "asin", "atan", "atan2", "sinh", "cosh", "atanh", "sqrt", "exp", "radians", "degrees")
+    n: getattr(math, n) for n in ("sin", "cos", "tan", "asin", "atan", "atan2", "sinh", "cosh", "atanh", "sqrt", "exp", "radians", "degrees", "ceil")
 } | {"ln": math.log, "pow": pow, "greatest": max, "least": min, "abs": abs}
 
 
@@ -99,6 +99,10 @@ def _named(text: str) -> CRS:
             return _utm(n % 100, False, GRS80, name)
         if n == 3035:
             return _crs(name, "laea", "lambert_azimuthal_equal_area", GRS80, lon0=10.0, lat0=52.0, fe=4321000.0, fn=3210000.0)
+        if n in (6931, 6932):
+            return _crs(name, "laea", "lambert_azimuthal_equal_area", WGS84, lon0=0.0, lat0=90.0 if n == 6931 else -90.0, fe=0.0, fn=0.0)
+        if n in (3571, 3572, 3573, 3574, 3575, 3576):
+            return _crs(name, "laea", "lambert_azimuthal_equal_area", WGS84, lon0=(180.0, -150.0, -100.0, -40.0, 10.0, 90.0)[n - 3571], lat0=90.0, fe=0.0, fn=0.0)
         if n == 3857:
             return _crs(name, "webmerc", "mercator", WGS84, lon0=0.0, fe=0.0, fn=0.0)
         if n == 3034:
@@ -156,7 +160,13 @@ def _steps(crs: CRS, back: bool) -> Steps:
     if crs.family == "rotated":
         raise ValueError(f"unsupported CRS for transformations: {crs.name}")
     p = dict(crs.parameters)
-    return {"tmerc": _tmerc, "laea": _laea, "webmerc": _webmerc, "lcc": _lcc}[crs.family](p, back)
+    steps = {"tmerc": _tmerc, "laea": _laea, "webmerc": _webmerc, "lcc": _lcc}[crs.family](p, back)
+    return tuple((n, _wrapped(text)) if back and n == "lon" else (n, text) for n, text in steps)
+
+
+def _wrapped(degrees: str) -> str:
+    """An angle in degrees, over -180 and up to 180."""
+    return f"({degrees}) - 360.0e0 * ceil((({degrees}) - 180.0e0) / 360.0e0)"
 
 
 def _tmerc(p: dict[str, float], back: bool) -> Steps:
@@ -192,22 +202,23 @@ def _tmerc(p: dict[str, float], back: bool) -> Steps:
 
 
 def _laea(p: dict[str, float], back: bool) -> Steps:
-    """Lambert azimuthal equal area, oblique, by authalic latitudes."""
+    """Lambert azimuthal equal area, oblique or polar, by authalic latitudes."""
     f = 1 / p["rf"]
     e2 = f * (2 - f)
     e = math.sqrt(e2)
     q_of = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
     qp, s0 = q_of(1.0), math.sin(math.radians(p["lat0"]))
     b0, rq = math.asin(q_of(s0) / qp), p["a"] * math.sqrt(qp / 2)
-    d = p["a"] * math.sqrt(1 - s0 * s0) / math.sqrt(1 - e2 * s0 * s0) / (rq * math.cos(b0))
-    sb, cb = _num(math.sin(b0)), _num(math.cos(b0))
+    polar = abs(p["lat0"]) == 90
+    d = 1.0 if polar else p["a"] * math.sqrt(1 - s0 * s0) / math.sqrt(1 - e2 * s0 * s0) / (rq * math.cos(b0))
+    sb, cb = _num(math.copysign(1.0, b0) if polar else math.sin(b0)), _num(0.0 if polar else math.cos(b0))
     fe, fn = _num(p["fe"]), _num(p["fn"])
     if not back:
         return (
             ("sl", "sin(radians(lat))"), ("dl", f"radians(lon - {_num(p['lon0'])})"),
             ("qq", f"{_num(1 - e2)} * (sl / (1.0e0 - {_num(e2)} * sl * sl) - ln((1.0e0 - {_num(e)} * sl) / (1.0e0 + {_num(e)} * sl)) / {_num(2 * e)})"),
             ("bb", f"asin(greatest(-1.0e0, least(1.0e0, qq / {_num(qp)})))"),
-            ("rr", f"{_num(rq)} * sqrt(2.0e0 / (1.0e0 + {sb} * sin(bb) + {cb} * cos(bb) * cos(dl)))"),
+            ("rr", f"{_num(rq)} * sqrt(2.0e0 / greatest(1.0e-15, 1.0e0 + {sb} * sin(bb) + {cb} * cos(bb) * cos(dl)))"),
             ("x", f"{fe} + rr * {_num(d)} * cos(bb) * sin(dl)"), ("y", f"{fn} + rr / {_num(d)} * ({cb} * sin(bb) - {sb} * cos(bb) * cos(dl))"),
         )
     series = [e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360]
@@ -242,7 +253,7 @@ def _lcc(p: dict[str, float], back: bool) -> Steps:
         return (
             ("sl", f"{_num(e)} * sin(radians(lat))"),
             ("tt", f"tan({_num(math.pi / 4)} - radians(lat) / 2.0e0) / pow((1.0e0 - sl) / (1.0e0 + sl), {_num(e / 2)})"),
-            ("rr", f"{_num(scale)} * pow(tt, {_num(n)})"), ("th", f"{_num(n)} * radians(lon - {_num(p['lon0'])})"),
+            ("rr", f"{_num(scale)} * pow(tt, {_num(n)})"), ("dl", f"lon - {_num(p['lon0'])}"), ("th", f"{_num(n)} * radians({_wrapped('dl')})"),
             ("x", f"{fe} + rr * sin(th)"), ("y", f"{fn} + {_num(r0)} - rr * cos(th)"),
         )
     sign = math.copysign(1.0, n)
@@ -282,13 +293,36 @@ def project_point(source: CRS, target: CRS, x: float, y: float) -> tuple[float,
 
 
 def project_bounds(source: CRS, target: CRS, bbox: tuple[float, float, float, float], between: int = 21) -> tuple[float, float, float, float]:
-    """The bounding box in the target system of a box whose edges carry `between` points besides corners."""
+    """The bounding box in the target system of a box whose edges carry `between` points besides corners.
+
+    Longitudes of a box in another system run on across 180 degrees (170 to 190, say); a box that holds a pole reaches
+    to it and has all longitudes, from -180 to 180.
+    """
     x0, y0, x1, y1 = bbox
     steps = [k / (between + 1) for k in range(between + 2)]
-    edge = [(x0 + (x1 - x0) * t, y) for t in steps for y in (y0, y1)] + [(x, y0 + (y1 - y0) * t) for t in steps for x in (x0, x1)]
-    points = [project_point(source, target, x, y) for x, y in edge]
+    across, up = [x0 + (x1 - x0) * t for t in steps], [y0 + (y1 - y0) * t for t in steps]
+    ring = [(x, y0) for x in across] + [(x1, y) for y in up] + [(x, y1) for x in reversed(across)] + [(x0, y) for y in reversed(up)]
+    points = [project_point(source, target, x, y) for x, y in ring]
     xs, ys = zip(*points, strict=True)
-    return min(xs), min(ys), max(xs), max(ys)
+    if not target.is_geographic or source.is_geographic:
+        return min(xs), min(ys), max(xs), max(ys)
+    on = [xs[0]]
+    for x in xs[1:]:
+        on.append(on[-1] + (x - on[-1] + 180) % 360 - 180)
+    poles = [lat for lat in (90.0, -90.0) if _holds(bbox, source, lat)]
+    shift = 360 * math.floor(((min(on) + max(on)) / 2 + 180) / 360)
+    low, high = (-180.0, 180.0) if poles or max(on) - min(on) >= 360 else (min(on) - shift, max(on) - shift)
+    return low, min(*ys, *poles), high, max(*ys, *poles)
+
+
+def _holds(bbox: tuple[float, float, float, float], crs: CRS, lat: float) -> bool:
+    """Whether a box of a system holds the pole of this latitude."""
+    try:
+        x, y = project_point(CRS_WGS84, crs, dict(crs.parameters)["lon0"], math.copysign(abs(lat) - 1e-7, lat))
+        back = project_point(crs, CRS_WGS84, x, y)
+    except (ArithmeticError, ValueError):
+        return False
+    return bbox[0] <= x <= bbox[2] and bbox[1] <= y <= bbox[3] and abs(back[1] - lat) < 1e-3
 
 
 def sql_of(steps: Steps, source: str, keep: str = "*") -> str:

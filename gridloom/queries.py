@@ -173,39 +173,39 @@ RECOVER_SQL = f"""WITH h AS (SELECT CAST(max(user_id) AS BIGINT) + 1 AS h FROM e
 
 # -- reprojection
 
-#: The image as a raster of 100 m pixels in a UTM zone, and targets in the equal-area system.
-UTM_CORNER, LAEA_STEP = (560000.0, 5900000.0), 130.0
+#: The image as a raster of 100 m pixels in a UTM zone.
+UTM_CORNER = (560000.0, 5900000.0)
 
 
 def _utm_grid(height: int) -> GridMapping:
     return GridMapping.regular((WIDTH, height), UTM_CORNER, 100, UTM)
 
 
-def _laea_grid(height: int) -> GridMapping:
-    from .plans.crs import project_point
+def _laea_corner() -> tuple[int, int]:
+    from .plans.crs import project_bounds
+
+    x, y = UTM_CORNER
+    return tuple(math.floor(v) for v in project_bounds(UTM, LAEA, (x, y, x + 100 * WIDTH, y + 100))[:2])
 
-    x, y = project_point(UTM, LAEA, *UTM_CORNER)
-    return GridMapping.regular((50, min(400, height)), (math.floor(x), math.floor(y)), LAEA_STEP, LAEA)
+
+def _laea_grid(height: int) -> GridMapping:
+    """A target of 90 m pixels over the whole image."""
+    return GridMapping.regular((80 + height // 50, height * 10 // 9 + 3), _laea_corner(), 90.0, LAEA)
 
 
 def _reproject(method: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         h = _rows(spark, sf_dir)
         # The resolutions are near enough to do without scaling down first.
-        frame = replace(image(spark, sf_dir, _utm_grid(h)))
-        grid = _laea_grid(h)
-        grid = GridMapping.regular(grid.size, (grid.x_min, grid.y_min), 90.0, LAEA)
-        return shown(reproject_dataset(frame, grid, variables="v", interp_methods=method).df, "v")
+        return shown(reproject_dataset(image(spark, sf_dir, _utm_grid(h)), _laea_grid(h), variables="v", interp_methods=method).df, "v")
 
     return run
 
 
 def _reproject_sql(method: str) -> str:
-    from .plans.crs import project_point
-
-    x, y = (math.floor(v) for v in project_point(UTM, LAEA, *UTM_CORNER))
+    x, y = _laea_corner()
     cells = f"""(SELECT tj, ti, h, {x}.0e0 + 90.0e0 * (ti + 0.5e0) AS x, {y}.0e0 + 90.0e0 * th - 90.0e0 * (tj + 0.5e0) AS y
-        FROM (SELECT h, least(400, h) AS th FROM {ROWS_SQL}), LATERAL (SELECT unnest(range(th)) AS tj), (SELECT unnest(range(50)) AS ti))"""
+        FROM (SELECT h, h * 10 // 9 + 3 AS th, 80 + h // 50 AS tw FROM {ROWS_SQL}), LATERAL (SELECT unnest(range(th)) AS tj), LATERAL (SELECT unnest(range(tw)) AS ti))"""
     places = sql_of(LAEA.inverse(), "cells", "tj, ti, h, lon, lat")
     moved = sql_of(UTM.forward(), "(SELECT *, 0.0e0 AS x, 0.0e0 AS y FROM places)", "tj, ti, h, x, y")
     both = f"WITH cells AS MATERIALIZED {cells}, places AS MATERIALIZED ({places}), moved AS MATERIALIZED ({moved}) "
@@ -227,36 +227,48 @@ def _reproject_sql(method: str) -> str:
 
 # -- rectification
 
-SWATH = (40, 48)  # rows and columns of the image that serve as a swath
+SWATH = (40, 48)  # rows and columns of a swath whose grid is inferred
 LON, LAT = "10.0e0 + 0.1e0 * i + 0.02e0 * j", "50.0e0 - 0.1e0 * j + 0.03e0 * i"
-RECTIFIED_SIZE, RECTIFIED_MIN, RECTIFIED_RES = (60, 55), (10.013, 46.041), 0.0971
+#: The whole image as a swath: its size in degrees hardly depends on its number of rows.
+SCALE = "400.0e0"
+WHOLE_LON, WHOLE_LAT = "10.0e0 + f * (0.1e0 * i + 0.002e0 * j)", "50.0e0 + f * (0.03e0 * i - 0.1e0 * j)"
+RECTIFIED_RES = 0.0971
 
 
-def swath(spark: SparkSession, sf_dir: str) -> GridFrame:
-    frame = image(spark, sf_dir)
-    df = frame.df.where(f"j < {SWATH[0]} AND i < {SWATH[1]}")
+def swath_grid(spark: SparkSession) -> GridMapping:
     places = spark.range(SWATH[0] * SWATH[1]).select(F.expr(f"id div {SWATH[1]}").alias("j"), F.expr(f"id % {SWATH[1]}").alias("i"))
-    return GridFrame.from_dataframe(df, grid_from_pixels(places.select("j", "i", F.expr(LON).alias("x"), F.expr(LAT).alias("y")), CRS_WGS84))
+    return grid_from_pixels(places.select("j", "i", F.expr(LON).alias("x"), F.expr(LAT).alias("y")), CRS_WGS84)
+
+
+def swath(spark: SparkSession, sf_dir: str) -> GridFrame:
+    h = _rows(spark, sf_dir)
+    places = spark.range(h * WIDTH).select(F.expr(f"id div {WIDTH}").alias("j"), F.expr(f"id % {WIDTH}").alias("i"), F.expr(f"{SCALE} / {h}").alias("f"))
+    return GridFrame.from_dataframe(image(spark, sf_dir).df, grid_from_pixels(places.select("j", "i", F.expr(WHOLE_LON).alias("x"), F.expr(WHOLE_LAT).alias("y")), CRS_WGS84))
+
+
+def _rectified(height: int) -> GridMapping:
+    """A target over the whole swath, with pixels a little smaller than the swath's."""
+    f, size = 400.0 / height, (68 + height // 45, height + height // 25 + 22)
+    return GridMapping.regular(size, (10 + f * 0.013, 50 + f * (1.95 - RECTIFIED_RES * size[1])), f * RECTIFIED_RES, CRS_WGS84)
 
 
 def _rectify(method: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        target = GridMapping.regular(RECTIFIED_SIZE, RECTIFIED_MIN, RECTIFIED_RES, CRS_WGS84)
-        return shown(rectify_dataset(swath(spark, sf_dir), target, variables="v", interp_methods=method).df, "v")
+        return shown(rectify_dataset(swath(spark, sf_dir), _rectified(_rows(spark, sf_dir)), variables="v", interp_methods=method).df, "v")
 
     return run
 
 
 def _rectify_sql(method: str) -> str:
-    (w, h), (x0, y0), r = RECTIFIED_SIZE, RECTIFIED_MIN, RECTIFIED_RES
-    top = y0 + r * h
+    size = f"""(SELECT *, 10 + f * 0.013e0 AS x0, 50 + f * 1.95e0 AS top, f * {RECTIFIED_RES}e0 AS r
+        FROM (SELECT h, {SCALE} / h AS f, 68 + h // 45 AS w, h + h // 25 + 22 AS th FROM {ROWS_SQL}))"""
     cross = lambda a, b: f"(({a}x) * ({b}y) - ({a}y) * ({b}x))"
-    pixels = f"(SELECT j, i, {LON} AS x, {LAT} AS y FROM (SELECT unnest(range({SWATH[0]})) AS j), (SELECT unnest(range({SWATH[1]})) AS i))"
+    pixels = f"(SELECT j, i, {WHOLE_LON} AS x, {WHOLE_LAT} AS y FROM {size}, LATERAL (SELECT unnest(range(h)) AS j), (SELECT unnest(range({WIDTH})) AS i))"
     quads = f"""(SELECT a.j AS qj, a.i AS qi, a.x AS p0x, a.y AS p0y, b.x AS p1x, b.y AS p1y, c.x AS p2x, c.y AS p2y, d.x AS p3x, d.y AS p3y
         FROM {pixels} a JOIN {pixels} b ON b.j = a.j AND b.i = a.i + 1 JOIN {pixels} c ON c.j = a.j + 1 AND c.i = a.i JOIN {pixels} d ON d.j = a.j + 1 AND d.i = a.i + 1)"""
-    ranges = f"""(SELECT *, greatest(0, CAST(floor((least(p0x, p1x, p2x, p3x) - {x0}) / {r}) AS BIGINT)) AS ia, least({w - 1}, CAST(floor((greatest(p0x, p1x, p2x, p3x) - {x0}) / {r}) AS BIGINT)) AS ib,
-        greatest(0, CAST(floor(({top} - greatest(p0y, p1y, p2y, p3y)) / {r}) AS BIGINT)) AS ja, least({h - 1}, CAST(floor(({top} - least(p0y, p1y, p2y, p3y)) / {r}) AS BIGINT)) AS jb FROM {quads})"""
-    cells = f"""(SELECT *, {x0} + (ti + 0.5) * {r} AS px, {top} - (tj + 0.5) * {r} AS py FROM {ranges}, LATERAL (SELECT unnest(range(ja, jb + 1)) AS tj), LATERAL (SELECT unnest(range(ia, ib + 1)) AS ti))"""
+    ranges = f"""(SELECT *, greatest(0, CAST(floor((least(p0x, p1x, p2x, p3x) - x0) / r) AS BIGINT)) AS ia, least(w - 1, CAST(floor((greatest(p0x, p1x, p2x, p3x) - x0) / r) AS BIGINT)) AS ib,
+        greatest(0, CAST(floor((top - greatest(p0y, p1y, p2y, p3y)) / r) AS BIGINT)) AS ja, least(th - 1, CAST(floor((top - least(p0y, p1y, p2y, p3y)) / r) AS BIGINT)) AS jb FROM {quads}, {size})"""
+    cells = f"""(SELECT *, x0 + (ti + 0.5) * r AS px, top - (tj + 0.5) * r AS py FROM {ranges}, LATERAL (SELECT unnest(range(ja, jb + 1)) AS tj), LATERAL (SELECT unnest(range(ia, ib + 1)) AS ti))"""
     sides = lambda o, u, v: ", ".join(f"{a}{c} - p{o}{c} AS {n}{o}{c}" for a, n in ((f"p{u}", "u"), (f"p{v}", "v"), ("p", "d")) for c in "xy")
     frac = lambda o: f"{cross(f'd{o}', f'v{o}')} / {cross(f'u{o}', f'v{o}')} AS fu{o}, {cross(f'u{o}', f'd{o}')} / {cross(f'u{o}', f'v{o}')} AS fv{o}"
     hit = lambda o: f"(fu{o} >= -0.001 AND fv{o} >= -0.001 AND fu{o} + fv{o} <= 1.002)"
@@ -264,10 +276,10 @@ def _rectify_sql(method: str) -> str:
     hits = f"""(SELECT qj, qi, tj, ti, CASE WHEN {hit(0)} THEN qj + {clamp('fv0')} ELSE qj + 1 - {clamp('fv3')} END AS sj, CASE WHEN {hit(0)} THEN qi + {clamp('fu0')} ELSE qi + 1 - {clamp('fu3')} END AS si
         FROM (SELECT *, {frac(0)}, {frac(3)} FROM (SELECT *, {sides(0, 1, 2)}, {sides(3, 2, 1)} FROM {cells})) WHERE {hit(0)} OR {hit(3)})"""
     first = f"(SELECT tj, ti, arg_min(sj, (qj, qi)) AS sj, arg_min(si, (qj, qi)) AS si FROM {hits} GROUP BY tj, ti)"
-    target = f"(SELECT tj, ti, f.sj, f.si FROM (SELECT * FROM (SELECT unnest(range({h})) AS tj), (SELECT unnest(range({w})) AS ti)) LEFT JOIN {first} f USING (tj, ti))"
+    target = f"(SELECT tj, ti, p.sj, p.si, h FROM (SELECT tj, ti, h FROM {size}, LATERAL (SELECT unnest(range(th)) AS tj), LATERAL (SELECT unnest(range(w)) AS ti)) LEFT JOIN {first} p USING (tj, ti))"
     if method == "nearest":
         near = lambda c, n: f"CASE WHEN {c} IS NOT NULL THEN least({n}, CAST(floor({c}) AS BIGINT) + CASE WHEN {c} - floor({c}) > 0.5 THEN 1 ELSE 0 END) END"
-        return f"SELECT tj AS j, ti AS i, round(s.v, 6) AS v FROM {target} LEFT JOIN {IMAGE_SQL} s ON s.j = {near('sj', SWATH[0] - 1)} AND s.i = {near('si', SWATH[1] - 1)}"
+        return f"SELECT tj AS j, ti AS i, round(s.v, 6) AS v FROM {target} LEFT JOIN {IMAGE_SQL} s ON s.j = {near('sj', 'h - 1')} AND s.i = {near('si', WIDTH - 1)}"
     v00, v01, v10, v11 = (f"max(CASE WHEN k = {k} THEN s.v END)" for k in range(4))
     if method == "bilinear":
         value = f"({v00} + u * ({v01} - {v00})) + t * (({v10} + u * ({v11} - {v10})) - ({v00} + u * ({v01} - {v00})))"
@@ -275,7 +287,7 @@ def _rectify_sql(method: str) -> str:
         value = f"CASE WHEN u + t < 1 THEN {v00} + u * ({v01} - {v00}) + t * ({v10} - {v00}) ELSE {v11} + (1 - u) * ({v10} - {v11}) + (1 - t) * ({v01} - {v11}) END"
     return f"""SELECT tj AS j, ti AS i, round({value}, 6) AS v FROM (SELECT *, si - floor(si) AS u, sj - floor(sj) AS t FROM {target}),
         (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)) c(k, dj, di)
-        LEFT JOIN {IMAGE_SQL} s ON s.j = least({SWATH[0] - 1}, floor(sj) + dj) AND s.i = least({SWATH[1] - 1}, floor(si) + di) GROUP BY tj, ti, u, t"""
+        LEFT JOIN {IMAGE_SQL} s ON s.j = least(h - 1, floor(sj) + dj) AND s.i = least({WIDTH - 1}, floor(si) + di) GROUP BY tj, ti, u, t"""
 
 
 # -- the dispatcher
@@ -287,14 +299,11 @@ def auto_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def auto_reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _rows(spark, sf_dir)
-    own = _laea_grid(h)
-    target = GridMapping.regular(own.size, (own.x_min, own.y_min), 90.0, LAEA)
-    return shown(resample_in_space(image(spark, sf_dir, _utm_grid(h)), target, variables="v", interp_methods="bilinear").df, "v")
+    return shown(resample_in_space(image(spark, sf_dir, _utm_grid(h)), _laea_grid(h), variables="v", interp_methods="bilinear").df, "v")
 
 
 def auto_rectify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = GridMapping.regular(RECTIFIED_SIZE, RECTIFIED_MIN, RECTIFIED_RES, CRS_WGS84)
-    return shown(resample_in_space(swath(spark, sf_dir), target, variables="v", interp_methods="nearest").df, "v")
+    return shown(resample_in_space(swath(spark, sf_dir), _rectified(_rows(spark, sf_dir)), variables="v", interp_methods="nearest").df, "v")
 
 
 def auto_same(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,8 +414,8 @@ def inferred_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, grid in (
         ("axes", grid_from_axes([10.0 + 0.5 * i for i in range(8)], [50.0 - 0.25 * j for j in range(5)], CRS_WGS84)),
         ("uneven", grid_from_axes([0.0, 1.0, 2.5, 3.5], [0.0, 2.0, 4.5], PLANE)),
-        ("swath", swath(spark, sf_dir).grid),
-        ("regular", swath(spark, sf_dir).grid.to_regular()),
+        ("swath", swath_grid(spark)),
+        ("regular", swath_grid(spark).to_regular()),
         ("scaled", GridMapping.regular((64, 32), (0, 0), 1, PLANE).scale((0.5, 0.25))),
     ):
         rows.append((name, grid.width, grid.height, *(float(v) for v in (*grid.xy_res, *(round(v, 6) for v in grid.xy_bbox))), bool(grid.is_regular), bool(grid.is_j_axis_up)))

@@ -1,11 +1,16 @@
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from samples import GRID_8X6, frame, grid_8x6, regular, swath, swath_2x2, swath_4x4, table, utm_5x5
 
 from gridloom.operators.affine import affine_transform_dataset
 from gridloom.operators.rectify import rectify_dataset
 from gridloom.operators.reproject import reproject_dataset
 from gridloom.operators.resample import resample_in_space
+from gridloom.plans.crs import CRS, project_bounds, project_point
+from gridloom.plans.grid import GridMapping
 from gridloom.sources.frame import GridFrame
 
 same = np.testing.assert_allclose
@@ -198,3 +203,42 @@ def test_dispatch(spark, caplog):
         resample_in_space(own, swath_2x2(spark).grid)
     size, xy_min, res, crs, expected = REPROJECT[0]
     same(resample_in_space(utm_5x5(spark), regular(size, xy_min, res, crs)).image("band_1"), table(expected))
+
+
+@pytest.fixture(scope="module")
+def globe(spark):
+    """A source of whole degrees with its own places as values; low is the first longitude."""
+
+    def make(low=-180):
+        df = spark.range(180 * 360).select(F.expr("id div 360").alias("j"), F.expr("id % 360").alias("i"))
+        df = df.withColumns({"lat": F.expr("89.5D - j"), "lon": F.expr(f"i + {low} + 0.5D - 360 * CAST(i + {low} >= 180 AS int)")})
+        return GridFrame.from_dataframe(df, GridMapping.regular((360, 180), (low, -90), 1, "EPSG:4326"))
+
+    return make
+
+
+@pytest.mark.parametrize("crs, far", [("EPSG:6931", 89), ("EPSG:6932", -89), ({"grid_mapping_name": "lambert_azimuthal_equal_area", "longitude_of_projection_origin": 10, "latitude_of_projection_origin": 80}, 89)])
+@pytest.mark.parametrize("size, res", [((40, 40), 150_000), ((15, 15), 160_000)])
+def test_targets_around_a_pole_have_data_everywhere(globe, crs, far, size, res):
+    target = GridMapping.regular(size, (-size[0] * res / 2, -size[1] * res / 2), res, CRS.from_any(crs))
+    rows = reproject_dataset(globe(), target, variables="lat", interp_methods="nearest").df.select("lat").collect()
+    assert len(rows) == size[0] * size[1] and not any(math.isnan(r.lat) for r in rows)
+    assert (max if far > 0 else min)(r.lat for r in rows) in (far + 0.5, far - 0.5)
+    low, _, high, top = project_bounds(target.crs, CRS.from_any("EPSG:4326"), target.xy_bbox)
+    assert (low, high) == (-180, 180) and (top == 90 or far < 0)
+
+
+@pytest.mark.parametrize("low", [-180, 0])
+def test_targets_across_the_antimeridian_have_data_everywhere(globe, low):
+    target = GridMapping.regular((8, 2), (700_000, 0), 25_000, "EPSG:32660")
+    rows = reproject_dataset(globe(low), target, variables="lon", interp_methods="nearest").df.where("j = 1").orderBy("i").collect()
+    assert [r.lon for r in rows] == [178.5] + [179.5] * 4 + [-179.5] * 3
+    x0, _, x1, _ = project_bounds(target.crs, CRS.from_any("EPSG:4326"), target.xy_bbox)
+    assert 178 < x0 < 179 and 180 < x1 < 181
+
+
+def test_polar_equal_area_goes_there_and_back():
+    for code, lat in (("EPSG:6931", 71.25), ("EPSG:6932", -71.25), ("EPSG:3572", 50.0)):
+        for lon in (-179.0, -20.0, 135.0, 180.0):
+            x, y = project_point(CRS.from_any("EPSG:4326"), CRS.from_any(code), lon, lat)
+            assert project_point(CRS.from_any(code), CRS.from_any("EPSG:4326"), x, y) == pytest.approx((lon, lat), abs=1e-7)
