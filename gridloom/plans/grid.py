@@ -303,18 +303,31 @@ class GridMapping:
         w, h, b = self.width, self.height, ij_border
         return [(-1, -1, -1, -1) if f[0] is None else (max(0, f[0] - b), max(0, f[1] - b), min(w, f[2] + 1 + b), min(h, f[3] + 1 + b)) for f in found]
 
-    def to_coords(self, xy_var_names: tuple[str, str] | None = None, *, exclude_bounds: bool = False, spark: SparkSession | None = None) -> tuple[DataFrame, DataFrame]:
-        """Axis coordinates as (i, <x>, <x>_bnds) and (j, <y>, <y>_bnds); longitudes lie between -180 and 180."""
+    def to_coords(
+        self, xy_var_names: tuple[str, str] | None = None, *, xy_dim_names: tuple[str, str] | None = None, reuse_coords: bool = False, exclude_bounds: bool = False, spark: SparkSession | None = None
+    ) -> tuple[DataFrame, DataFrame]:
+        """Axis coordinates as (i, <x>, <x>_bnds) and (j, <y>, <y>_bnds); longitudes lie between -180 and 180.
+
+        With xy_dim_names the columns i and j have these names.  With reuse_coords a grid read from axes gives their own
+        values, as they are and without bounds; other grids give computed ones.
+        """
         spark = spark or SparkSession.active()
         x_name, y_name = checked_names(xy_var_names, "xy_var_names") if xy_var_names else self.xy_var_names
+        across, down = checked_names(xy_dim_names, "xy_dim_names") if xy_dim_names else ("i", "j")
+        kinds = ("longitude", "latitude") if self.crs.is_geographic else ("projection_x_coordinate", "projection_y_coordinate")
+        told = [{"standard_name": kind} for kind in kinds]
+        if reuse_coords and self.x_values is not None and self.y_values is not None:
+            own = ((across, x_name, self.x_values, told[0]), (down, y_name, self.y_values, told[1]))
+            frames = [spark.createDataFrame([(n, float(v)) for n, v in enumerate(values)], f"`{dim}` long, `{name}` double") for dim, name, values, _ in own]
+            return tuple(df.withMetadata(name, meta) for df, (_, name, _, meta) in zip(frames, own, strict=True))
         wrap = lon_180_column if self.is_lon_360 else lambda c: c
-        at = lambda axis, t, res, low, up: (F.lit(float(low)) + F.lit(float(res)) * (F.col(axis) + F.lit(t))) if up else (F.lit(float(low)) - F.lit(float(res)) * (F.col(axis) + F.lit(t)))
+        step = lambda axis, t, res, low, up: (F.lit(float(low)) + F.lit(float(res)) * (F.col(axis) + F.lit(t))) if up else (F.lit(float(low)) - F.lit(float(res)) * (F.col(axis) + F.lit(t)))
         up, y_from = bool(self.is_j_axis_up), self.y_min if self.is_j_axis_up else self.y_max
-        x, y = spark.range(self.width).withColumnRenamed("id", "i"), spark.range(self.height).withColumnRenamed("id", "j")
-        kinds = ("longitude", "latitude") if self.crs.is_geographic else ("projection_x_coordinate", "projection_y_coordinate")
-        xs = x.select("i", wrap(at("i", 0.5, self.x_res, self.x_min, True)).alias(x_name, metadata={"standard_name": kinds[0]}), *([] if exclude_bounds else [F.array(*(wrap(at("i", t, self.x_res, self.x_min, True)) for t in (0.0, 1.0))).alias(f"{x_name}_bnds")]))
-        ys = y.select("j", at("j", 0.5, self.y_res, y_from, up).alias(y_name, metadata={"standard_name": kinds[1]}), *([] if exclude_bounds else [F.array(*(at("j", t, self.y_res, y_from, up) for t in (0.0, 1.0))).alias(f"{y_name}_bnds")]))
-        return xs, ys
+        x, y = spark.range(self.width).withColumnRenamed("id", across), spark.range(self.height).withColumnRenamed("id", down)
+        x_at, y_at = (lambda t: wrap(step(across, t, self.x_res, self.x_min, True))), (lambda t: step(down, t, self.y_res, y_from, up))
+        bounds = lambda at, name: [] if exclude_bounds else [F.array(at(0.0), at(1.0)).alias(f"{name}_bnds")]
+        xs = x.select(across, x_at(0.5).alias(x_name, metadata=told[0]), *bounds(x_at, x_name))
+        return xs, y.select(down, y_at(0.5).alias(y_name, metadata=told[1]), *bounds(y_at, y_name))
 
     # -- comparisons
 

@@ -80,6 +80,20 @@ def _coarsen_sql(name: str, column: str) -> str:
     return f"SELECT CAST(j // 4 AS BIGINT) AS j, CAST(i // 4 AS BIGINT) AS i, round(CAST({value} AS DOUBLE), 6) + 0.0 AS v FROM ({whole}) GROUP BY 1, 2"
 
 
+def _coarsen_gaps(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # A little more settles how means of prices round.
+        return coarsen(sparse(spark, sf_dir), 4, 4, name).select("j", "i", F.round(present(F.col("v")) + 1e-9, 6).alias("v"))
+
+    return run
+
+
+def _coarsen_gaps_sql(name: str) -> str:
+    value = {"count": "CAST(sum(CASE WHEN v = 0 THEN 0 ELSE 1 END) AS DOUBLE)", "sum": "coalesce(sum(v), 0)"}.get(name) or _REDUCER_SQL[name].format(v="v")
+    cells = "FROM (SELECT max(user_id) + 1 AS h FROM events), LATERAL (SELECT unnest(range(CAST(h // 4 * 4 AS BIGINT))) AS j), (SELECT unnest(range(24)) AS i)"
+    return f"SELECT CAST(j // 4 AS BIGINT) AS j, CAST(i // 4 AS BIGINT) AS i, round({value} + 1e-9, 6) AS v FROM (SELECT j, i {cells}) LEFT JOIN {SPARSE_SQL} USING (j, i) GROUP BY 1, 2"
+
+
 # -- affine maps
 
 #: name: (size, xy_min, resolution, options); heights are given in shares of the image's.
@@ -171,6 +185,30 @@ RECOVER_SQL = f"""WITH h AS (SELECT CAST(max(user_id) AS BIGINT) + 1 AS h FROM e
   FROM t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(dj, di) LEFT JOIN {SPARSE_SQL} s ON s.j = tj + dj AND s.i = ti + di GROUP BY tj, ti"""
 
 
+def affine_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image and its negative as two slices of one leading dimension."""
+    frame = image(spark, sf_dir)
+    cube = frame.df.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "j", "i", "v").withColumn("v", F.when(F.col("k") == 0, F.col("v")).otherwise(-F.col("v")))
+    share, xy_min, res, options = AFFINE["affine_bilinear"]
+    out = affine_transform_dataset(GridFrame.from_dataframe(cube, frame.grid, leading=["k"]), _target(frame.grid, share, xy_min, res), variables="v", **options)
+    return out.df.select("k", "j", "i", (F.round(present(F.col("v")), 6) + 0.0).alias("v"))
+
+
+LEADING_SQL = f"SELECT k, j, i, CASE WHEN k = 0 THEN v ELSE -v END + 0.0 AS v FROM ({_affine_sql('affine_bilinear')}), (VALUES (0), (1)) t(k)"
+
+
+def axis_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows counted from below, and back from above."""
+    frame = image(spark, sf_dir)
+    up = frame.with_rows_up(True)
+    again = up.with_rows_up(False)
+    both = shown(up.df, "v").join(again.df.select(F.col("j").alias("j_again"), F.col("i").alias("i_again"), F.round("v", 6).alias("v_again")), F.expr(f"j_again = {frame.grid.height - 1} - j AND i_again = i"))
+    return both.drop("i_again")
+
+
+FLIP_SQL = f"SELECT CAST(h - 1 - j AS BIGINT) AS j, i, round(v, 6) AS v, j AS j_again, round(v, 6) AS v_again FROM {IMAGE_SQL}, {ROWS_SQL}"
+
+
 # -- reprojection
 
 #: The image as a raster of 100 m pixels in a UTM zone.
@@ -450,10 +488,13 @@ def _project_sql(crs: CRS) -> str:
     return f"SELECT m.j, m.i, round(m.x, 3) AS x, round(m.y, 3) AS y, round(a.lon, 6) AS lon, round(a.lat, 6) AS lat FROM ({moved}) m JOIN ({again}) a ON a.j = m.j AND a.i = m.i"
 
 
+#: Reducers shown over windows with missing values.
+GAPS = ("center", "first", "last", "count", "sum", "max", "min", "mean", "median", "std", "var")
 QUERIES: dict[str, Query] = {
     **{f"coarsen_{n}": _coarsen(n, {"mode": "q", "prod": "p"}.get(n, "v")) for n in REDUCERS},
     **{f"coarsen_int_{n}": _coarsen(n, "q") for n in ("mean", "median", "std", "var", "sum", "max", "min", "count", "first", "last", "center")},
-    **{n: _affine(n) for n in AFFINE},
+    **{f"coarsen_gaps_{n}": _coarsen_gaps(n) for n in GAPS},
+    **{n: _affine(n) for n in AFFINE}, "affine_leading": affine_leading, "axis_flip": axis_flip,
     "affine_downscale": _affine_downscale(2, "mean"), "affine_downscale_sampled": _affine_downscale(2.5, "max"), "affine_recover_nan": affine_recover_nan,
     **{f"reproject_{m}": _reproject(m) for m in ("nearest", "bilinear", "triangular")},
     **{f"rectify_{m}": _rectify(m) for m in ("nearest", "bilinear", "triangular")},
@@ -465,7 +506,8 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     **{f"coarsen_{n}": _coarsen_sql(n, {"mode": "q", "prod": "p"}.get(n, "v")) for n in REDUCERS},
     **{f"coarsen_int_{n}": _coarsen_sql(n, "q") for n in ("mean", "median", "std", "var", "sum", "max", "min", "count", "first", "last", "center")},
-    **{n: _affine_sql(n) for n in AFFINE},
+    **{f"coarsen_gaps_{n}": _coarsen_gaps_sql(n) for n in GAPS},
+    **{n: _affine_sql(n) for n in AFFINE}, "affine_leading": LEADING_SQL, "axis_flip": FLIP_SQL,
     "affine_downscale": DOWNSCALE_MEAN_SQL, "affine_downscale_sampled": DOWNSCALE_MAX_SQL, "affine_recover_nan": RECOVER_SQL,
     **{f"reproject_{m}": _reproject_sql(m) for m in ("nearest", "bilinear", "triangular")},
     **{f"rectify_{m}": _rectify_sql(m) for m in ("nearest", "bilinear", "triangular")},

@@ -90,6 +90,20 @@ def test_to_coords(spark):
     assert ends(regular((10, 10), (172.0, 53.0), 2.0), ("lon", "lat")) == [173, -169, (172, 174), (-170, -168), 72, 54, (73, 71), (55, 53)]
 
 
+def test_to_coords_names_dimensions_and_takes_values_of_axes(spark):
+    xs, ys = regular((4, 3), (10.0, 50.0), 1.0).to_coords(("u", "v"), xy_dim_names=("col", "row"), exclude_bounds=True, spark=spark)
+    assert xs.columns == ["col", "u"] and ys.columns == ["row", "v"]
+    uneven = grid_from_axes([0.0, 1.0, 2.5, 3.5], [0.0, 2.0, 4.5], PLANE)
+    xs, ys = uneven.to_coords(reuse_coords=True, spark=spark)
+    assert [r.x for r in xs.orderBy("i").collect()] == [0.0, 1.0, 2.5, 3.5] and [r.y for r in ys.orderBy("j").collect()] == [0.0, 2.0, 4.5]
+    assert xs.columns == ["i", "x"] and xs.schema["x"].metadata["standard_name"] == "projection_x_coordinate"
+    # A grid without axes of its own has its coordinates computed.
+    xs, _ = regular((4, 3), (10.0, 50.0), 1.0).to_coords(reuse_coords=True, spark=spark)
+    assert [r.lon for r in xs.orderBy("i").collect()] == [10.5, 11.5, 12.5, 13.5]
+    with pytest.raises(ValueError, match="xy_dim_names"):
+        uneven.to_coords(xy_dim_names=("a", "a"), spark=spark)
+
+
 @pytest.mark.parametrize("value,digits,step,want", [
     (1.2, 1, 0.25, "5/4"), (1.45, 1, 0.25, "3/2"), (1.9, 1, 0.25, "2"), (1.23, 2, 0.25, "49/40"), (1.98, 2, 0.25, "79/40"), (-1, 1, 0.25, "-1"), (0, 2, 1, "0"),
     (5.247476065426347e-09, 2, 1, "13/2500000000"), (84.54360269093455, 2, 1, "85"), (494.86581234602096, 2, 1, "490"), (1143506.2928512183, 2, 1, "1100000"), (0.030607346091352187, 3, 0.25, "153/5000"),
