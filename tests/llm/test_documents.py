@@ -183,6 +183,20 @@ def test_line_dedup_large_group_gives_no_pairs_of_members(spark):
     assert got == dedup_by_hand(texts)
 
 
+def test_line_dedup_lines_with_many_partners_make_few_pairs(spark, monkeypatch):
+    # Copies a fifth of whose words differ resemble only some of the others, and seldom the first one with a key in common.
+    rng = random.Random(12)
+    base = prose(rng, 60)
+    texts = [c for edits in (4, 6, 9, 12) for c in near_copies(rng, base, 500, edits)]
+    rng.shuffle(texts)
+    made, pairs = [], line_dedup._prefix_pairs
+    monkeypatch.setattr(line_dedup, "_prefix_pairs", lambda *args: made.append(pairs(*args)) or made[-1])
+    monkeypatch.setattr(line_dedup, "dropped", lambda *tables: None)
+    got = [r.text for r in line_dedup.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == dedup_by_hand(texts)
+    assert sum(p.count() for p in made) < 32 * len(texts)
+
+
 def test_line_dedup_odd_rows(spark):
     line = "alpha beta gamma delta epsilon zeta"
     rows = [(None, line, "x"), (-3, line, "x"), (4, f"{line}\n{line} \nno", "x"), (4, f"{line}\n{line} \nno", "x"), (9, None, "x")]
@@ -473,6 +487,7 @@ def test_repeated_passages(spark):
 def test_repeated_passages_with_frequent_seeds(spark, monkeypatch):
     monkeypatch.setattr(passages, "FREQUENT", 3)
     rng = random.Random(12)
+    base = prose(rng, 60)
     passage = prose(rng, 70)
     texts = [" ".join(prose(rng, 40) + passage + prose(rng, 40)) for _ in range(12)]
     rows = passages.repeated_passages(frame(spark, texts)).collect()
