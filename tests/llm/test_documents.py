@@ -197,6 +197,18 @@ def test_line_dedup_lines_with_many_partners_make_few_pairs(spark, monkeypatch):
     assert sum(p.count() for p in made) < 32 * len(texts)
 
 
+def test_line_dedup_counts_words_of_a_sample(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [line for _ in range(60) for line in near_copies(rng, prose(rng, 20), 3, 2)]
+    docs = frame(spark, texts).selectExpr("doc_id AS own", "text")
+    whole = line_dedup._levels(docs)
+    monkeypatch.setattr(line_dedup, "COUNTED", 20)
+    some = line_dedup._levels(docs)
+    assert sum(map(int, some.split(","))) < sum(map(int, whole.split(",")))
+    got = [r.text for r in line_dedup.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == dedup_by_hand(texts)
+
+
 def test_line_dedup_odd_rows(spark):
     line = "alpha beta gamma delta epsilon zeta"
     rows = [(None, line, "x"), (-3, line, "x"), (4, f"{line}\n{line} \nno", "x"), (4, f"{line}\n{line} \nno", "x"), (9, None, "x")]
