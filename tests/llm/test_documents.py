@@ -197,6 +197,32 @@ def test_line_dedup_lines_with_many_partners_make_few_pairs(spark, monkeypatch):
     assert sum(p.count() for p in made) < 32 * len(texts)
 
 
+def test_line_dedup_few_pairs_of_groups_take_no_rounds_of_shares(spark, monkeypatch):
+    # A key of more than SHARE lines alone is no reason to read all lines once more: its pairs are fewer than the lines.
+    rng = random.Random(15)
+    texts = near_copies(rng, prose(rng, 40), 75, 1) + [" ".join(prose(rng, 4)) for _ in range(3000)]
+    shares, pairs = [], line_dedup._prefix_pairs
+    monkeypatch.setattr(line_dedup, "_prefix_pairs", lambda *args: shares.append(args[3:]) or pairs(*args))
+    got = [r.text for r in line_dedup.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == dedup_by_hand(texts)
+    assert shares and all(share in ((), (1,)) for share in shares)
+
+
+def test_line_dedup_parity_bits_never_exceed_the_difference(spark):
+    # Lines of any length have several words of bits, which bound how many tokens differ.
+    rng = random.Random(16)
+    texts = ["one", "one two"] + [line for size in (6, 16, 22, 40, 120) for line in near_copies(rng, prose(rng, size), 4, max(1, size // 8))]
+    docs = frame(spark, texts).selectExpr("doc_id AS own", "text")
+    tokens = line_dedup._tokens(frame(spark, texts).selectExpr("doc_id AS ord", "text AS line"), docs, 75, 1).collect()
+    assert sorted(r.ord for r in tokens) == list(range(len(texts)))
+    bits = lambda r: [r[f"s{w}"] & (2**64 - 1) for w in range(4)]
+    for a, b in itertools.product(tokens, tokens):
+        x, y = (set(texts[r.ord].split()) for r in (a, b))
+        assert a.n == len(x) and len(set(a.k)) == len(a.k) == len(x) - -(-75 * len(x) // 100) + 1
+        assert sum((s ^ t).bit_count() for s, t in zip(bits(a), bits(b), strict=True)) <= len(x ^ y)
+    assert any(r.n <= 24 and sum(map(bool, bits(r))) > 1 for r in tokens)
+
+
 def test_line_dedup_counts_words_of_a_sample(spark, monkeypatch):
     rng = random.Random(6)
     texts = [line for _ in range(60) for line in near_copies(rng, prose(rng, 20), 3, 2)]
