@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, line_dedup, nearest, passages, secret_scan, unigram, url_rules
+from . import decontaminate, language, licenses, line_dedup, merkle, nearest, passages, secret_scan, unigram, url_rules
 from .ngram_join import ngram_jaccard_join
 
 #: Where the public vocabulary files are; a parameter of the queries that read one.
@@ -248,6 +248,62 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKEN
     return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids", F.expr(f"decoded <=> replace(text, '{unigram.MARK}', ' ')").alias("round_trip"))
 
 
+#: DuckDB: the unsigned CRC-32 of a row's doc_id as decimal digits.
+CRC_SQL = """list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x:
+      list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, x)), 4294967295)"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest, and what its path says of a copy whose n_chars may be changed."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    leaves = docs.select("doc_id", "lang", merkle.digest_of(*fields).alias("leaf"), merkle.digest_of(*(changed if c == "n_chars" else c for c in fields)).alias("held"))
+    out = merkle.verify(merkle.manifest(leaves), leaf=F.col("held"))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda n: f"sha256({field('doc_id')} || {field('source')} || {field('lang')} || {field(n)} || {field('text')})"
+    return f"""
+WITH RECURSIVE crc AS (SELECT *, xor({CRC_SQL}, 4294967295) AS h FROM documents),
+held AS (SELECT *, CASE WHEN h % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS m FROM crc),
+leaf AS (SELECT doc_id, lang, {leaf('n_chars')} AS leaf, {leaf('m')} AS held FROM held),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+    dense_rank() OVER (ORDER BY lang IS NOT NULL, encode(coalesce(lang, ''))) - 1 AS g FROM leaf),
+tree AS (
+  SELECT g, 0 AS lvl, i, leaf AS d, n FROM placed
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, lvl, i // 2, n),
+sub AS (SELECT g, lvl AS height, d AS subroot FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, g AS i, subroot AS d, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, i // 2, n),
+nodes AS (SELECT g, lvl, i, d FROM tree UNION ALL SELECT -1, lvl, i, d FROM top),
+steps AS (
+  SELECT g, i, lvl AS z, g AS tg, lvl AS tl, xor(i >> lvl, 1) AS ti, (i >> lvl) & 1 AS odd FROM placed JOIN sub USING (g), range(60) r(lvl) WHERE lvl < height
+  UNION ALL
+  SELECT g, placed.i, height + lvl, -1, lvl, xor(g >> lvl, 1), (g >> lvl) & 1 FROM placed JOIN sub USING (g), range(60) r(lvl) WHERE lvl < (SELECT max(lvl) FROM top)),
+paths AS (
+  SELECT steps.g, steps.i, list({{'odd': odd = 1, 'd': coalesce(nodes.d, '')}} ORDER BY z) AS p
+  FROM steps LEFT JOIN nodes ON nodes.g = tg AND nodes.lvl = tl AND nodes.i = ti GROUP BY steps.g, steps.i),
+fold AS (
+  SELECT placed.g, placed.i, 0 AS z, held AS d, p FROM placed LEFT JOIN paths USING (g, i)
+  UNION ALL
+  SELECT g, i, z + 1, sha256(CASE WHEN p[z + 1].odd THEN p[z + 1].d || d ELSE d || p[z + 1].d END), p FROM fold WHERE z < coalesce(len(p), 0)),
+ends AS (SELECT g, i, d, p FROM fold WHERE z = coalesce(len(p), 0))
+SELECT doc_id, leaf, subroot, (SELECT d FROM top WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(p, lambda x: x.d), ''), '')) AS proof_sha256,
+  d AS folded_root, d = (SELECT d FROM top WHERE n = 1) AS verified
+FROM placed JOIN sub USING (g) JOIN ends USING (g, i)
+"""
+
+
+OP13_SQL = _merkle_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
@@ -259,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_license_scan": op9_license_scan,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
@@ -268,4 +325,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_nearest": OP6_SQL,
     "op7_url_filter": OP7_SQL,
     "op9_license_scan": OP9_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
