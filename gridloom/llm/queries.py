@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, line_dedup, merkle, nearest, passages, secret_scan, unigram, url_rules
+from . import decontaminate, language, licenses, line_dedup, merkle, metric_tree, nearest, passages, secret_scan, unigram, url_rules
 from .ngram_join import ngram_jaccard_join
 
 #: Where the public vocabulary files are; a parameter of the queries that read one.
@@ -248,6 +248,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKEN
     return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids", F.expr(f"decoded <=> replace(text, '{unigram.MARK}', ' ')").alias("round_trip"))
 
 
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(max(list_inner_product(q.e, c.e)) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 #: DuckDB: the unsigned CRC-32 of a row's doc_id as decimal digits.
 CRC_SQL = """list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x:
       list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, x)), 4294967295)"""
@@ -315,6 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_license_scan": op9_license_scan,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_top_products": op12_top_products,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -325,5 +341,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_nearest": OP6_SQL,
     "op7_url_filter": OP7_SQL,
     "op9_license_scan": OP9_SQL,
+    "op12_top_products": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
