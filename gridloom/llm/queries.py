@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, line_dedup, merkle, metric_tree, nearest, passages, secret_scan, unigram, url_rules
+from . import decontaminate, language, licenses, line_dedup, merkle, metric_tree, nearest, passages, secret_scan, tandem, unigram, url_rules
 from .ngram_join import ngram_jaccard_join
 
 #: Where the public vocabulary files are; a parameter of the queries that read one.
@@ -248,6 +248,47 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKEN
     return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids", F.expr(f"decoded <=> replace(text, '{unigram.MARK}', ' ')").alias("round_trip"))
 
 
+#: DuckDB: the unsigned CRC-32 of a row's doc_id as decimal digits.
+CRC_SQL = """list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x:
+      list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, x)), 4294967295)"""
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, of which a tenth, told by their ids, are made periodic from some word on first."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')")))
+    docs = docs.withColumns({"n": F.size("w"), "g": F.expr("h div 10")}).withColumn("a", F.expr("CASE WHEN n > 0 THEN cast(g % n AS int) END"))
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) AS int)"))
+    again = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) AS int))), 1, n - a)")
+    planted = docs.select("doc_id", F.when(F.col("a").isNotNull(), F.concat_ws(" ", F.concat(F.expr("slice(w, 1, a)"), again))).otherwise(F.col("text")).alias("text"))
+    out = tandem.collapse_runs(planted).withColumn("best", tandem.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP11_SQL = f"""
+WITH crc AS (
+  SELECT row_number() OVER () AS id, doc_id, xor({CRC_SQL}, 4294967295) AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 AND h % 10 = 0 THEN (h // 10) % len(w) END AS a FROM crc),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT id, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS w FROM p),
+x AS (SELECT id, n, unnest(range(n)) AS i, unnest(w) AS w FROM d),
+e AS (SELECT b.id, b.i, c.i - b.i AS q FROM x b JOIN x c ON b.id = c.id AND b.w = c.w AND c.i > b.i AND 4 * (c.i - b.i) <= b.n),
+s AS (SELECT id, q, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island, i FROM e),
+t AS (SELECT id, q, min(i) AS s, count(*) + q AS length FROM s GROUP BY id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM t o WHERE o.id = t.id AND o.q < t.q AND o.s <= t.s AND o.s + o.length >= t.s + t.length)),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CAST(length AS DOUBLE) / q DESC, s, q) AS place FROM r),
+lines AS (SELECT id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY id),
+gone AS (SELECT DISTINCT id, unnest(range(s + q, s + length)) AS i FROM r),
+stay AS (SELECT id, string_agg(w, ' ' ORDER BY i) AS short FROM x ANTI JOIN gone USING (id, i) GROUP BY id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, length, q AS period, 1000 * length // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(short, '')) AS collapsed_sha256
+FROM d LEFT JOIN lines USING (id) LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (id) LEFT JOIN stay USING (id)
+"""
+
+
 def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -263,11 +304,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-#: DuckDB: the unsigned CRC-32 of a row's doc_id as decimal digits.
-CRC_SQL = """list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x:
-      list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, x)), 4294967295)"""
-
-
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the manifest, and what its path says of a copy whose n_chars may be changed."""
     docs = _table(spark, sf_dir, "documents")
@@ -330,6 +366,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_license_scan": op9_license_scan,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_top_products": op12_top_products,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -341,6 +378,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_nearest": OP6_SQL,
     "op7_url_filter": OP7_SQL,
     "op9_license_scan": OP9_SQL,
+    "op11_periodic_runs": OP11_SQL,
     "op12_top_products": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
