@@ -4,7 +4,9 @@ Four neighbouring pixels form a quad of two triangles.  Each quad offers itself
 pixels in its bounds; those whose centre lies in a triangle get their fractional source
 index from it, and of several quads the first one in row order counts.  Quads come from one
 aggregation of pixels by corner, candidates from generated ranges, and the first quad from
-one aggregation with partial minima: no join compares ranges.
+one aggregation with partial minima: no join compares ranges.  Where the target doesn't hold the whole
+swath, an index of the source's blocks says first which of them can meet it; only their pixels make quads, and
+only their rows and columns are read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from ..plans.options import SCALE_LIMIT, UV_DELTA, downscale_methods, fill_of, m
 from ..sources.frame import GridFrame
 from .affine import resample
 from .gather import gather
+from .windows import BLOCK, met_pixels
 
 #: Candidates in one band of rows of a quad; larger quads are cut into bands before candidates are made.
 BAND_ROWS = 64
@@ -39,21 +42,34 @@ def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return ax * by - ay * bx
 
 
-def source_indices(grid: GridMapping, target: GridMapping, delta: float = UV_DELTA) -> DataFrame:
-    """(j, i, sj, si) of those target pixels that lie in a triangle of the grid's pixels."""
+def window_of(grid: GridMapping, target: GridMapping, block: int = BLOCK) -> tuple[DataFrame, tuple[int, int, int, int] | None]:
+    """The grid's pixels that the target can meet, and their window (i0, j0, i1, j1), ends included; the whole grid where the target holds it."""
+    pixels = grid.pixel_frame()
+    # A triangle reaches up to UV_DELTA of its sides beyond its corners: less than a pixel of either grid.
+    dx, dy = (float(max(a, b)) for a, b in zip(grid.xy_res, target.xy_res, strict=True))
+    box = (target.x_min - dx, target.y_min - dy, target.x_max + dx, target.y_max + dy)
+    if box[0] <= grid.x_min and box[1] <= grid.y_min and box[2] >= grid.x_max and box[3] >= grid.y_max:
+        return pixels, (0, 0, grid.width, grid.height)
+    return met_pixels(pixels, box, block)
+
+
+def source_indices(grid: GridMapping, target: GridMapping, delta: float = UV_DELTA, pixels: DataFrame | None = None) -> DataFrame:
+    """(j, i, sj, si) of those target pixels that lie in a triangle of the grid's pixels (or of some of them)."""
     x_from, y_from = float(target.x_min), float(target.y_min if target.is_j_axis_up else target.y_max)
     x_step, y_step = float(target.x_res), float(target.y_res if target.is_j_axis_up else -target.y_res)
     c = F.col
-    q = quads(grid.pixel_frame(), grid.width, grid.height)
-    finite = lambda f, axis: f(*(F.when(~F.isnan(c(f"{axis}{k}")), c(f"{axis}{k}")) for k in range(4)))
+    q = quads(grid.pixel_frame() if pixels is None else pixels, grid.width, grid.height)
     cell = lambda v, low, step: F.floor((v - F.lit(low)) / F.lit(step)).cast("long")
-    bad = lambda axis: F.greatest(*(F.isnan(c(f"{axis}{k}")).cast("int") for k in range(4)))
-    i_ends = [cell(finite(f, "x"), x_from, x_step) for f in (F.least, F.greatest)]
-    j_ends = [cell(finite(f, "y"), y_from, y_step) for f in (F.least, F.greatest)]
-    q = q.withColumns({
-        # A corner without coordinates leaves the range open towards 0.
-        "ia": F.when(bad("x") == 1, 0).otherwise(F.greatest(F.least(*i_ends), F.lit(0))), "ib": F.least(F.greatest(*i_ends), F.lit(target.width - 1)),
-        "ja": F.when(bad("y") == 1, 0).otherwise(F.greatest(F.least(*j_ends), F.lit(0))), "jb": F.least(F.greatest(*j_ends), F.lit(target.height - 1)),
+    missing = lambda k: F.isnan(c(f"x{k}")) | F.isnan(c(f"y{k}")) | c(f"x{k}").isNull() | c(f"y{k}").isNull()
+    q = q.withColumns({f"m{k}": missing(k) for k in range(4)}).withColumns({"a_whole": ~(c("m0") | c("m1") | c("m2")), "b_whole": ~(c("m3") | c("m1") | c("m2"))})
+    # A triangle without one of its corners meets nothing: the range is that of the others.
+    counts = {0: c("a_whole"), 3: c("b_whole"), 1: c("a_whole") | c("b_whole"), 2: c("a_whole") | c("b_whole")}
+    ends = lambda f, axis: f(*(F.when(counts[k], c(f"{axis}{k}")) for k in range(4)))
+    i_ends = [cell(ends(f, "x"), x_from, x_step) for f in (F.least, F.greatest)]
+    j_ends = [cell(ends(f, "y"), y_from, y_step) for f in (F.least, F.greatest)]
+    q = q.where("a_whole OR b_whole").withColumns({
+        "ia": F.greatest(F.least(*i_ends), F.lit(0)), "ib": F.least(F.greatest(*i_ends), F.lit(target.width - 1)),
+        "ja": F.greatest(F.least(*j_ends), F.lit(0)), "jb": F.least(F.greatest(*j_ends), F.lit(target.height - 1)),
     }).where("ia <= ib AND ja <= jb")
     det = lambda o, u, v: F.nanvl(_cross(c(f"x{u}") - c(f"x{o}"), c(f"y{u}") - c(f"y{o}"), c(f"x{v}") - c(f"x{o}"), c(f"y{v}") - c(f"y{o}")), F.lit(0.0))
     q = q.withColumns({"da": det(0, 1, 2), "db": det(3, 2, 1)}).where("da <> 0 OR db <> 0")
@@ -113,7 +129,11 @@ def rectify_dataset(source: GridFrame, target_gm: GridMapping | None = None, sou
     methods = {n: method_of(interp_methods, n, k) for n, k in frame.variables.items()}
     fills = {n: fill_of(fill_values, n, k) for n, k in frame.variables.items()}
     frame = _scaled_down(frame, target, interp_methods, agg_methods, recover_nans)
-    indices = source_indices(frame.grid, target)
+    pixels, window = window_of(frame.grid, target)
+    indices = source_indices(frame.grid, target, pixels=pixels)
+    if window is not None and window != (0, 0, *frame.grid.size):
+        i0, j0, i1, j1 = window
+        frame = replace(frame, df=frame.df.where(F.col("j").between(j0, j1) & F.col("i").between(i0, i1)))
     cells = frame.df.sparkSession.range(target.width * target.height).select(F.expr(f"id div {target.width}").alias("j"), F.expr(f"id % {target.width}").alias("i"))
     targets = cells.join(indices, ["j", "i"], "left")
     df = gather(frame, targets, methods, fills, ties="low", high="next", truncate={n: True for n in methods})

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 from fractions import Fraction
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -287,19 +288,26 @@ class GridMapping:
         return self.ij_bboxes_from_xy_bboxes([xy_bbox], xy_border, ij_border)[0]
 
     def ij_bboxes_from_xy_bboxes(self, xy_bboxes: Sequence[BBox], xy_border: float = 0.0, ij_border: int = 0) -> list[tuple[int, int, int, int]]:
-        """ij_bbox_from_xy_bbox for many boxes: by search along the axes, or by one aggregate over all pixels."""
+        """ij_bbox_from_xy_bbox for many boxes: by search along the axes, or by the windows of operators.windows; a single box by one aggregate over all pixels."""
         grown = [(x0 - xy_border, y0 - xy_border, x1 + xy_border, y1 + xy_border) for x0, y0, x1, y1 in xy_bboxes]
+        if self.pixels is not None and len(grown) > 1:
+            from ..operators.windows import ij_windows
+
+            spark = self.pixels.sparkSession
+            asked = spark.createDataFrame([(n, *map(float, b)) for n, b in enumerate(xy_bboxes)], "n int, x0 double, y0 double, x1 double, y1 double")
+            rows = ij_windows(self, asked, xy_border=xy_border, ij_border=ij_border).select("n", "i0", "j0", "i1", "j1").collect()  # as many as were given
+            return [tuple(r[1:]) for r in sorted(rows)]
         if self.pixels is not None:
-            inside = [F.col("x").between(x0, x1) & F.col("y").between(y0, y1) for x0, y0, x1, y1 in grown]
-            # One row comes back, whatever the number of pixels.
-            row = self.pixels.agg(*(f(F.when(c, F.col(n))).alias(f"{k}{n}{f.__name__}") for k, c in enumerate(inside) for n, f in (("i", F.min), ("j", F.min), ("i", F.max), ("j", F.max)))).first()
-            found = [tuple(row[4 * k : 4 * k + 4]) for k in range(len(grown))]
+            found = []
+            for x0, y0, x1, y1 in grown:
+                inside = F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
+                found.append(tuple(self.pixels.where(inside).agg(F.min("i"), F.min("j"), F.max("i"), F.max("j")).first()))
         else:
             found = []
-            xs, ys = self.x_coords, self.y_coords
+            axes = [np.asarray(a, float) for a in (self.x_coords, self.y_coords)]
             for x0, y0, x1, y1 in grown:
-                ii, jj = ([k for k, v in enumerate(axis) if low <= v <= high] for axis, low, high in ((xs, x0, x1), (ys, y0, y1)))
-                found.append((ii[0], jj[0], ii[-1], jj[-1]) if ii and jj else (None,) * 4)
+                ii, jj = (np.flatnonzero((axis >= low) & (axis <= high)) for axis, low, high in ((axes[0], x0, x1), (axes[1], y0, y1)))
+                found.append((int(ii[0]), int(jj[0]), int(ii[-1]), int(jj[-1])) if len(ii) and len(jj) else (None,) * 4)
         w, h, b = self.width, self.height, ij_border
         return [(-1, -1, -1, -1) if f[0] is None else (max(0, f[0] - b), max(0, f[1] - b), min(w, f[2] + 1 + b), min(h, f[3] + 1 + b)) for f in found]
 

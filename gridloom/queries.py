@@ -20,6 +20,7 @@ from .operators.rectify import rectify_dataset
 from .operators.reproject import reproject_dataset
 from .operators.resample import resample_in_space
 from .operators.tiles import coarsen, compute_from_blocks, tile_frame
+from .operators.windows import ij_windows, source_windows
 from .plans.crs import CRS, CRS_WGS84, project, sql_of, transformation
 from .plans.grid import GridMapping, lon_180_column, lon_360_column
 from .plans.options import REDUCERS
@@ -273,11 +274,6 @@ WHOLE_LON, WHOLE_LAT = "10.0e0 + f * (0.1e0 * i + 0.002e0 * j)", "50.0e0 + f * (
 RECTIFIED_RES = 0.0971
 
 
-def swath_grid(spark: SparkSession) -> GridMapping:
-    places = spark.range(SWATH[0] * SWATH[1]).select(F.expr(f"id div {SWATH[1]}").alias("j"), F.expr(f"id % {SWATH[1]}").alias("i"))
-    return grid_from_pixels(places.select("j", "i", F.expr(LON).alias("x"), F.expr(LAT).alias("y")), CRS_WGS84)
-
-
 def swath(spark: SparkSession, sf_dir: str) -> GridFrame:
     h = _rows(spark, sf_dir)
     places = spark.range(h * WIDTH).select(F.expr(f"id div {WIDTH}").alias("j"), F.expr(f"id % {WIDTH}").alias("i"), F.expr(f"{SCALE} / {h}").alias("f"))
@@ -297,11 +293,20 @@ def _rectify(method: str) -> Query:
     return run
 
 
-def _rectify_sql(method: str) -> str:
-    size = f"""(SELECT *, 10 + f * 0.013e0 AS x0, 50 + f * 1.95e0 AS top, f * {RECTIFIED_RES}e0 AS r
-        FROM (SELECT h, {SCALE} / h AS f, 68 + h // 45 AS w, h + h // 25 + 22 AS th FROM {ROWS_SQL}))"""
+def _size_sql(x0: str = "10 + f * 0.013e0", top: str = "50 + f * 1.95e0", r: str = f"f * {RECTIFIED_RES}e0", w: str = "68 + h // 45", th: str = "h + h // 25 + 22") -> str:
+    """One row: the image's height h, the target's left and upper edge, resolution, width and height."""
+    return f"(SELECT *, {x0} AS x0, {top} AS top, {r} AS r FROM (SELECT h, {SCALE} / h AS f, {w} AS w, {th} AS th FROM {ROWS_SQL}))"
+
+
+def _places_sql(size: str, lon: str = WHOLE_LON, lat: str = WHOLE_LAT, missing: str = "false") -> str:
+    return f"(SELECT j, i, CASE WHEN NOT ({missing}) THEN {lon} END AS x, CASE WHEN NOT ({missing}) THEN {lat} END AS y FROM {size}, LATERAL (SELECT unnest(range(h)) AS j), (SELECT unnest(range({WIDTH})) AS i))"
+
+
+def _rectify_sql(method: str, size: str | None = None, pixels: str | None = None) -> str:
+    size = size or _size_sql()
     cross = lambda a, b: f"(({a}x) * ({b}y) - ({a}y) * ({b}x))"
-    pixels = f"(SELECT j, i, {WHOLE_LON} AS x, {WHOLE_LAT} AS y FROM {size}, LATERAL (SELECT unnest(range(h)) AS j), (SELECT unnest(range({WIDTH})) AS i))"
+    both = f"WITH px AS MATERIALIZED {pixels or _places_sql(size)} "
+    pixels = "px"
     quads = f"""(SELECT a.j AS qj, a.i AS qi, a.x AS p0x, a.y AS p0y, b.x AS p1x, b.y AS p1y, c.x AS p2x, c.y AS p2y, d.x AS p3x, d.y AS p3y
         FROM {pixels} a JOIN {pixels} b ON b.j = a.j AND b.i = a.i + 1 JOIN {pixels} c ON c.j = a.j + 1 AND c.i = a.i JOIN {pixels} d ON d.j = a.j + 1 AND d.i = a.i + 1)"""
     ranges = f"""(SELECT *, greatest(0, CAST(floor((least(p0x, p1x, p2x, p3x) - x0) / r) AS BIGINT)) AS ia, least(w - 1, CAST(floor((greatest(p0x, p1x, p2x, p3x) - x0) / r) AS BIGINT)) AS ib,
@@ -317,17 +322,119 @@ def _rectify_sql(method: str) -> str:
     target = f"(SELECT tj, ti, p.sj, p.si, h FROM (SELECT tj, ti, h FROM {size}, LATERAL (SELECT unnest(range(th)) AS tj), LATERAL (SELECT unnest(range(w)) AS ti)) LEFT JOIN {first} p USING (tj, ti))"
     if method == "nearest":
         near = lambda c, n: f"CASE WHEN {c} IS NOT NULL THEN least({n}, CAST(floor({c}) AS BIGINT) + CASE WHEN {c} - floor({c}) > 0.5 THEN 1 ELSE 0 END) END"
-        return f"SELECT tj AS j, ti AS i, round(s.v, 6) AS v FROM {target} LEFT JOIN {IMAGE_SQL} s ON s.j = {near('sj', 'h - 1')} AND s.i = {near('si', WIDTH - 1)}"
+        return f"{both} SELECT tj AS j, ti AS i, round(s.v, 6) AS v FROM {target} LEFT JOIN {IMAGE_SQL} s ON s.j = {near('sj', 'h - 1')} AND s.i = {near('si', WIDTH - 1)}"
     v00, v01, v10, v11 = (f"max(CASE WHEN k = {k} THEN s.v END)" for k in range(4))
     if method == "bilinear":
         value = f"({v00} + u * ({v01} - {v00})) + t * (({v10} + u * ({v11} - {v10})) - ({v00} + u * ({v01} - {v00})))"
     else:
         value = f"CASE WHEN u + t < 1 THEN {v00} + u * ({v01} - {v00}) + t * ({v10} - {v00}) ELSE {v11} + (1 - u) * ({v10} - {v11}) + (1 - t) * ({v01} - {v11}) END"
-    return f"""SELECT tj AS j, ti AS i, round({value}, 6) AS v FROM (SELECT *, si - floor(si) AS u, sj - floor(sj) AS t FROM {target}),
+    return f"""{both} SELECT tj AS j, ti AS i, round({value}, 6) AS v FROM (SELECT *, si - floor(si) AS u, sj - floor(sj) AS t FROM {target}),
         (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)) c(k, dj, di)
         LEFT JOIN {IMAGE_SQL} s ON s.j = least(h - 1, floor(sj) + dj) AND s.i = least({WIDTH - 1}, floor(si) + di) GROUP BY tj, ti, u, t"""
 
 
+#: The middle of the swath only: 24 x 20 pixels.
+WINDOW_SIZE = _size_sql("10 + f * 2.013e0", "30 + f * 0.37e0", w="24", th="20")
+#: A swath whose lower half lies over its upper half, so that each place has two quads, and the first one counts.
+FOLDED_LAT = "50.0e0 + f * (0.03e0 * i - 0.1e0 * abs(j - hh))"
+FOLDED_SIZE = _size_sql(th="h // 2 + h // 25 + 22")
+#: A swath whose edges have no coordinates; its rows and columns aren't evenly spaced.
+RAGGED = f"i < (7 * j) % 5 OR i > {WIDTH - 3} + j % 4"
+RAGGED_LON, RAGGED_LAT = "10.0e0 + f * (0.1e0 * i + 0.0003e0 * i * i)", "51.0e0 - f * (0.1e0 * j + 0.01e0 * j * j / h)"
+RAGGED_SIZE = _size_sql(top="51 + f * 0.05e0", w="80", th="h * 17 // 15 + 22")
+#: A swath in a UTM zone, and a target in degrees that holds it.
+UTM_X, UTM_Y = "560000.0e0 + 100.0e0 * i + 3.0e0 * j", "5900000.0e0 - 100.0e0 * j + 30.0e0 * i"
+UTM_SIZE = _size_sql("9.88e0 - 0.00002e0 * h", "53.29e0", "0.0009e0", "200 + h // 9", "h + h // 20 + 80")
+
+
+def _pixels(spark: SparkSession, h: int, x: str, y: str, missing: str = "false") -> DataFrame:
+    places = spark.range(h * WIDTH).select(F.expr(f"id div {WIDTH}").alias("j"), F.expr(f"id % {WIDTH}").alias("i"), F.expr(f"{SCALE} / {h}").alias("f"), F.lit(h).alias("h"), F.expr(f"{h} div 2").alias("hh"))
+    here = lambda text: F.when(~F.expr(missing), F.expr(text)).otherwise(F.lit(math.nan))
+    return places.select("j", "i", here(x).alias("x"), here(y).alias("y"))
+
+
+def rectify_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small target on a large swath: few of its blocks are made into quads."""
+    h = _rows(spark, sf_dir)
+    f = 400.0 / h
+    target = GridMapping.regular((24, 20), (10 + f * 2.013, 30 + f * (0.37 - 20 * RECTIFIED_RES)), f * RECTIFIED_RES, CRS_WGS84)
+    return shown(rectify_dataset(swath(spark, sf_dir), target, variables="v", interp_methods="bilinear").df, "v")
+
+
+def _rectify_places(x: str, y: str, missing: str, grid: Callable[[int], GridMapping], crs: CRS = CRS_WGS84) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        h = _rows(spark, sf_dir)
+        frame = GridFrame.from_dataframe(image(spark, sf_dir).df, grid_from_pixels(_pixels(spark, h, x, y, missing), crs))
+        return shown(rectify_dataset(frame, grid(h), variables="v", interp_methods="bilinear").df, "v")
+
+    return run
+
+
+def _folded(height: int) -> GridMapping:
+    f, size = 400.0 / height, (68 + height // 45, height // 2 + height // 25 + 22)
+    return GridMapping.regular(size, (10 + f * 0.013, 50 + f * (1.95 - RECTIFIED_RES * size[1])), f * RECTIFIED_RES, CRS_WGS84)
+
+
+def _ragged(height: int) -> GridMapping:
+    f, size = 400.0 / height, (80, height * 17 // 15 + 22)
+    return GridMapping.regular(size, (10 + f * 0.013, 51 + f * (0.05 - RECTIFIED_RES * size[1])), f * RECTIFIED_RES, CRS_WGS84)
+
+
+def _degrees(height: int) -> GridMapping:
+    size = (200 + height // 9, height + height // 20 + 80)
+    return GridMapping.regular(size, (9.88 - 0.00002 * height, 53.29 - 0.0009 * size[1]), 0.0009, CRS_WGS84)
+
+
+def _rectify_utm_sql() -> str:
+    moved = sql_of(UTM.inverse(), f"(SELECT * FROM {_places_sql(UTM_SIZE, UTM_X, UTM_Y)})", "j, i, lon AS x, lat AS y")
+    return _rectify_sql("bilinear", UTM_SIZE, f"({moved})")
+
+
+def source_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of the swath's pixels in the tiles of a target."""
+    return source_windows(swath(spark, sf_dir).grid, _rectified(_rows(spark, sf_dir)).derive(tile_size=(16, 50)), xy_border=0.25, spark=spark)
+
+
+SOURCE_TILES_SQL = f"""WITH p AS {_places_sql(_size_sql())},
+  t AS (
+    SELECT h, CAST(ty * ceil(w / 16.0) + tx AS BIGINT) AS tile_id, x0 + r * tx * 16 - 0.25 AS ax, x0 + r * least(w, tx * 16 + 16) + 0.25 AS bx, top - r * least(th, ty * 50 + 50) - 0.25 AS ay, top - r * ty * 50 + 0.25 AS b_y
+    FROM {_size_sql()}, LATERAL (SELECT unnest(range(CAST(ceil(th / 50.0) AS BIGINT))) AS ty), LATERAL (SELECT unnest(range(CAST(ceil(w / 16.0) AS BIGINT))) AS tx)),
+  f AS (SELECT tile_id, max(h) AS h, min(i) AS i0, min(j) AS j0, max(i) AS i1, max(j) AS j1 FROM t LEFT JOIN p ON x BETWEEN ax AND bx AND y BETWEEN ay AND b_y GROUP BY tile_id)
+  SELECT tile_id, CASE WHEN i0 IS NULL THEN -1 ELSE greatest(0, i0 - 1) END AS i0, CASE WHEN i0 IS NULL THEN -1 ELSE greatest(0, j0 - 1) END AS j0,
+    CASE WHEN i0 IS NULL THEN -1 ELSE least({WIDTH}, i1 + 2) END AS i1, CASE WHEN i0 IS NULL THEN -1 ELSE least(h, j1 + 2) END AS j1 FROM f"""
+
+#: Boxes around places told by events; some lie outside of the swath.
+EVENT_BOX = {"x0": "9.5e0 + 0.0139e0 * (37 * user_id % 499)", "y0": "8.0e0 + 0.091e0 * (event_id % 487)", "x1": "9.5e0 + 0.0139e0 * (37 * user_id % 499) + 0.0503e0 * (1 + event_id % 9)", "y1": "8.0e0 + 0.091e0 * (event_id % 487) + 0.0711e0 * (1 + user_id % 13)"}
+
+
+def _event_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id IS NOT NULL AND user_id IS NOT NULL")
+    return events.select("event_id", *(F.expr(text).alias(c) for c, text in EVENT_BOX.items()))
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a box of each event, the window of the swath's pixels in it."""
+    return ij_windows(swath(spark, sf_dir).grid, _event_boxes(spark, sf_dir)).select("event_id", "i0", "j0", "i1", "j1")
+
+
+def event_windows_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = GridMapping.regular((WIDTH, _rows(spark, sf_dir)), (10.0, 9.0), (0.1, 0.08), CRS_WGS84)
+    return ij_windows(grid, _event_boxes(spark, sf_dir), xy_border=0.01, ij_border=2).select("event_id", "i0", "j0", "i1", "j1")
+
+
+_EVENT_BOXES_SQL = "(SELECT event_id, " + ", ".join(f"{text} AS {c}" for c, text in EVENT_BOX.items()) + " FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL)"
+#: Pixels meet boxes by whole degrees first, which spares most comparisons.
+EVENT_WINDOWS_SQL = f"""WITH p AS MATERIALIZED (SELECT *, CAST(floor(y) AS INTEGER) AS deg FROM {_places_sql(_size_sql())}),
+  b AS (SELECT *, unnest(range(CAST(floor(y0) AS INTEGER), CAST(floor(y1) AS INTEGER) + 1)) AS deg FROM {_EVENT_BOXES_SQL}),
+  f AS (SELECT event_id, min(i) AS i0, min(j) AS j0, max(i) + 1 AS i1, max(j) + 1 AS j1 FROM b JOIN p USING (deg) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY event_id)
+  SELECT event_id, coalesce(i0, -1) AS i0, coalesce(j0, -1) AS j0, coalesce(i1, -1) AS i1, coalesce(j1, -1) AS j1 FROM {_EVENT_BOXES_SQL} LEFT JOIN f USING (event_id)"""
+EVENT_REGULAR_SQL = f"""WITH b AS {_EVENT_BOXES_SQL}, h AS {ROWS_SQL},
+  x AS (SELECT event_id, min(i) AS i0, max(i) + 1 AS i1 FROM b, (SELECT unnest(range({WIDTH})) AS i) WHERE 10 + 0.1e0 * (i + 0.5) BETWEEN x0 - 0.01 AND x1 + 0.01 GROUP BY event_id),
+  y AS (SELECT event_id, min(j) AS j0, max(j) + 1 AS j1 FROM b, h, LATERAL (SELECT unnest(range(h)) AS j) WHERE 9 + 0.08e0 * h - 0.08e0 * (j + 0.5) BETWEEN y0 - 0.01 AND y1 + 0.01 GROUP BY event_id)
+  SELECT event_id, CASE WHEN i0 IS NULL OR j0 IS NULL THEN -1 ELSE greatest(0, i0 - 2) END AS i0, CASE WHEN i0 IS NULL OR j0 IS NULL THEN -1 ELSE greatest(0, j0 - 2) END AS j0,
+    CASE WHEN i0 IS NULL OR j0 IS NULL THEN -1 ELSE least({WIDTH}, i1 + 2) END AS i1, CASE WHEN i0 IS NULL OR j0 IS NULL THEN -1 ELSE least(h, j1 + 2) END AS j1 FROM (SELECT * FROM b, h) LEFT JOIN x USING (event_id) LEFT JOIN y USING (event_id)"""
+
+
 # -- the dispatcher
 
 def auto_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,16 +495,29 @@ BLOCKS_SQL = f"""SELECT j, i, CAST((j // 100 * 3 + i // 24) * 100000 + (j % 100)
     FROM {ROWS_SQL}, LATERAL (SELECT unnest(range(h)) AS j), (SELECT unnest(range({WIDTH})) AS i)"""
 
 
+def _event_grid(spark: SparkSession, sf_dir: str) -> GridMapping:
+    """A grid of one column a user, eastwards from 100 degrees, and one row an hour."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("user_id") + 1).first()[0] or 2
+    return GridMapping.regular((users, 24), (100.0, -30.0), (240.0 / users, 1.0), CRS_WGS84)
+
+
 def to_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = GridMapping.regular((120, 60), (100.0, -30.0), (1.0, 1.0), CRS_WGS84)
-    xs, ys = grid.to_coords(spark=spark)
-    x = xs.select(F.lit("lon").alias("axis"), F.col("i").alias("n"), F.col("lon").alias("c"), F.col("lon_bnds")[0].alias("b0"), F.col("lon_bnds")[1].alias("b1"))
-    return x.union(ys.select(F.lit("lat"), "j", "lat", F.col("lat_bnds")[0], F.col("lat_bnds")[1]))
+    """Centre and bounds of the cell of each event's user and hour."""
+    xs, ys = _event_grid(spark, sf_dir).to_coords(spark=spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("i"), F.hour("ts").cast("long").alias("j"))
+    r = lambda c: F.round(c, 6) + 0.0
+    both = events.join(xs, "i").join(ys, "j")
+    return both.select("event_id", r(F.col("lon")).alias("lon"), r(F.col("lon_bnds")[0]).alias("lon0"), r(F.col("lon_bnds")[1]).alias("lon1"), "lat", F.col("lat_bnds")[0].alias("lat0"), F.col("lat_bnds")[1].alias("lat1"))
+
+
+def _coords_sql() -> str:
+    at = lambda t: f"100 + 240.0e0 / n * (user_id + {t})"
+    wrap = lambda x: f"round(CASE WHEN {x} > 180 THEN {x} - 360 ELSE {x} END, 6) + 0.0"
+    return f"""SELECT event_id, {wrap(at('0.5e0'))} AS lon, {wrap(at('0'))} AS lon0, {wrap(at('1'))} AS lon1, CAST(-6.5 - hour(ts) AS DOUBLE) AS lat, CAST(-6.0 - hour(ts) AS DOUBLE) AS lat0, CAST(-7.0 - hour(ts) AS DOUBLE) AS lat1
+    FROM events, (SELECT max(user_id) + 1 AS n FROM events) WHERE user_id IS NOT NULL AND ts IS NOT NULL"""
 
 
-COORDS_SQL = """SELECT 'lon' AS axis, n, CASE WHEN c > 180 THEN c - 360 ELSE c END AS c, CASE WHEN c - 0.5 > 180 THEN c - 360.5 ELSE c - 0.5 END AS b0,
-      CASE WHEN c + 0.5 > 180 THEN c - 359.5 ELSE c + 0.5 END AS b1 FROM (SELECT n, CAST(100.5 + n AS DOUBLE) AS c FROM (SELECT unnest(range(120)) AS n))
-    UNION ALL SELECT 'lat', n, CAST(29.5 - n AS DOUBLE), CAST(30.0 - n AS DOUBLE), CAST(29.0 - n AS DOUBLE) FROM (SELECT unnest(range(60)) AS n)"""
+COORDS_SQL = _coords_sql()
 
 BOXES = ((-20.0, 4.0, -10.0, 9.0), (-100.0, -100.0, 100.0, 1000.0), (50.0, 0.0, 60.0, 1.0), (-3.3, 7.7, 2.1, 8.4))
 
@@ -427,45 +547,68 @@ def xy_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 XY_BOX_SQL = f"SELECT round(CAST(min(i) * 2 AS DOUBLE), 6) AS x_min, round(min(v), 6) AS y_min, round(CAST(max(i) * 2 AS DOUBLE), 6) AS x_max, round(max(v), 6) AS y_max FROM {SPARSE_SQL}"
 
 
+#: A longitude between -180 and 360 for each event, the ends included.
+EVENT_LON = "CAST((7 * event_id + user_id) % 541 - 180 AS DOUBLE)"
+
+
 def lon_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = spark.range(-180, 361).select(F.col("id").cast("double").alias("x"))
-    return x.select("x", lon_360_column(F.col("x")).alias("to_360"), lon_180_column(F.col("x")).alias("from_360"))
+    x = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(EVENT_LON).alias("x"))
+    return x.select("event_id", "x", lon_360_column(F.col("x")).alias("to_360"), lon_180_column(F.col("x")).alias("from_360"))
 
 
-LON_SQL = "SELECT CAST(x AS DOUBLE) AS x, CAST(CASE WHEN x < 0 THEN x + 360 ELSE x END AS DOUBLE) AS to_360, CAST(CASE WHEN x > 180 THEN x - 360 ELSE x END AS DOUBLE) AS from_360 FROM (SELECT unnest(range(-180, 361)) AS x)"
+LON_SQL = f"SELECT event_id, x, CAST(CASE WHEN x < 0 THEN x + 360 ELSE x END AS DOUBLE) AS to_360, CAST(CASE WHEN x > 180 THEN x - 360 ELSE x END AS DOUBLE) AS from_360 FROM (SELECT event_id, {EVENT_LON} AS x FROM events)"
 
 
 def index_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = GridMapping.regular((1440, 720), (-180, -90), 0.25, CRS_WGS84, is_j_axis_up=True)
-    b = GridMapping.regular((1000, 1000), (10, 50), 0.025, CRS_WGS84, is_j_axis_up=True)
-    rows = [(n, *(round(float(v), 9) + 0.0 for line in m for v in line)) for n, m in (("to_xy", a.ij_to_xy_transform), ("to_ij", a.xy_to_ij_transform), ("a_to_b", a.ij_transform_to(b)), ("a_from_b", a.ij_transform_from(b)))]
-    return spark.createDataFrame(rows, "name string, a double, b double, c double, d double, e double, f double")
+    """Each event's cell (its user and hour) in coordinates, in a finer grid's indices, and back."""
+    a = _event_grid(spark, sf_dir)
+    b = GridMapping.regular((a.width * 2, 100), (90.0, -40.0), (120.0 / a.width, 0.5), CRS_WGS84, is_j_axis_up=True)
+    at = lambda m, i, j: tuple(F.lit(float(p)) * i + F.lit(float(q)) * j + F.lit(float(r)) for p, q, r in m)
+    cell = (F.col("user_id"), F.hour("ts"))
+    x, y = at(a.ij_to_xy_transform, *cell)
+    i, j = at(a.ij_transform_to(b), *cell)
+    i_again, j_again = at(a.ij_transform_from(b), i, j)
+    i_own, j_own = at(a.xy_to_ij_transform, x, y)
+    named = {"x": x, "y": y, "i": i, "j": j, "i_again": i_again, "j_again": j_again, "i_own": i_own, "j_own": j_own}
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id IS NOT NULL AND ts IS NOT NULL")
+    return events.select("event_id", *((F.round(v, 6) + 0.0).alias(n) for n, v in named.items()))
 
 
-INDEX_SQL = """SELECT name, CAST(a AS DOUBLE) AS a, 0.0::DOUBLE AS b, CAST(c AS DOUBLE) AS c, 0.0::DOUBLE AS d, CAST(e AS DOUBLE) AS e, CAST(f AS DOUBLE) AS f
-    FROM (VALUES ('to_xy', 0.25, -180.0, 0.25, -90.0), ('to_ij', 4.0, 720.0, 4.0, 360.0), ('a_to_b', 10.0, -7600.0, 10.0, -5600.0), ('a_from_b', 0.1, 760.0, 0.1, 560.0)) t(name, a, c, e, f)"""
+INDEX_SQL = """SELECT event_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round((x - 90) / (120.0e0 / n), 6) + 0.0 AS i, round((y + 40) / 0.5, 6) + 0.0 AS j,
+    CAST(user_id AS DOUBLE) AS i_again, CAST(hour(ts) AS DOUBLE) AS j_again, CAST(user_id AS DOUBLE) AS i_own, CAST(hour(ts) AS DOUBLE) AS j_own
+    FROM (SELECT *, 100 + 240.0e0 / n * user_id AS x, CAST(-6 - hour(ts) AS DOUBLE) AS y FROM events, (SELECT max(user_id) + 1 AS n FROM events) WHERE user_id IS NOT NULL AND ts IS NOT NULL)"""
 
 
 def inferred_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grids inferred from axes and from pixels, and what is derived from them."""
+    """Grids inferred from axes and from pixels of the tables, and what is derived from them."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # Axes are geometry: one number for each column or row of an image.
+    axis = lambda text, source: [r[0] for r in source.select(F.expr(text).alias("v")).where("v IS NOT NULL").distinct().orderBy("v").collect()]
+    pixels = image(spark, sf_dir).df.select("j", "i", F.expr(LON).alias("x"), F.expr(LAT).alias("y")).where(f"j < {SWATH[0]} AND i < {SWATH[1]}")
+    own = grid_from_pixels(pixels, CRS_WGS84)
+    hours = axis("50.0e0 - 0.25e0 * hour(ts)", events)[::-1]
     rows = []
     for name, grid in (
-        ("axes", grid_from_axes([10.0 + 0.5 * i for i in range(8)], [50.0 - 0.25 * j for j in range(5)], CRS_WGS84)),
-        ("uneven", grid_from_axes([0.0, 1.0, 2.5, 3.5], [0.0, 2.0, 4.5], PLANE)),
-        ("swath", swath_grid(spark)),
-        ("regular", swath_grid(spark).to_regular()),
-        ("scaled", GridMapping.regular((64, 32), (0, 0), 1, PLANE).scale((0.5, 0.25))),
+        ("axes", grid_from_axes(axis("CAST(10.0e0 + 0.5e0 * pos AS double)", image(spark, sf_dir).df.select(F.col("i").alias("pos"))), hours, CRS_WGS84)),
+        ("uneven", grid_from_axes(axis("user_id + 0.1e0 * (user_id % 3)", events), axis("2.0e0 * hour(ts) + 0.5e0 * (hour(ts) % 2)", events), PLANE)),
+        ("swath", own),
+        ("regular", own.to_regular()),
+        ("scaled", image(spark, sf_dir).grid.scale((0.5, 0.25))),
     ):
         rows.append((name, grid.width, grid.height, *(float(v) for v in (*grid.xy_res, *(round(v, 6) for v in grid.xy_bbox))), bool(grid.is_regular), bool(grid.is_j_axis_up)))
     return spark.createDataFrame(rows, "name string, w long, h long, x_res double, y_res double, x0 double, y0 double, x1 double, y1 double, regular boolean, up boolean")
 
 
 #: The swath's cells are all alike: their edge, between the least and the largest, rounds to a tenth of a degree.
-GRIDS_SQL = f"""WITH g(name, w, h, x_res, y_res, x0, y0, x1, y1, regular, up) AS (
-    SELECT 'axes', 8, 5, 0.5, 0.25, 10 - 0.25, 50 - 4 * 0.25 - 0.125, 10 + 7 * 0.5 + 0.25, 50 + 0.125, true, false
-    UNION ALL SELECT 'uneven', 4, 3, median(dx), 2.25, -median(dx) / 2, -2.25 / 2, 3.5 + median(dx) / 2, 4.5 + 2.25 / 2, false, true FROM (VALUES (1.0), (1.5), (1.0)) d(dx)
-    UNION ALL SELECT 'swath', {SWATH[1]}, {SWATH[0]}, 0.1, 0.1, min(x) - 0.05, min(y) - 0.05, max(x) + 0.05, max(y) + 0.05, false, false FROM (SELECT {LON} AS x, {LAT} AS y FROM (SELECT unnest(range({SWATH[0]})) AS j), (SELECT unnest(range({SWATH[1]})) AS i))
-    UNION ALL SELECT 'scaled', 32, 8, 2.0, 4.0, 0, 0, 64, 32, true, false)
+GRIDS_SQL = f"""WITH a AS (SELECT DISTINCT 50 - 0.25 * hour(ts) AS v FROM events WHERE ts IS NOT NULL),
+  u AS (SELECT v, v - lag(v) OVER (ORDER BY v) AS d FROM (SELECT DISTINCT user_id + 0.1e0 * (user_id % 3) AS v FROM events WHERE user_id IS NOT NULL)),
+  o AS (SELECT v, v - lag(v) OVER (ORDER BY v) AS d FROM (SELECT DISTINCT 2.0e0 * hour(ts) + 0.5e0 * (hour(ts) % 2) AS v FROM events WHERE ts IS NOT NULL)),
+  uu AS (SELECT count(*) AS n, round(median(d), 6) AS r, min(v) AS a, max(v) AS b FROM u), oo AS (SELECT count(*) AS n, round(median(d), 6) AS r, min(v) AS a, max(v) AS b FROM o),
+  g(name, w, h, x_res, y_res, x0, y0, x1, y1, regular, up) AS (
+    SELECT 'axes', {WIDTH}, count(*), 0.5, 0.25, 10 - 0.25, min(v) - 0.125, 10 + 0.5 * {WIDTH - 1} + 0.25, max(v) + 0.125, true, false FROM a
+    UNION ALL SELECT 'uneven', uu.n, oo.n, uu.r, oo.r, uu.a - uu.r / 2, oo.a - oo.r / 2, uu.b + uu.r / 2, oo.b + oo.r / 2, false, true FROM uu, oo
+    UNION ALL SELECT 'swath', {SWATH[1]}, {SWATH[0]}, 0.1, 0.1, min(x) - 0.05, min(y) - 0.05, max(x) + 0.05, max(y) + 0.05, false, false FROM (SELECT {LON} AS x, {LAT} AS y FROM {IMAGE_SQL} WHERE j < {SWATH[0]} AND i < {SWATH[1]})
+    UNION ALL SELECT 'scaled', {WIDTH // 2}, greatest(2, CAST(round_even(h * 0.25, 0) AS BIGINT)), 2.0, 4.0, 0, 0, {WIDTH}, 4 * round_even(h * 0.25, 0), true, false FROM {ROWS_SQL})
   SELECT name, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, CAST(x_res AS DOUBLE) AS x_res, CAST(y_res AS DOUBLE) AS y_res, round(CAST(x0 AS DOUBLE), 6) AS x0, round(CAST(y0 AS DOUBLE), 6) AS y0, round(CAST(x1 AS DOUBLE), 6) AS x1, round(CAST(y1 AS DOUBLE), 6) AS y1, regular, up FROM g
   UNION ALL SELECT 'regular', CAST(round_even((x1 - x0 + 0.1) / 0.1, 0) AS BIGINT), CAST(round_even((y1 - y0 + 0.1) / 0.1, 0) AS BIGINT), 0.1, 0.1, round(CAST(x0 AS DOUBLE), 6), round(CAST(y0 AS DOUBLE), 6),
     round(CAST(x0 + 0.1 * round_even((x1 - x0 + 0.1) / 0.1, 0) AS DOUBLE), 6), round(CAST(y0 + 0.1 * round_even((y1 - y0 + 0.1) / 0.1, 0) AS DOUBLE), 6), true, false FROM g WHERE name = 'swath'"""
@@ -498,6 +641,9 @@ QUERIES: dict[str, Query] = {
     "affine_downscale": _affine_downscale(2, "mean"), "affine_downscale_sampled": _affine_downscale(2.5, "max"), "affine_recover_nan": affine_recover_nan,
     **{f"reproject_{m}": _reproject(m) for m in ("nearest", "bilinear", "triangular")},
     **{f"rectify_{m}": _rectify(m) for m in ("nearest", "bilinear", "triangular")},
+    "rectify_window": rectify_window, "rectify_folded": _rectify_places(WHOLE_LON, FOLDED_LAT, "false", _folded),
+    "rectify_ragged": _rectify_places(RAGGED_LON, RAGGED_LAT, RAGGED, _ragged), "rectify_utm": _rectify_places(UTM_X, UTM_Y, "false", _degrees, UTM),
+    "source_windows": source_tiles, "event_windows": event_windows, "event_windows_regular": event_windows_regular,
     "resample_auto_affine": auto_affine, "resample_auto_reproject": auto_reproject, "resample_auto_rectify": auto_rectify, "resample_auto_same": auto_same,
     "clip_bbox": clip_bbox, "select_variables": select_variables, "tile_boxes": tile_boxes, "pixel_blocks": pixel_blocks, "to_coords": to_coords, "ij_boxes": ij_boxes, "xy_box": xy_box,
     "lon_wraps": lon_wraps, "index_transforms": index_transforms, "inferred_grids": inferred_grids,
@@ -511,6 +657,9 @@ ORACLE_SQL: dict[str, str] = {
     "affine_downscale": DOWNSCALE_MEAN_SQL, "affine_downscale_sampled": DOWNSCALE_MAX_SQL, "affine_recover_nan": RECOVER_SQL,
     **{f"reproject_{m}": _reproject_sql(m) for m in ("nearest", "bilinear", "triangular")},
     **{f"rectify_{m}": _rectify_sql(m) for m in ("nearest", "bilinear", "triangular")},
+    "rectify_window": _rectify_sql("bilinear", WINDOW_SIZE), "rectify_folded": _rectify_sql("bilinear", FOLDED_SIZE, _places_sql(FOLDED_SIZE, WHOLE_LON, FOLDED_LAT.replace("hh", "h // 2"))),
+    "rectify_ragged": _rectify_sql("bilinear", RAGGED_SIZE, _places_sql(RAGGED_SIZE, RAGGED_LON, RAGGED_LAT, RAGGED)), "rectify_utm": _rectify_utm_sql(),
+    "source_windows": SOURCE_TILES_SQL, "event_windows": EVENT_WINDOWS_SQL, "event_windows_regular": EVENT_REGULAR_SQL,
     "resample_auto_affine": _affine_sql("affine_bilinear"), "resample_auto_reproject": _reproject_sql("bilinear"), "resample_auto_rectify": _rectify_sql("nearest"),
     "resample_auto_same": f"SELECT j, i, round(v, 6) AS v FROM {IMAGE_SQL}",
     "clip_bbox": CLIP_SQL, "select_variables": f"SELECT j, i, q FROM {IMAGE_SQL}", "tile_boxes": TILES_SQL, "pixel_blocks": BLOCKS_SQL, "to_coords": COORDS_SQL, "ij_boxes": IJ_BOXES_SQL, "xy_box": XY_BOX_SQL,
