@@ -3,13 +3,14 @@
 An item is contained in a text if the text holds the share `share` of the item's distinct
 word shingles.  Items are short and texts may be long, so their resemblance
 says little; the search therefore sketches both sides by the least values of one
-hash, with sketch sizes that depend on the item's size.  Items are partitioned
-by size (powers of two).  An item of q shingles keeps its m = q - ceil(share q) + 1
+hash, with sketch sizes that depend on the item's size.  An item of q shingles keeps its m = q - ceil(share q) + 1
 least hash values: of any m of its shingles a text that contains it holds one at
-least, so a collision is certain.  A partition's threshold is the largest value its
-sketches keep; a text's sketch for it are its own shingle values up to
-that threshold, and only these meet the items' sketches.  Candidates are then verified by
-their shingles themselves, as strings.
+least, so a collision is certain.  Items are partitioned by size (powers of two), and a partition has the least number
+of shingles that a text needs to contain one of its items.  The hash range is cut into buckets; a
+bucket's need is the least number of the partitions whose sketches have values in it.  A text's sketch are those of its own
+values that lie in buckets whose need its number of shingles reaches: values beyond the partitions' thresholds, of
+empty buckets, or of partitions of larger items only are never looked up.  What remains meets the items' sketches
+by value and partition, and candidates are verified by their shingles themselves, as strings.
 
 Words are split at white space after lower-casing.  Defined results: null and empty texts
 contain nothing; null or empty items are contained in nothing; a text or item of fewer
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Rows of item sketches, and texts to verify, up to which they are broadcast; more are joined by shuffles.
 FEW_SKETCHES, FEW_TEXTS = 500_000, 200_000
+#: Most buckets of the hash range, as powers of two; there are about four for each sketch value, up to these.
+BUCKET_BITS = 16
 
 
 def words(text: Column) -> Column:
@@ -50,6 +53,40 @@ def shingles(text: Column, width: int) -> Column:
     return F.array_distinct(_windows(text, width, lambda run: F.array_join(run, " ")))
 
 
+def sketched(sized: DataFrame, share: float) -> DataFrame:
+    """(item_id, need, sketch) of items (item_id, sorted values): the partition's need, and the item's least values."""
+    size = F.size("values")
+    m = size - F.ceil(size * F.lit(share)).cast("int") + 1
+    # A text's shingles are counted with repeats, so it has as many as the least item of the partition asks for.
+    need = F.ceil(F.pow(F.lit(2), F.floor(F.log2(size))) * F.lit(share)).cast("int")
+    return sized.select("item_id", need.alias("need"), F.slice("values", 1, m).alias("sketch"))
+
+
+def _bucket(value: Column, bits: int) -> Column:
+    """The place from 1 of a value's bucket among 2**bits equal ones."""
+    return (F.shiftright(value, 64 - bits) + F.lit(1 << bits - 1) + 1).cast("int")
+
+
+def bucket_needs(index: DataFrame, bits: int) -> list[int]:
+    """For each bucket of index (value, need) the least need, or a number that no text reaches where it is empty."""
+    out = [2**31 - 1] * (1 << bits)
+    # At most as many rows as there are buckets.
+    for r in index.groupBy(_bucket(F.col("value"), bits).alias("b")).agg(F.min("need").alias("need")).collect():
+        out[r["b"] - 1] = r["need"]
+    return out
+
+
+def looked_up(texts: DataFrame, needs: list[int]) -> DataFrame:
+    """(doc_id, text_key, n, value): of texts (doc_id, text_key, values) the values in buckets whose need the text reaches, and its number of shingles."""
+    bits = len(needs).bit_length() - 1
+    # A constant, which the optimizer makes once.
+    table = F.split(F.lit(",".join(map(str, needs))), ",").cast("array<int>")
+    n = F.size("values")
+    some = F.filter("values", lambda v: F.element_at(table, _bucket(v, bits)) <= n)
+    # The outer form keeps the engine from making the values once more to see if there are any.
+    return texts.select("doc_id", "text_key", n.alias("n"), F.explode_outer(some).alias("value"))
+
+
 def contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, share: float = 0.75) -> DataFrame:
     """(doc_id, text_key, item_id, n_shared, n_item, containment) of every text that contains an item.
 
@@ -58,23 +95,16 @@ def contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item_text"))
     sized = items.select("item_id", F.array_sort(F.array_distinct(shingle_values(F.col("item_text"), width))).alias("values")).where(F.size("values") > 0)
-    m = F.size("values") - F.ceil(F.size("values") * F.lit(share)).cast("int") + 1
-    sketches = sized.select("item_id", F.floor(F.log2(F.size("values"))).cast("int").alias("part"), F.slice("values", 1, m).alias("sketch"))
-    # Thresholds: one row for each partition, so at most 31.
-    parts = sketches.groupBy("part").agg(F.max(F.element_at("sketch", -1)).alias("threshold")).collect()
+    sketches = sketched(sized, share)
     found = "doc_id {}, text_key long, item_id {}, n_shared long, n_item long, containment double".format(docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
-    if not parts:
+    index = sketches.select("item_id", "need", F.explode("sketch").alias("value"))
+    count = index.count()
+    if not count:
         return docs.sparkSession.createDataFrame([], found)
-    top = max(r["threshold"] for r in parts)
-    index = sketches.select("item_id", "part", F.explode("sketch").alias("value")).join(
-        docs.sparkSession.createDataFrame([(r["part"], r["threshold"]) for r in parts], "part int, threshold long"), "part"
-    )
-    few = index.count() <= FEW_SKETCHES
-    index = index.select("item_id", "value", "threshold")
-    own = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), shingle_values(F.col("text"), width).alias("values"))
-    # The outer form keeps the engine from making the values once more to see if there are any.
-    own = own.select("doc_id", "text_key", F.explode_outer(F.filter("values", lambda v: v <= F.lit(top))).alias("value"))
-    met = own.join(F.broadcast(index) if few else index, "value").where("value <= threshold").select("doc_id", "text_key", "item_id").distinct()
+    few = count <= FEW_SKETCHES
+    needs = bucket_needs(index, min(BUCKET_BITS, max(1, (4 * count - 1).bit_length())))
+    own = looked_up(docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), shingle_values(F.col("text"), width).alias("values")), needs)
+    met = own.join(F.broadcast(index) if few else index, "value").where("n >= need").select("doc_id", "text_key", "item_id").distinct()
     from .store import kept
 
     pairs = kept(met, "contained")

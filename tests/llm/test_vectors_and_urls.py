@@ -1,6 +1,7 @@
 """Vector search, URL rules, groups of links, the pipeline, and the queries' SQL."""
 
 import glob
+import itertools
 import os
 import random
 import re
@@ -95,8 +96,10 @@ def test_mined_url_rules_against_brute_force(spark):
         bad = (host == "h1.net" and "win" in own) or "cash" in own and rng.random() < 0.8
         rows.append((f"http://{host}/{own[0]}/{own[1]}/{rng.randrange(99)}", bool(bad or rng.random() < 0.05)))
     labelled = spark.createDataFrame(rows, "url string, block boolean")
-    rules = [(set(r["items"]), r.confidence) for r in url_rules.mine(labelled, support=0.02).collect()]
-    tokens = [(set(r.t), r.block) for r in labelled.select(url_rules.tokens_of(F.col("url")).alias("t"), "block").collect()]
+    found, members = url_rules.mine(labelled, support=0.02)
+    stands = {r.token: r["item"] for r in members.collect()}
+    rules = [(set(r["items"]), r.confidence) for r in found.collect()]
+    tokens = [({stands[t] for t in r.t if t in stands}, r.block) for r in labelled.select(url_rules.tokens_of(F.col("url")).alias("t"), "block").collect()]
     assert rules
     for items, confidence in rules:
         seen = [b for t, b in tokens if items <= t]
@@ -107,6 +110,44 @@ def test_mined_url_rules_against_brute_force(spark):
     assert got == want and "block" in want.values()
 
 
+def test_mined_rules_are_those_of_all_token_sets(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(160):
+        bad = rng.random() < 0.5
+        tail = "/".join(["a", "b", "c", "d"][: rng.randint(1, 4)]) if i % 3 else "x/y/z"
+        rows.append((f"http://{'w' if bad and rng.random() < 0.7 else 'v'}.net/{tail}/{'q' if bad else rng.choice('qr')}?k={i}&{'sure' if bad and i % 5 == 0 else 'm'}=1", bad))
+    labelled = spark.createDataFrame(rows, "url string, block boolean")
+    baskets = [(frozenset(r.t), r.block) for r in labelled.select(url_rules.tokens_of(F.col("url")).alias("t"), "block").collect()]
+    seen = {}
+    for t, b in baskets:
+        for n in range(1, 2 ** len(t)):
+            s = frozenset(x for k, x in enumerate(sorted(t)) if n >> k & 1)
+            both = seen.setdefault(s, [0, 0])
+            both[0] += 1
+            both[1] += b
+    good = {s: b / n for s, (n, b) in seen.items() if b >= 20 and b / n >= 0.6}
+    want = {s: c for s, c in good.items() if not any(good.get(s - {x}, -1) >= c for x in s if len(s) > 1)}
+    found, members = url_rules.mine(labelled)
+    stands = {}
+    for r in members.collect():
+        stands.setdefault(r["item"], []).append(r.token)
+    got = {}
+    for r in found.collect():
+        for choice in itertools.product(*(stands[i] for i in r["items"])):
+            got[frozenset(choice)] = r.confidence
+    assert len(want) >= 5 and {s: round(c, 9) for s, c in got.items()} == {s: round(c, 9) for s, c in want.items()}
+
+
+def test_long_shared_paths_are_mined_in_bounded_work(spark):
+    path = "/".join(f"part{k}x" for k in range(30))
+    rows = [(f"http://bad.net/{path}/{i}?{'&'.join(f'key{k}=1' for k in range(20))}", i % 5 != 0) for i in range(60)] + [(f"http://good.net/{path}/{i}", False) for i in range(30)] + [(f"http://good.net/home/{i}", False) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, block boolean")
+    pages = spark.createDataFrame([(1, "http://bad.net/new"), (2, "http://other.org/?key7=2"), (3, "http://good.net/home"), (4, f"http://good.net/{path}")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.confidence) for r in url_rules.filter_urls(pages, labelled, ()).collect()}
+    assert got == {1: ("block", 0.8), 2: ("block", 0.8), 3: ("allow", None), 4: ("allow", None)}
+
+
 def test_components_of_long_chains_and_stars(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 150), (150, 200)]
