@@ -167,7 +167,7 @@ def affine_transform_dataset(source: GridFrame, target_gm: GridMapping, source_g
     own = source_gm or source.grid
     own.assert_regular("source_gm")
     target_gm.assert_regular("target_gm")
-    if not (own.crs.equals(target_gm.crs) or own.crs.is_geographic and target_gm.crs.is_geographic):
+    if not own.crs.agrees(target_gm.crs):
         raise AssertionError(f"CRS of source_gm and target_gm must be equal, was {own.crs.name!r} and {target_gm.crs.name!r}.")
     frame = replace(source.with_spatial_ref().select(variables), grid=own)
     df = resample(frame, target_gm.ij_transform_to(own), target_gm.size, interp_methods=interp_methods, agg_methods=agg_methods, recover_nans=recover_nans, fill_values=fill_values)

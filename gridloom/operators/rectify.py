@@ -121,7 +121,7 @@ def rectify_dataset(source: GridFrame, target_gm: GridMapping | None = None, sou
     target = target_gm or frame.grid.to_regular(tile_size=tile_size)
     target.assert_regular("target_gm")
     grid = frame.grid
-    if not (grid.crs.equals(target.crs) or grid.crs.is_geographic and target.crs.is_geographic):
+    if not grid.crs.agrees(target.crs):
         names = ("lon", "lat") if target.crs.is_geographic else ("transformed_x", "transformed_y")
         moved = project(grid.pixel_frame(frame.df.sparkSession), grid.crs, target.crs)
         frame = replace(frame, grid=grid_from_pixels(moved, target.crs, xy_var_names=names, xy_dim_names=grid.xy_dim_names, tile_size=grid.tile_size))

@@ -28,6 +28,6 @@ def resample_in_space(source: GridFrame, target_gm: GridMapping | None = None, s
     target_gm.assert_regular("target_gm")
     if grid.is_close(target_gm):
         return source
-    if grid.crs.equals(target_gm.crs) or grid.crs.is_geographic and target_gm.crs.is_geographic:
+    if grid.crs.agrees(target_gm.crs):
         return affine_transform_dataset(source, target_gm, grid, **options)
     return reproject_dataset(source, target_gm, grid, **options)

@@ -29,6 +29,8 @@ from .sources.infer import grid_from_axes, grid_from_pixels, xy_bbox_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 WIDTH = 64
+#: CF attributes of the rotated pole of European regional models.
+ROTATED = {"grid_mapping_name": "rotated_latitude_longitude", "grid_north_pole_latitude": 39.25, "grid_north_pole_longitude": -162.0}
 PLANE, UTM, LAEA = CRS.from_any("EPSG:3857"), CRS.from_any("EPSG:32632"), CRS.from_any("EPSG:3035")
 
 
@@ -250,6 +252,11 @@ def _reproject_sql(method: str) -> str:
     both = f"WITH cells AS MATERIALIZED {cells}, places AS MATERIALIZED ({places}), moved AS MATERIALIZED ({moved}) "
     moved = "SELECT * FROM moved"
     index = f"(SELECT tj, ti, h, (x - {UTM_CORNER[0] + 50}) / 100.0e0 AS si, ({UTM_CORNER[1]} + 100.0e0 * h - 50 - y) / 100.0e0 AS sj FROM ({moved}))"
+    return _gathered_sql(both, index, method)
+
+
+def _gathered_sql(both: str, index: str, method: str) -> str:
+    """Values of the image at the fractional indices (tj, ti, sj, si) of a table."""
     if method == "nearest":
         return f"{both} SELECT tj AS j, ti AS i, round(s.v, 6) AS v FROM {index} LEFT JOIN {IMAGE_SQL} s ON s.j = round_even(sj, 0) AND s.i = round_even(si, 0)"
     u, t = "(si - floor(si))", "(sj - floor(sj))"
@@ -264,6 +271,31 @@ def _reproject_sql(method: str) -> str:
         LEFT JOIN {IMAGE_SQL} s ON s.j = (CASE WHEN dj = 0 THEN floor(sj) ELSE ceil(sj) END) AND s.i = (CASE WHEN di = 0 THEN floor(si) ELSE ceil(si) END) GROUP BY tj, ti, u, t"""
 
 
+#: The image on a grid of a rotated pole: 6.4 by 30 degrees, whatever its number of rows.
+ROTATED_BOX, ROTATED_TARGET = (-3.2, -10.0, 3.2, 20.0), (9.0, 39.0, 33.0, 72.0)
+
+
+def _rotated_grid(height: int) -> GridMapping:
+    return GridMapping.regular((WIDTH, height), ROTATED_BOX[:2], (0.1, 30.0 / height), CRS.from_any(ROTATED))
+
+
+def reproject_rotated_pole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a rotated pole's grid to plain degrees."""
+    h = _rows(spark, sf_dir)
+    x0, y0, x1, y1 = ROTATED_TARGET
+    # So fine that the source isn't scaled down first.
+    target = GridMapping.regular((360, 2 * h), (x0, y0), ((x1 - x0) / 360, (y1 - y0) / (2 * h)), CRS_WGS84)
+    return shown(reproject_dataset(image(spark, sf_dir, _rotated_grid(h)), target, variables="v", interp_methods="bilinear").df, "v")
+
+
+def _rotated_pole_sql() -> str:
+    x0, y0, x1, y1 = ROTATED_TARGET
+    cells = f"(SELECT tj, ti, h, {x0} + {x1 - x0}e0 / 360 * (ti + 0.5e0) AS x, {y1} - {y1 - y0}e0 / (2 * h) * (tj + 0.5e0) AS y FROM {ROWS_SQL}, LATERAL (SELECT unnest(range(2 * h)) AS tj), (SELECT unnest(range(360)) AS ti))"
+    moved = sql_of(transformation(CRS_WGS84, CRS.from_any(ROTATED)), "cells", "tj, ti, h, x, y")
+    both = f"WITH cells AS MATERIALIZED {cells}, moved AS MATERIALIZED ({moved}) "
+    return _gathered_sql(both, f"(SELECT tj, ti, (x - {ROTATED_BOX[0] + 0.05}e0) / 0.1e0 AS si, ({ROTATED_BOX[3]}e0 - 15.0e0 / h - y) / (30.0e0 / h) AS sj FROM moved)", "bilinear")
+
+
 # -- rectification
 
 SWATH = (40, 48)  # rows and columns of a swath whose grid is inferred
@@ -390,6 +422,24 @@ def _rectify_utm_sql() -> str:
     return _rectify_sql("bilinear", UTM_SIZE, f"({moved})")
 
 
+#: A swath in degrees, and a target of a rotated pole that holds it.
+ROTATED_SIZE = _size_sql("-8.0e0", "1.6e0 + f * 0.3e0", f"f * {RECTIFIED_RES}e0", "40 + CAST(ceil(12.0e0 / (f * 0.0971e0)) AS BIGINT)", "CAST(ceil(42.5e0 / (f * 0.0971e0)) AS BIGINT)")
+
+
+def rectify_rotated_pole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _rows(spark, sf_dir)
+    f = 400.0 / h
+    r = f * RECTIFIED_RES
+    size = (40 + math.ceil(12.0 / (f * 0.0971)), math.ceil(42.5 / (f * 0.0971)))
+    target = GridMapping.regular(size, (-8.0, 1.6 + f * 0.3 - r * size[1]), r, CRS.from_any(ROTATED))
+    return shown(rectify_dataset(swath(spark, sf_dir), target, variables="v", interp_methods="nearest").df, "v")
+
+
+def _rectify_rotated_sql() -> str:
+    moved = sql_of(transformation(CRS_WGS84, CRS.from_any(ROTATED)), f"(SELECT * FROM {_places_sql(ROTATED_SIZE)})", "j, i, x, y")
+    return _rectify_sql("nearest", ROTATED_SIZE, f"({moved})")
+
+
 def source_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of the swath's pixels in the tiles of a target."""
     return source_windows(swath(spark, sf_dir).grid, _rectified(_rows(spark, sf_dir)).derive(tile_size=(16, 50)), xy_border=0.25, spark=spark)
@@ -627,10 +677,18 @@ def _project(crs: CRS) -> Query:
 def _project_sql(crs: CRS) -> str:
     points = f"(SELECT j, i, 6.0e0 + 0.1e0 * i AS x, 47.0e0 + 0.015e0 * (j % 500) AS y FROM {IMAGE_SQL})"
     moved = sql_of(transformation(CRS_WGS84, crs), points, "j, i, x, y")
-    again = sql_of(crs.inverse(), f"({moved})", "j, i, lon, lat")
+    again = sql_of(transformation(crs, CRS_WGS84), f"({moved})", "j, i, x AS lon, y AS lat")
     return f"SELECT m.j, m.i, round(m.x, 3) AS x, round(m.y, 3) AS y, round(a.lon, 6) AS lon, round(a.lat, 6) AS lat FROM ({moved}) m JOIN ({again}) a ON a.j = m.j AND a.i = m.i"
 
 
+#: Systems whose projections are shown at the image's places, there and back.
+SYSTEMS: dict[str, Any] = {
+    "utm": "EPSG:32632", "laea": "EPSG:3035", "lcc": "EPSG:3034", "mercator": "EPSG:3857", "polar_stereographic": "EPSG:3413", "albers": "EPSG:5070", "mercator_ellipsoid": "EPSG:3395",
+    "sinusoidal": {"grid_mapping_name": "sinusoidal", "earth_radius": 6371007.181}, "rotated_pole": ROTATED,
+    "geostationary": {"grid_mapping_name": "geostationary", "perspective_point_height": 35785831.0, "longitude_of_projection_origin": 9.5, "sweep_angle_axis": "y"},
+    "datum_osgb": "EPSG:27700", "datum_dhdn": "EPSG:4314", "datum_ed50": "EPSG:4230",
+}
+
 #: Reducers shown over windows with missing values.
 GAPS = ("center", "first", "last", "count", "sum", "max", "min", "mean", "median", "std", "var")
 QUERIES: dict[str, Query] = {
@@ -647,7 +705,7 @@ QUERIES: dict[str, Query] = {
     "resample_auto_affine": auto_affine, "resample_auto_reproject": auto_reproject, "resample_auto_rectify": auto_rectify, "resample_auto_same": auto_same,
     "clip_bbox": clip_bbox, "select_variables": select_variables, "tile_boxes": tile_boxes, "pixel_blocks": pixel_blocks, "to_coords": to_coords, "ij_boxes": ij_boxes, "xy_box": xy_box,
     "lon_wraps": lon_wraps, "index_transforms": index_transforms, "inferred_grids": inferred_grids,
-    **{f"project_{n}": _project(CRS.from_any(c)) for n, c in (("utm", "EPSG:32632"), ("laea", "EPSG:3035"), ("lcc", "EPSG:3034"), ("mercator", "EPSG:3857"))},
+    **{f"project_{n}": _project(CRS.from_any(c)) for n, c in SYSTEMS.items()}, "reproject_rotated_pole": reproject_rotated_pole, "rectify_rotated_pole": rectify_rotated_pole,
 }
 ORACLE_SQL: dict[str, str] = {
     **{f"coarsen_{n}": _coarsen_sql(n, {"mode": "q", "prod": "p"}.get(n, "v")) for n in REDUCERS},
@@ -664,5 +722,5 @@ ORACLE_SQL: dict[str, str] = {
     "resample_auto_same": f"SELECT j, i, round(v, 6) AS v FROM {IMAGE_SQL}",
     "clip_bbox": CLIP_SQL, "select_variables": f"SELECT j, i, q FROM {IMAGE_SQL}", "tile_boxes": TILES_SQL, "pixel_blocks": BLOCKS_SQL, "to_coords": COORDS_SQL, "ij_boxes": IJ_BOXES_SQL, "xy_box": XY_BOX_SQL,
     "lon_wraps": LON_SQL, "index_transforms": INDEX_SQL, "inferred_grids": GRIDS_SQL,
-    **{f"project_{n}": _project_sql(CRS.from_any(c)) for n, c in (("utm", "EPSG:32632"), ("laea", "EPSG:3035"), ("lcc", "EPSG:3034"), ("mercator", "EPSG:3857"))},
+    **{f"project_{n}": _project_sql(CRS.from_any(c)) for n, c in SYSTEMS.items()}, "reproject_rotated_pole": _rotated_pole_sql(), "rectify_rotated_pole": _rectify_rotated_sql(),
 }

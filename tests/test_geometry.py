@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from samples import regular, swath_2x2
 
+from gridloom.plans import crs
 from gridloom.plans.crs import CRS, CRS_CRS84, CRS_WGS84, project, project_bounds, project_point
 from gridloom.plans.grid import GridMapping, from_lon_360, number, round_to_fraction, to_lon_360
 from gridloom.sources.infer import (
@@ -147,7 +148,7 @@ def test_systems():
     assert CRS_WGS84.equals(CRS_CRS84) and not CRS_WGS84.equals(PLANE) and PLANE.unit_name == "metre"
     told = CRS.from_any({"grid_mapping_name": "transverse_mercator", "longitude_of_central_meridian": 9.0, "scale_factor_at_central_meridian": 0.9996, "false_easting": 500000.0})
     assert told.equals(CRS.from_any("EPSG:32632")) and CRS.from_any(told.to_cf()).equals(told)
-    for bad in ("EPSG:999999", {"grid_mapping_name": "polar_stereographic"}, 7):
+    for bad in ("EPSG:999999", {"grid_mapping_name": "vertical_perspective"}, 7):
         with pytest.raises(ValueError, match="unsupported CRS"):
             CRS.from_any(bad)
     box = project_bounds(CRS_WGS84, CRS.from_any("EPSG:3035"), (5, 45, 15, 55))
@@ -232,3 +233,62 @@ def test_datasets_as_frames(spark):
         spatial_dims(Dataset({"v": Variable(("r", "s"))}))
     with pytest.raises(AssertionError, match="Multiple grid mapping names"):
         grid_mapping_name(Dataset({"a": Variable((), {"grid_mapping": "p"}), "crs": Variable()}))
+
+
+ELLIPSOID = {"semi_major_axis": 6378137.0, "inverse_flattening": 298.257223563}
+FAMILY = {
+    "EPSG:3413": [(-45, 70), (10, 80), (150, 61), (0, 89.999)], "EPSG:3031": [(0, -71), (10, -80), (150, -61)], "EPSG:32661": [(44, 73), (10, 80)], "EPSG:32761": [(44, -73)],
+    "EPSG:5070": [(-96, 23), (-75, 35), (-110, 48)], "EPSG:3005": [(-126, 45), (-120, 59)], "EPSG:3577": [(132, 0), (150, -35), (115, -20)], "EPSG:3395": [(10, 50), (-179, -70)],
+    "sinusoidal": [(10, 50), (-170, -60)], "rotated_latitude_longitude": [(18, 50.75), (10, 50), (-170, -80), (0, 89)], "geostationary": [(10, 50), (0, 0), (-60, -30), (40, 60)],
+    "EPSG:27700": [(-1.7, 52.65), (-5, 58)], "EPSG:31467": [(9, 50)], "EPSG:4230": [(9, 50), (-8, 37)],
+}
+
+
+def _system(name):
+    own = {
+        "sinusoidal": {"earth_radius": 6371007.181}, "rotated_latitude_longitude": {"grid_north_pole_latitude": 39.25, "grid_north_pole_longitude": -162.0},
+        "geostationary": {"perspective_point_height": 35785831.0, "longitude_of_projection_origin": 0.0, **ELLIPSOID},
+    }
+    return crs.CRS.from_any({"grid_mapping_name": name, **own[name]} if name in own else name)
+
+
+@pytest.mark.parametrize("name", FAMILY)
+def test_projections_there_and_back_within_a_millimetre(name):
+    system = _system(name)
+    for lon, lat in FAMILY[name]:
+        x, y = crs.project_point(crs.CRS_WGS84, system, lon, lat)
+        a, b = crs.project_point(system, crs.CRS_WGS84, x, y)
+        away = max(abs((a - lon + 180) % 360 - 180) * math.cos(math.radians(lat)), abs(b - lat)) * 111_320
+        # Datums lose the height between their ellipsoids on the way, some millimetres of place in all.
+        assert away < (1e-3 if system.shifts == () else 3e-3)
+
+
+def test_projections_at_known_places():
+    at = lambda name, lon, lat: crs.project_point(crs.CRS_WGS84, _system(name), lon, lat)
+    assert at("EPSG:32661", 44, 73) == pytest.approx((3320416.75, 632668.43), abs=0.01)
+    assert at("rotated_latitude_longitude", 18, 50.75) == pytest.approx((0, 0), abs=1e-9)
+    assert at("rotated_latitude_longitude", -162, 39.25)[1] == pytest.approx(90, abs=1e-6)
+    assert at("geostationary", 120, 0)[0] > 1e11 and crs.project_point(_system("geostationary"), crs.CRS_WGS84, 5.5e6, 5.5e6)[1] > 1e11
+    assert at("sinusoidal", 10, 0)[0] == pytest.approx(math.radians(10) * 6371007.181)
+    # A place of the national grid, whose WGS 84 coordinates are known to some metres by seven parameters.
+    assert at("EPSG:27700", 1.716073973, 52.658007833) == pytest.approx((651409.79, 313177.45), abs=5)
+
+
+def test_systems_are_told_by_datum_and_pole():
+    rotated = _system("rotated_latitude_longitude")
+    assert rotated.is_geographic and not rotated.agrees(crs.CRS_WGS84) and crs.CRS_WGS84.agrees(crs.CRS_CRS84)
+    assert not crs.CRS.from_any("EPSG:4230").agrees(crs.CRS_WGS84) and crs.CRS.from_any("EPSG:4258").agrees(crs.CRS_WGS84)
+    named = crs.CRS.from_any({"grid_mapping_name": "latitude_longitude", "horizontal_datum_name": "European_Datum_1950"})
+    assert named.equals(crs.CRS.from_any("EPSG:4230"))
+    with pytest.raises(ValueError, match="unknown datum"):
+        crs.CRS.from_any({"grid_mapping_name": "latitude_longitude", "horizontal_datum_name": "somewhere 1900"})
+    for name in FAMILY:
+        system = _system(name)
+        assert crs.CRS.from_any(system.to_cf()).equals(system)
+
+
+def test_bounds_across_a_rotated_pole():
+    rotated = _system("rotated_latitude_longitude")
+    x, y = crs.project_point(rotated, crs.CRS_WGS84, 0.0, 39.25)
+    low = crs.project_bounds(rotated, crs.CRS_WGS84, (-5, 30, 5, 45))
+    assert low[3] == 90.0 and (low[0], low[2]) == (-180.0, 180.0) and abs(y - 90) < 1e-6
