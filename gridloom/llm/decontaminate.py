@@ -63,8 +63,8 @@ def sketched(sized: DataFrame, share: float) -> DataFrame:
 
 
 def _bucket(value: Column, bits: int) -> Column:
-    """The place from 1 of a value's bucket among 2**bits equal ones."""
-    return (F.shiftright(value, 64 - bits) + F.lit(1 << bits - 1) + 1).cast("int")
+    """The number of a value's bucket among 2**bits equal ones."""
+    return (F.shiftright(value, 64 - bits) + F.lit(1 << bits - 1)).cast("int")
 
 
 def bucket_needs(index: DataFrame, bits: int) -> list[int]:
@@ -72,17 +72,18 @@ def bucket_needs(index: DataFrame, bits: int) -> list[int]:
     out = [2**31 - 1] * (1 << bits)
     # At most as many rows as there are buckets.
     for r in index.groupBy(_bucket(F.col("value"), bits).alias("b")).agg(F.min("need").alias("need")).collect():
-        out[r["b"] - 1] = r["need"]
+        out[r["b"]] = r["need"]
     return out
 
 
-def looked_up(texts: DataFrame, needs: list[int]) -> DataFrame:
-    """(doc_id, text_key, n, value): of texts (doc_id, text_key, values) the values in buckets whose need the text reaches, and its number of shingles."""
+def looked_up(texts: DataFrame, needs: list[int], top: int) -> DataFrame:
+    """(doc_id, text_key, n, value): of texts (doc_id, text_key, values) the values up to top in buckets whose need the text reaches, and its number of shingles."""
     bits = len(needs).bit_length() - 1
     # A constant, which the optimizer makes once.
     table = F.split(F.lit(",".join(map(str, needs))), ",").cast("array<int>")
     n = F.size("values")
-    some = F.filter("values", lambda v: F.element_at(table, _bucket(v, bits)) <= n)
+    # Most values are past the largest one of all sketches, which is quickly told.
+    some = F.filter("values", lambda v: (v <= F.lit(top)) & (F.get(table, _bucket(v, bits)) <= n))
     # The outer form keeps the engine from making the values once more to see if there are any.
     return texts.select("doc_id", "text_key", n.alias("n"), F.explode_outer(some).alias("value"))
 
@@ -103,7 +104,8 @@ def contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text
         return docs.sparkSession.createDataFrame([], found)
     few = count <= FEW_SKETCHES
     needs = bucket_needs(index, min(BUCKET_BITS, max(1, (4 * count - 1).bit_length())))
-    own = looked_up(docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), shingle_values(F.col("text"), width).alias("values")), needs)
+    top = index.agg(F.max("value")).first()[0]
+    own = looked_up(docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), shingle_values(F.col("text"), width).alias("values")), needs, top)
     met = own.join(F.broadcast(index) if few else index, "value").where("n >= need").select("doc_id", "text_key", "item_id").distinct()
     from .store import kept
 

@@ -304,15 +304,15 @@ def test_decontamination_looks_up_few_values_by_size(spark):
     index = decontaminate.sketched(sized, 0.75).select("item_id", "need", F.explode("sketch").alias("value"))
     assert {r.item_id: r.need for r in index.collect()} == {0: 24, 1: 48, 2: 48, 3: 2}
     needs = decontaminate.bucket_needs(index, 8)
-    seen = decontaminate.looked_up(docs, needs).where("value IS NOT NULL").groupBy((F.col("n") < 48).alias("short")).count().collect()
-    # By one bound for all partitions, that of the shortest item, nearly all values of short texts would be looked up.
     top = index.agg(F.max("value")).first()[0]
+    seen = decontaminate.looked_up(docs, needs, top).where("value IS NOT NULL").groupBy((F.col("n") < 48).alias("short")).count().collect()
+    # By one bound for all partitions, that of the shortest item, nearly all values of short texts would be looked up.
     bound = docs.select("values", F.explode("values").alias("v")).where(F.col("v") <= top).groupBy((F.size("values") < 48).alias("short")).count().collect()
     few, all_ = ({r.short: r["count"] for r in x} for x in (seen, bound))
     assert few[True] < 0.1 * all_[True] and few[False] < 0.5 * all_[False]
     # A partition's values are looked up in texts that are long enough for its items only.
     large = {r.value for r in index.where("need = 48").collect()} - {r.value for r in index.where("need < 48").collect()}
-    own = decontaminate.looked_up(docs, decontaminate.bucket_needs(index.where("need = 48"), 16)).where("value IS NOT NULL")
+    own = decontaminate.looked_up(docs, decontaminate.bucket_needs(index.where("need = 48"), 16), top).where("value IS NOT NULL")
     assert own.where("n < 48").count() == 0 and large
     got = {(r.doc_id, r.item_id) for r in decontaminate.contained(frame(spark, texts), frame(spark, items).withColumnRenamed("doc_id", "item_id")).collect()}
     assert got == {(55, 3), (56, 0)}
