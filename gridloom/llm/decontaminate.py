@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Rows of item sketches, and texts to verify, up to which they are broadcast; more are joined by shuffles.
 FEW_SKETCHES, FEW_TEXTS = 500_000, 200_000
-#: Most buckets of the hash range, as powers of two; there are about four for each sketch value, up to these.
+#: Most buckets of the hash range, as powers of two; there are about sixteen for each sketch value, up to these.
 BUCKET_BITS = 16
 
 
@@ -103,7 +103,7 @@ def contained(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text
     if not count:
         return docs.sparkSession.createDataFrame([], found)
     few = count <= FEW_SKETCHES
-    needs = bucket_needs(index, min(BUCKET_BITS, max(1, (4 * count - 1).bit_length())))
+    needs = bucket_needs(index, min(BUCKET_BITS, max(1, (16 * count - 1).bit_length())))
     top = index.agg(F.max("value")).first()[0]
     own = looked_up(docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), shingle_values(F.col("text"), width).alias("values")), needs, top)
     met = own.join(F.broadcast(index) if few else index, "value").where("n >= need").select("doc_id", "text_key", "item_id").distinct()

@@ -303,7 +303,7 @@ def test_decontamination_looks_up_few_values_by_size(spark):
     sized = frame(spark, items).select(F.col("doc_id").alias("item_id"), F.array_sort(decontaminate.shingle_values(F.col("text"), 5)).alias("values"))
     index = decontaminate.sketched(sized, 0.75).select("item_id", "need", F.explode("sketch").alias("value"))
     assert {r.item_id: r.need for r in index.collect()} == {0: 24, 1: 48, 2: 48, 3: 2}
-    needs = decontaminate.bucket_needs(index, 8)
+    needs = decontaminate.bucket_needs(index, 11)
     top = index.agg(F.max("value")).first()[0]
     seen = decontaminate.looked_up(docs, needs, top).where("value IS NOT NULL").groupBy((F.col("n") < 48).alias("short")).count().collect()
     # By one bound for all partitions, that of the shortest item, nearly all values of short texts would be looked up.
