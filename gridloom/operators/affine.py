@@ -67,7 +67,8 @@ def fitted(value: Column, kind: str) -> Column:
     low, high = (0, 2**bits - 1) if kind.startswith("u") else (-(2 ** (bits - 1)), 2 ** (bits - 1) - 1)
     if bits == 64:
         return F.round(value).cast(SPARK_TYPES[kind])
-    return F.least(F.greatest(F.round(value), F.lit(float(low))), F.lit(float(high))).cast(SPARK_TYPES[kind])
+    # greatest and least pass over nulls, which stand for no value here.
+    return F.when(value.isNotNull(), F.least(F.greatest(F.round(value), F.lit(float(low))), F.lit(float(high)))).cast(SPARK_TYPES[kind])
 
 
 def _literal(value: float, kind: str) -> Column:

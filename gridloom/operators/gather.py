@@ -7,12 +7,14 @@ brings a target's pixels together again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.options import is_integer
 from ..sources.frame import SPARK_TYPES, GridFrame
-from .affine import leading_values
+from .affine import fitted, leading_values
 
 NEAREST, CORNERS = 0, (1, 2, 3, 4)
 
@@ -43,12 +45,7 @@ def gather(frame: GridFrame, targets: DataFrame, methods: dict[str, str], fills:
     """
     w, h = frame.grid.size
     names = list(frame.variables)
-    (j0, j1), (i0, i1) = _corner(F.col("sj"), high, h), _corner(F.col("si"), high, w)
-    if ties == "even":
-        nj, ni = F.rint("sj").cast("long"), F.rint("si").cast("long")
-    else:
-        up = lambda c, size: F.least(F.floor(c) + F.when(F.col(c) - F.floor(c) > 0.5, 1).otherwise(0), F.lit(size - 1)).cast("long")
-        nj, ni = up("sj", h), up("si", w)
+    (nj, ni), (j0, j1), (i0, i1) = places(w, h, ties, high)
     slots = []
     if "nearest" in methods.values():
         slots.append((NEAREST, nj, ni))
@@ -69,19 +66,41 @@ def gather(frame: GridFrame, targets: DataFrame, methods: dict[str, str], fills:
             if (k == NEAREST) == (methods[n] == "nearest"):
                 wide.append(F.max(F.when(F.col("slot") == k, filled[n])).alias(f"{n}__{k}"))
     held = met.groupBy(*frame.leading, "tj", "ti").agg(*wide)
+    near, corners = (lambda n: F.col(f"{n}__{NEAREST}")), (lambda n: [F.col(f"{n}__{k}") for k in CORNERS])
+    out = outputs(frame, methods, fills, high, truncate, near, corners)
+    return held.select(*frame.leading, F.col("tj").alias("j"), F.col("ti").alias("i"), *out)
+
+
+def places(w: int, h: int, ties: str, high: str) -> tuple[tuple[Column, Column], tuple[Column, Column], tuple[Column, Column]]:
+    """(row, column) of the nearest source pixel of (sj, si), and the rows and the columns of its corners."""
+    if ties == "even":
+        near = F.rint("sj").cast("long"), F.rint("si").cast("long")
+    elif ties == "up":
+        near = F.floor(F.col("sj") + 0.5).cast("long"), F.floor(F.col("si") + 0.5).cast("long")
+    else:
+        up = lambda c, size: F.least(F.floor(c) + F.when(F.col(c) - F.floor(c) > 0.5, 1).otherwise(0), F.lit(size - 1)).cast("long")
+        near = up("sj", h), up("si", w)
+    return near, _corner(F.col("sj"), high, h), _corner(F.col("si"), high, w)
+
+
+def outputs(frame: GridFrame, methods: dict[str, str], fills: dict[str, float], high: str, truncate: dict[str, bool], near: Callable[[str], Column], corners: Callable[[str], list[Column]], fit: bool = False) -> list[Column]:
+    """Each variable's value from its nearest pixel or its corners (00, 01, 10, 11), with (sj, si) at hand; with fit, integers are rounded."""
+    w, h = frame.grid.size
     u, t = F.col("si") - F.floor("si"), F.col("sj") - F.floor("sj")
     if high == "next":
         u, t = F.col("si") - F.least(F.floor("si"), F.lit(w - 1)), F.col("sj") - F.least(F.floor("sj"), F.lit(h - 1))
     out = []
     for n, kind in frame.variables.items():
         if methods[n] == "nearest":
-            value = F.col(f"{n}__{NEAREST}")
+            value = near(n)
         else:
-            value = interpolate(methods[n], [F.col(f"{n}__{k}").cast("double") for k in CORNERS], u, t)
+            value = interpolate(methods[n], [c.cast("double") for c in corners(n)], u, t)
             if is_integer(kind) and truncate[n]:
                 value = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast(SPARK_TYPES[kind])
+            elif is_integer(kind) and fit:
+                value = fitted(value, kind)
             elif not is_integer(kind):
                 value = value.cast(SPARK_TYPES[kind])
-        fill = F.lit(fills[n]).cast("double" if is_integer(kind) and methods[n] != "nearest" and not truncate[n] else SPARK_TYPES[kind])
+        fill = F.lit(fills[n]).cast("double" if is_integer(kind) and methods[n] != "nearest" and not truncate[n] and not fit else SPARK_TYPES[kind])
         out.append(F.when(F.col("sj").isNull(), fill).otherwise(value).alias(n))
-    return held.select(*frame.leading, F.col("tj").alias("j"), F.col("ti").alias("i"), *out)
+    return out

@@ -8,6 +8,7 @@ from functools import reduce
 from operator import or_
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.crs import project, project_bounds
@@ -42,18 +43,37 @@ def _scaled_down(frame: GridFrame, target: GridMapping, interp_methods: Any, agg
     return affine_transform_dataset(frame, coarse, interp_methods=downscale_methods(interp_methods), agg_methods=agg_methods, recover_nans=recover_nans)
 
 
-def _within(frame: GridFrame, target: GridMapping) -> GridFrame:
-    """The frame's pixels near the target's bounds, by ranges of rows and columns that a scan can be told of."""
-    grid = frame.grid
+def reach(grid: GridMapping, target: GridMapping) -> tuple[list[int], list[list[int]]]:
+    """The range of rows, and the ranges of columns, of a grid near a target's bounds."""
     x0, y0, x1, y1 = project_bounds(target.crs, grid.crs, target.xy_bbox)
     dx, dy = 2 * grid.x_res + 0.1 * (x1 - x0), 2 * grid.y_res + 0.1 * (y1 - y0)
     turns = (-360, 0, 360) if grid.crs.is_geographic else (0,)
     columns = [[math.floor((x + turn - grid.x_min) / grid.x_res) for x in (x0 - dx, x1 + dx)] for turn in turns]
     rows = [math.floor((grid.y_max - y) / grid.y_res) for y in (y1 + dy, y0 - dy)]
-    some = reduce(or_, (F.col("i").between(*c) for c in columns if c[1] >= 0 and c[0] < grid.width), F.lit(False))
+    return rows, [c for c in columns if c[1] >= 0 and c[0] < grid.width]
+
+
+def _within(frame: GridFrame, target: GridMapping) -> GridFrame:
+    """The frame's pixels near the target's bounds, by ranges of rows and columns that a scan can be told of."""
+    rows, columns = reach(frame.grid, target)
+    some = reduce(or_, (F.col("i").between(*c) for c in columns), F.lit(False))
     return replace(frame, df=frame.df.where(F.col("j").between(*rows) & some))
 
 
+def target_indices(grid: GridMapping, target_gm: GridMapping, spark: SparkSession) -> DataFrame:
+    """(j, i, sj, si): the target's pixels, and where their centres lie in a regular grid of another system."""
+    centres = project(target_gm.pixel_frame(spark), target_gm.crs, grid.crs)
+    if grid.crs.is_geographic:
+        # Longitudes count within half a turn of the source's middle, so that sources of 0 to 360 degrees are met too.
+        middle = (grid.x_min + grid.x_max) / 2
+        centres = centres.withColumn("x", F.col("x") - 360 * F.floor((F.col("x") - middle + 180) / 360))
+    index = lambda c, low, res: (F.col(c) - F.lit(float(low))) / F.lit(float(res))
+    row = index("y", grid.y_max - grid.y_res / 2, -grid.y_res)
+    if grid.crs.is_geographic and grid.y_min <= -90:
+        row = F.least(row, F.lit(grid.height - 0.5 - 1e-9))  # the pole itself lies in the last row
+    return centres.select("j", "i", row.alias("sj"), index("x", grid.x_min + grid.x_res / 2, grid.x_res).alias("si"))
+
+
 def reproject_dataset(source: GridFrame, target_gm: GridMapping, source_gm: GridMapping | None = None, *, variables: Any = None, interp_methods: Any = None, agg_methods: Any = None, recover_nans: Any = False, fill_values: Any = None) -> GridFrame:
     """A frame on a regular target grid of another reference system."""
     frame = source if source_gm is None else replace(source, grid=source_gm)
@@ -64,15 +84,6 @@ def reproject_dataset(source: GridFrame, target_gm: GridMapping, source_gm: Grid
     fills = {n: fill_of(fill_values, n, k) for n, k in frame.variables.items()}
     frame = _scaled_down(frame, target_gm, interp_methods, agg_methods, recover_nans)
     grid = frame.grid
-    centres = project(target_gm.pixel_frame(frame.df.sparkSession), target_gm.crs, grid.crs)
-    if grid.crs.is_geographic:
-        # Longitudes count within half a turn of the source's middle, so that sources of 0 to 360 degrees are met too.
-        middle = (grid.x_min + grid.x_max) / 2
-        centres = centres.withColumn("x", F.col("x") - 360 * F.floor((F.col("x") - middle + 180) / 360))
-    index = lambda c, low, res: (F.col(c) - F.lit(float(low))) / F.lit(float(res))
-    row = index("y", grid.y_max - grid.y_res / 2, -grid.y_res)
-    if grid.crs.is_geographic and grid.y_min <= -90:
-        row = F.least(row, F.lit(grid.height - 0.5 - 1e-9))  # the pole itself lies in the last row
-    targets = centres.select("j", "i", row.alias("sj"), index("x", grid.x_min + grid.x_res / 2, grid.x_res).alias("si"))
+    targets = target_indices(grid, target_gm, frame.df.sparkSession)
     df = gather(_within(frame, target_gm), targets, methods, fills, ties="even", high="ceil", truncate={n: m == "triangular" for n, m in methods.items()})
     return replace(frame, df=df, grid=target_gm).with_spatial_ref()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions.reducers import present
 from .operators.affine import affine_transform_dataset
+from .operators.blocks import BlockFrame, affine_blocks, reproject_blocks
 from .operators.rectify import rectify_dataset
 from .operators.reproject import reproject_dataset
 from .operators.resample import resample_in_space
@@ -271,6 +272,22 @@ def _gathered_sql(both: str, index: str, method: str) -> str:
         LEFT JOIN {IMAGE_SQL} s ON s.j = (CASE WHEN dj = 0 THEN floor(sj) ELSE ceil(sj) END) AND s.i = (CASE WHEN di = 0 THEN floor(si) ELSE ceil(si) END) GROUP BY tj, ti, u, t"""
 
 
+def _reproject_in_blocks(method: str) -> Query:
+    """The same from blocks of 24 x 100 pixels, which aren't whole at the image's end."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        h = _rows(spark, sf_dir)
+        blocks = BlockFrame.from_frame(image(spark, sf_dir, _utm_grid(h)).select("v"), (24, 100))
+        return shown(reproject_blocks(blocks, _laea_grid(h), interp_methods=method).df, "v")
+
+    return run
+
+
+def affine_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = image(spark, sf_dir)
+    share, xy_min, res, options = AFFINE["affine_shift"]
+    return shown(affine_blocks(BlockFrame.from_frame(frame.select("v"), (24, 100)), _target(frame.grid, share, xy_min, res), **options).df, "v")
+
+
 #: The image on a grid of a rotated pole: 6.4 by 30 degrees, whatever its number of rows.
 ROTATED_BOX, ROTATED_TARGET = (-3.2, -10.0, 3.2, 20.0), (9.0, 39.0, 33.0, 72.0)
 
@@ -699,6 +716,7 @@ QUERIES: dict[str, Query] = {
     "affine_downscale": _affine_downscale(2, "mean"), "affine_downscale_sampled": _affine_downscale(2.5, "max"), "affine_recover_nan": affine_recover_nan,
     **{f"reproject_{m}": _reproject(m) for m in ("nearest", "bilinear", "triangular")},
     **{f"rectify_{m}": _rectify(m) for m in ("nearest", "bilinear", "triangular")},
+    "reproject_blocks_bilinear": _reproject_in_blocks("bilinear"), "reproject_blocks_nearest": _reproject_in_blocks("nearest"), "affine_blocks": affine_in_blocks,
     "rectify_window": rectify_window, "rectify_folded": _rectify_places(WHOLE_LON, FOLDED_LAT, "false", _folded),
     "rectify_ragged": _rectify_places(RAGGED_LON, RAGGED_LAT, RAGGED, _ragged), "rectify_utm": _rectify_places(UTM_X, UTM_Y, "false", _degrees, UTM),
     "source_windows": source_tiles, "event_windows": event_windows, "event_windows_regular": event_windows_regular,
@@ -715,6 +733,7 @@ ORACLE_SQL: dict[str, str] = {
     "affine_downscale": DOWNSCALE_MEAN_SQL, "affine_downscale_sampled": DOWNSCALE_MAX_SQL, "affine_recover_nan": RECOVER_SQL,
     **{f"reproject_{m}": _reproject_sql(m) for m in ("nearest", "bilinear", "triangular")},
     **{f"rectify_{m}": _rectify_sql(m) for m in ("nearest", "bilinear", "triangular")},
+    "reproject_blocks_bilinear": _reproject_sql("bilinear"), "reproject_blocks_nearest": _reproject_sql("nearest"), "affine_blocks": _affine_sql("affine_shift"),
     "rectify_window": _rectify_sql("bilinear", WINDOW_SIZE), "rectify_folded": _rectify_sql("bilinear", FOLDED_SIZE, _places_sql(FOLDED_SIZE, WHOLE_LON, FOLDED_LAT.replace("hh", "h // 2"))),
     "rectify_ragged": _rectify_sql("bilinear", RAGGED_SIZE, _places_sql(RAGGED_SIZE, RAGGED_LON, RAGGED_LAT, RAGGED)), "rectify_utm": _rectify_utm_sql(),
     "source_windows": SOURCE_TILES_SQL, "event_windows": EVENT_WINDOWS_SQL, "event_windows_regular": EVENT_REGULAR_SQL,
