@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.reducers import reducer
+from ..functions.selection import reduced
 from ..plans.grid import GridMapping, Matrix
 from ..plans.options import fill_of, is_integer, method_of, recover_of, reducer_of
 from ..sources.frame import SPARK_TYPES, GridFrame
@@ -140,8 +140,8 @@ def resample(frame: GridFrame, matrix: Matrix, size: tuple[int, int], *, interp_
         dj, di = math.ceil(abs(ys)), math.ceil(abs(xs))
         fine = _fine(frame, ((xs / di, 0.0, xo), (0.0, ys / dj, yo)), (size[0] * di, size[1] * dj), names, recover, fills)
         cell = fine.withColumns({"tj": F.expr(f"j div {dj}"), "ti": F.expr(f"i div {di}"), "wj": F.col("j") % dj, "wi": F.col("i") % di})
-        reduced = [reducer(reducer_of(agg_methods, n, kinds[n]), F.col(n), F.col("wj"), F.col("wi"), dj, di, kinds[n]).alias(n) for n in names]
-        parts.append(cell.groupBy(*frame.leading, F.col("tj").alias("j"), F.col("ti").alias("i")).agg(*reduced))
+        keyed = cell.drop("j", "i").withColumnsRenamed({"tj": "j", "ti": "i"})
+        parts.append(reduced(keyed, [*frame.leading, "j", "i"], {n: kinds[n] for n in names}, {n: reducer_of(agg_methods, n, kinds[n]) for n in names}, dj, di))
     if not parts:
         return target_cells(frame, *size)
     out = parts[0]

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.reducers import reducer
+from ..functions.selection import reduced
 from ..plans.grid import GridMapping
 from ..plans.options import reducer_of
 from ..sources.frame import SPARK_TYPES, GridFrame
@@ -59,5 +59,5 @@ def coarsen(frame: GridFrame, rows: int, cols: int, agg_methods: Any = None) ->
     """(leading..., j, i, variables) of windows of rows x cols pixels; windows that aren't whole are left out."""
     whole = frame.df.where((F.col("j") < frame.grid.height // rows * rows) & (F.col("i") < frame.grid.width // cols * cols))
     cell = whole.withColumns({"tj": F.expr(f"j div {rows}"), "ti": F.expr(f"i div {cols}"), "wj": F.col("j") % rows, "wi": F.col("i") % cols})
-    out = [reducer(reducer_of(agg_methods, n, k), F.col(n), F.col("wj"), F.col("wi"), rows, cols, k).alias(n) for n, k in frame.variables.items()]
-    return cell.groupBy(*frame.leading, F.col("tj").alias("j"), F.col("ti").alias("i")).agg(*out)
+    keyed = cell.drop("j", "i").withColumnsRenamed({"tj": "j", "ti": "i"})
+    return reduced(keyed, [*frame.leading, "j", "i"], frame.variables, {n: reducer_of(agg_methods, n, k) for n, k in frame.variables.items()}, rows, cols)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.reducers import present
+from .functions.selection import reduced
 from .operators.affine import affine_transform_dataset
 from .operators.blocks import BlockFrame, affine_blocks, reproject_blocks
 from .operators.rectify import rectify_dataset
@@ -98,6 +99,27 @@ def _coarsen_gaps_sql(name: str) -> str:
     return f"SELECT CAST(j // 4 AS BIGINT) AS j, CAST(i // 4 AS BIGINT) AS i, round({value} + 1e-9, 6) AS v FROM (SELECT j, i {cells}) LEFT JOIN {SPARSE_SQL} USING (j, i) GROUP BY 1, 2"
 
 
+def _whole_image(name: str, column: str) -> Query:
+    """One window of nearly all pixels, by passes of counts; and four of a quarter of the rows each."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame = image(spark, sf_dir)
+        quarter = frame.grid.height // 4
+        cells = frame.df.where(F.col("j") < 4 * quarter).select(F.expr(f"j div {quarter}").alias("j"), F.lit(0).cast("long").alias("i"), (F.col("j") % quarter).alias("wj"), F.col("i").alias("wi"), column)
+        parts = reduced(cells, ["j", "i"], {column: frame.variables[column]}, {column: name}, quarter, WIDTH, large=0)
+        whole = reduced(cells.withColumn("j", F.lit(-1).cast("long")), ["j", "i"], {column: frame.variables[column]}, {column: name}, 4 * quarter, WIDTH, large=0)
+        return parts.union(whole).select("j", "i", F.round(F.col(column).cast("double"), 6).alias("v"))
+
+    return run
+
+
+def _whole_image_sql(name: str, column: str) -> str:
+    cells = f"(SELECT k AS j, 0 AS i, {column} AS v FROM {IMAGE_SQL}, {ROWS_SQL}, LATERAL (SELECT unnest([CAST(j // (h // 4) AS BIGINT), -1]) AS k) WHERE j < h // 4 * 4)"
+    if name == "mode":
+        return f"SELECT j, CAST(i AS BIGINT) AS i, CAST(arg_max(v, (n, -v)) AS DOUBLE) AS v FROM (SELECT j, i, v, count(*) AS n FROM {cells} GROUP BY ALL) GROUP BY j, i"
+    value = "round_even(round(median(v), 9), 0)" if column == "q" else "round(median(v), 6)"
+    return f"SELECT j, CAST(i AS BIGINT) AS i, {value} + 0.0 AS v FROM {cells} GROUP BY j, i"
+
+
 # -- affine maps
 
 #: name: (size, xy_min, resolution, options); heights are given in shares of the image's.
@@ -712,6 +734,7 @@ QUERIES: dict[str, Query] = {
     **{f"coarsen_{n}": _coarsen(n, {"mode": "q", "prod": "p"}.get(n, "v")) for n in REDUCERS},
     **{f"coarsen_int_{n}": _coarsen(n, "q") for n in ("mean", "median", "std", "var", "sum", "max", "min", "count", "first", "last", "center")},
     **{f"coarsen_gaps_{n}": _coarsen_gaps(n) for n in GAPS},
+    "median_large_windows": _whole_image("median", "v"), "median_int_large_windows": _whole_image("median", "q"), "mode_large_windows": _whole_image("mode", "q"),
     **{n: _affine(n) for n in AFFINE}, "affine_leading": affine_leading, "axis_flip": axis_flip,
     "affine_downscale": _affine_downscale(2, "mean"), "affine_downscale_sampled": _affine_downscale(2.5, "max"), "affine_recover_nan": affine_recover_nan,
     **{f"reproject_{m}": _reproject(m) for m in ("nearest", "bilinear", "triangular")},
@@ -729,6 +752,7 @@ ORACLE_SQL: dict[str, str] = {
     **{f"coarsen_{n}": _coarsen_sql(n, {"mode": "q", "prod": "p"}.get(n, "v")) for n in REDUCERS},
     **{f"coarsen_int_{n}": _coarsen_sql(n, "q") for n in ("mean", "median", "std", "var", "sum", "max", "min", "count", "first", "last", "center")},
     **{f"coarsen_gaps_{n}": _coarsen_gaps_sql(n) for n in GAPS},
+    "median_large_windows": _whole_image_sql("median", "v"), "median_int_large_windows": _whole_image_sql("median", "q"), "mode_large_windows": _whole_image_sql("mode", "q"),
     **{n: _affine_sql(n) for n in AFFINE}, "affine_leading": LEADING_SQL, "axis_flip": FLIP_SQL,
     "affine_downscale": DOWNSCALE_MEAN_SQL, "affine_downscale_sampled": DOWNSCALE_MAX_SQL, "affine_recover_nan": RECOVER_SQL,
     **{f"reproject_{m}": _reproject_sql(m) for m in ("nearest", "bilinear", "triangular")},
