@@ -3,7 +3,7 @@
 1. Each text gives seeds: of every `window` neighbouring k-mers of words the one of least hash, so any
    run of window + k - 1 words that two texts share holds a common seed.
 2. A seed's first occurrence, by document id and place, stands for all others: each other
-   document's occurrence is matched with it, so matches grow with the texts and not with
+   document's occurrence is matched with it, and with that of the document before it among the seed's holders, so matches grow with the texts and not with
    pairs of documents.  Seeds that are frequent within one batch send only their first
    occurrence there on, and the others are matched by a join, which splits hot seeds.
 3. The matches of a document with one source are chained in order of both texts: a chain scores
@@ -16,7 +16,8 @@
    first.  So runs of `min_words` words that lie in no passage yet are taken as seeds themselves, at every
    place: each is matched with its first occurrence, chained and aligned.  Hence every run of
    `min_words` words that an earlier document holds word for word is in a passage.  For edited
-   passages that isn't certain: a seed's later holders are not compared with each other.
+   passages that isn't certain: of a seed's later holders only neighbours are compared with each other, and none of frequent seeds, so two edited
+   copies may be missed where the documents between them hold many of their seeds singly, too.
 
 Words are those of `text.words`.  Defined results: null, empty and short texts have no
 passages; rows with a null id take no part; rows that share an id count as one document,
@@ -129,8 +130,11 @@ def _emit(k: int, window: int, groups: int, min_words: int = 0):
     return run
 
 
-def _match(frame):
-    """Matches (doc, src, x, y) of one group of seeds, rows (seed, src, y) for seeds that were held back, and rows (doc, x) of the first holder's other places."""
+def _match(frame, previous: bool = False):
+    """Matches (doc, src, x, y) of one group of seeds, rows (seed, src, y) for seeds that were held back, and rows (doc, x) of the first holder's other places.
+
+    With previous, occurrences are also matched with the first place in the document before theirs among the seed's holders.
+    """
     import pandas as pd
 
     key, doc, pos, flag = (np.concatenate([np.frombuffer(v, t) for v in frame[c]]) for c, t in (("keys", np.uint64), ("docs", np.int64), ("pos", np.int32), ("flags", np.int8)))
@@ -145,6 +149,13 @@ def _match(frame):
     told = start[often]
     again = own & (np.arange(len(key)) != head) & np.repeat(often | (np.add.reduceat(~own, start) > 0), size)
     pairs = pd.DataFrame({"seed": None, "doc": doc[other], "src": doc[head][other], "x": pos[other], "y": pos[head][other]})
+    if previous:
+        holder = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+        before = np.repeat(np.concatenate(([0], holder[:-1])), np.diff(np.append(holder, len(key))))
+        # Seeds that many documents of a batch hold are left to their first holder, which sends the others there.
+        more = other & (before != head) & np.repeat(~often, size)
+        nearer = pd.DataFrame({"seed": None, "doc": doc[more], "src": doc[before][more], "x": pos[more], "y": pos[before][more]})
+        pairs = pd.concat([pairs, nearer]) if len(nearer) else pairs
     heads = pd.DataFrame({"seed": key[told].view(np.int64), "doc": None, "src": doc[told], "x": None, "y": pos[told]})
     places = pd.DataFrame({"seed": None, "doc": doc[again], "src": None, "x": pos[again], "y": None})
     return pd.concat([p.astype("Int64") for p in (pairs, heads, places) if len(p)] or [pairs.astype("Int64")])
@@ -321,7 +332,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(partitions(spark), math.ceil(size / 6 * 2 / (window + 1) / GROUP_SEEDS))
     emitted = kept(docs.mapInArrow(_emit(k, window, groups), _EMITTED), "seeds")
-    found, matches = _stars(emitted)
+    found, matches = _stars(emitted, previous=True)
     # What may be missing of a passage at both ends of its chain.
     passages = kept(_passages(docs, matches, k, max(k, min_words - 2 * (window + k)), min_words, identity), "passages")
 
@@ -340,10 +351,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return passages.union(more).distinct()
 
 
-def _stars(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What _match finds, and the matches of each seed's occurrences with its first one."""
+def _stars(emitted: DataFrame, previous: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What _match finds, and the matches of each seed's occurrences with its first one (and with those of the holder before)."""
     packed = emitted.where("g IS NOT NULL").select("g", "keys", "docs", "pos", "flags")
-    found = kept(packed.groupBy("g").applyInPandas(_match, "seed long, doc long, src long, x int, y int"), "matches")
+    found = kept(packed.groupBy("g").applyInPandas(lambda frame: _match(frame, previous), "seed long, doc long, src long, x int, y int"), "matches")
     back = emitted.where("g IS NULL").select("seed", "doc", F.col("at").alias("x"))
     heads = found.where("seed IS NOT NULL").select("seed", "src", "y")
     late = back.join(heads.hint("merge"), "seed").where("doc <> src").select("doc", "src", "x", "y")

@@ -575,6 +575,44 @@ def test_repeated_passages_whose_seeds_occur_earlier_singly(spark, monkeypatch):
         assert all(r.src_doc_id < r.doc_id for r in rows) and {r.doc_id for r in rows} == {3, 4, 7, 8, 10}
 
 
+def edited(rng, words, rate):
+    out = []
+    for w in words:
+        if rng.random() >= rate:
+            out.append(w)
+        elif rng.random() < 0.6:
+            out.append("edit" + rng.choice(VOCABULARY))
+        if rng.random() < rate / 5:
+            out.append("more" + rng.choice(VOCABULARY))
+    return out
+
+
+def test_repeated_passages_edited_and_held_in_pieces_before(spark):
+    """Recall by identity: edited copies of passages are found whether or not earlier documents hold all of their seeds singly."""
+    shares = {}
+    for pieces in (False, True):
+        rng = random.Random(21)
+        texts, planted = [], []
+        around = lambda words: prose(rng, 40) + words + prose(rng, 40)
+        for rate in (0.02, 0.04):
+            for _ in range(15):
+                base = prose(rng, 200)
+                held = [around(base[a : a + 40]) for a in range(0, 180, 20)]
+                texts += held if pieces else []
+                for copy in range(3):
+                    texts.append(around(edited(rng, base, rate)))
+                    planted += [(rate, len(texts) - 1)] if copy else []
+        rows = passages.repeated_passages(frame(spark, [" ".join(t) for t in texts])).collect()
+        hit = {r.doc_id for r in rows}
+        for rate in (0.02, 0.04):
+            docs = [d for q, d in planted if q == rate]
+            shares[pieces, rate] = sum(d in hit for d in docs) / len(docs)
+        for r in rows:
+            mine, theirs = texts[r.doc_id][r.start : r.end], texts[r.src_doc_id][r.src_start : r.src_end]
+            assert r.src_doc_id < r.doc_id and len(set(mine) & set(theirs)) >= 0.7 * len(set(mine))
+    assert min(shares.values()) >= 0.9
+
+
 @pytest.mark.parametrize("name", ["a", "b"])
 def test_alignment_counts_equal_words(name):
     rng = np.random.default_rng(13)
