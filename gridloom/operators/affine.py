@@ -89,6 +89,7 @@ def _sample(frame: GridFrame, matrix: Matrix, size: tuple[int, int], names: list
     fed = fed.select(*frame.leading, "tj", "ti", (F.col("wy") * F.col("wx")).alias("w"), *names)
     empty = [F.lit(None).cast(frame.df.schema[n].dataType).alias(n) for n in names]
     both = fed.unionByName(cells.select(*frame.leading, "tj", "ti", F.lit(None).cast("double").alias("w"), *empty))
+    gaps = _with_nan(frame, [n for n in names if recover[n] and method != "nearest" and not is_integer(frame.variables[n]) and not math.isnan(fills[n])])
     out = []
     for n in names:
         kind, v, w = frame.variables[n], F.col(n), F.col("w")
@@ -101,16 +102,18 @@ def _sample(frame: GridFrame, matrix: Matrix, size: tuple[int, int], names: list
         else:
             value = fitted(F.sum(w * v.cast("double")), kind) if is_integer(kind) else F.sum(w * v.cast("double"))
         outside = fills[n]
-        if recover[n] and method != "nearest" and not is_integer(kind) and not (outside == 0 or math.isnan(outside)) and _has_nan(frame, n):
-            outside = 1.0  # value and weight are both filled, then divided
-        elif recover[n] and method != "nearest" and not is_integer(kind) and outside == 0 and _has_nan(frame, n):
-            outside = math.nan
+        if n in gaps:
+            outside = math.nan if outside == 0 else 1.0  # value and weight are both filled, then divided
         out.append(F.coalesce(value, _literal(outside, kind)).alias(n))
     return both.groupBy(*frame.leading, F.col("tj").alias("j"), F.col("ti").alias("i")).agg(*out)
 
 
-def _has_nan(frame: GridFrame, name: str) -> bool:
-    return not frame.df.where(F.isnan(name)).isEmpty()
+def _with_nan(frame: GridFrame, names: list[str]) -> set[str]:
+    """Those of the variables that hold any NaN, by one aggregate for all; none is asked for without a fill value of its own."""
+    if not names:
+        return set()
+    row = frame.df.agg(*(F.coalesce(F.bool_or(F.isnan(n)), F.lit(False)).alias(n) for n in names)).first()
+    return {n for n in names if row[n]}
 
 
 def resample(frame: GridFrame, matrix: Matrix, size: tuple[int, int], *, interp_methods: Any = None, agg_methods: Any = None, recover_nans: Any = False, fill_values: Any = None) -> DataFrame:
