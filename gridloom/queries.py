@@ -707,8 +707,8 @@ def _project(crs: CRS) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lonlat = image(spark, sf_dir).df.select("j", "i", F.expr("6.0e0 + 0.1e0 * i").alias("x"), F.expr("47.0e0 + 0.015e0 * (j % 500)").alias("y"))
         moved = project(lonlat, CRS_WGS84, crs)
-        again = project(moved.select("j", "i", "x", "y"), crs, CRS_WGS84).select("j", "i", F.round("x", 6).alias("lon"), F.round("y", 6).alias("lat"))
-        return moved.select("j", "i", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")).join(again, ["j", "i"])
+        again = project(moved.select("j", "i", "x", "y"), crs, CRS_WGS84).select("j", "i", (F.round("x", 6) + 0.0).alias("lon"), (F.round("y", 6) + 0.0).alias("lat"))
+        return moved.select("j", "i", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y")).join(again, ["j", "i"])
 
     return run
 
@@ -717,7 +717,7 @@ def _project_sql(crs: CRS) -> str:
     points = f"(SELECT j, i, 6.0e0 + 0.1e0 * i AS x, 47.0e0 + 0.015e0 * (j % 500) AS y FROM {IMAGE_SQL})"
     moved = sql_of(transformation(CRS_WGS84, crs), points, "j, i, x, y")
     again = sql_of(transformation(crs, CRS_WGS84), f"({moved})", "j, i, x AS lon, y AS lat")
-    return f"SELECT m.j, m.i, round(m.x, 3) AS x, round(m.y, 3) AS y, round(a.lon, 6) AS lon, round(a.lat, 6) AS lat FROM ({moved}) m JOIN ({again}) a ON a.j = m.j AND a.i = m.i"
+    return f"SELECT m.j, m.i, round(m.x, 3) + 0.0 AS x, round(m.y, 3) + 0.0 AS y, round(a.lon, 6) + 0.0 AS lon, round(a.lat, 6) + 0.0 AS lat FROM ({moved}) m JOIN ({again}) a ON a.j = m.j AND a.i = m.i"
 
 
 #: Systems whose projections are shown at the image's places, there and back.
