@@ -43,12 +43,14 @@ def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 
 def window_of(grid: GridMapping, target: GridMapping, block: int = BLOCK) -> tuple[DataFrame, tuple[int, int, int, int] | None]:
-    """The grid's pixels that the target can meet, and their window (i0, j0, i1, j1), ends included; the whole grid where the target holds it."""
+    """The grid's pixels that the target can meet, and their window (i0, j0, i1, j1), ends included; the whole grid where the target holds most of it."""
     pixels = grid.pixel_frame()
     # A triangle reaches up to UV_DELTA of its sides beyond its corners: less than a pixel of either grid.
     dx, dy = (float(max(a, b)) for a, b in zip(grid.xy_res, target.xy_res, strict=True))
     box = (target.x_min - dx, target.y_min - dy, target.x_max + dx, target.y_max + dy)
-    if box[0] <= grid.x_min and box[1] <= grid.y_min and box[2] >= grid.x_max and box[3] >= grid.y_max:
+    across, up = (min(box[k + 2], grid.xy_bbox[k + 2]) - max(box[k], grid.xy_bbox[k]) for k in (0, 1))
+    # An index of blocks pays where it spares at least as many pixels as it reads.
+    if across > 0 and up > 0 and 2 * across * up >= (grid.x_max - grid.x_min) * (grid.y_max - grid.y_min):
         return pixels, (0, 0, grid.width, grid.height)
     return met_pixels(pixels, box, block)
 
