@@ -292,3 +292,22 @@ def test_bounds_across_a_rotated_pole():
     x, y = crs.project_point(rotated, crs.CRS_WGS84, 0.0, 39.25)
     low = crs.project_bounds(rotated, crs.CRS_WGS84, (-5, 30, 5, 45))
     assert low[3] == 90.0 and (low[0], low[2]) == (-180.0, 180.0) and abs(y - 90) < 1e-6
+
+
+def test_edges_of_large_grids_stay_where_they_are():
+    # Within 1e-5 of a whole number, relatively, but half or a quarter of a pixel away from it.
+    assert regular((64, 100000), (2.25, -3.5), 1, crs="EPSG:3857").y_max == 99996.5
+    assert regular((64, 100003), (-20.5, 3.25), (0.5, 0.25), crs="EPSG:3857").y_max == 25004.0
+    assert regular((64, 100001), (-20.5, 3.25), (0.5, 0.25), crs="EPSG:3857").y_max == 25003.5
+    assert regular((10, 10), (10.00005, 50.0), 0.0004).x_min == 10.00005
+    assert isinstance(regular((10, 10), (10, 50), 0.1).x_max, int)
+
+
+def test_windows_on_a_grid_that_reaches_beyond_90(spark, tmp_path):
+    from gridloom import queries
+
+    spark.range(2000).selectExpr("id AS vec_id", "array_repeat(0.5f, 64) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(0, 0), (1, 1), (486, 2)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    rows = {r.event_id: tuple(r)[1:] for r in queries.QUERIES["event_windows_regular"](spark, str(tmp_path)).collect()}
+    # Rows are 0.08 high and end at 9 + 0.08 * 2000 = 169.
+    assert len(rows) == 3 and rows[0] == (-1, -1, -1, -1) and rows[486][1] == max(0, int((169 - (8 + 0.091 * 486 + 0.0711 * 3 + 0.01)) / 0.08 - 0.5) + 1 - 2)
