@@ -93,3 +93,15 @@ def test_blocks_move_less_than_half(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     print(few, many)
     assert 0 < few < many / 2
+
+
+def test_long_targets_aslant_are_not_scaled_down(spark):
+    from gridloom import queries
+    from gridloom.operators.reproject import _pixel_extent, _scaled_down
+
+    h = 12000
+    source = GridFrame.from_dataframe(spark.range(1).selectExpr("id AS j", "id AS i", "0.5 AS v"), queries._utm_grid(h))
+    target = queries._laea_grid(h)
+    # Pixels of 90 m, turned by little: their extent is far from 100 m / 0.95.
+    assert 89 < min(_pixel_extent(target, source.grid.crs)) <= max(_pixel_extent(target, source.grid.crs)) < 96
+    assert _scaled_down(source, target, "bilinear", None, False) is source
