@@ -105,3 +105,24 @@ def test_long_targets_aslant_are_not_scaled_down(spark):
     # Pixels of 90 m, turned by little: their extent is far from 100 m / 0.95.
     assert 89 < min(_pixel_extent(target, source.grid.crs)) <= max(_pixel_extent(target, source.grid.crs)) < 96
     assert _scaled_down(source, target, "bilinear", None, False) is source
+
+
+def test_only_met_target_pixels_are_joined(spark):
+    from gridloom.operators.rectify import rectify_dataset
+    from gridloom.plans.crs import CRS_WGS84
+    from gridloom.sources.infer import grid_from_pixels
+
+    pixels = spark.range(48).selectExpr("id div 8 AS j", "id % 8 AS i", "10 + 0.1D * (id % 8) + 0.05D * (id div 8) AS x", "50 - 0.1D * (id div 8) AS y")
+    frame = GridFrame.from_dataframe(spark.range(48).selectExpr("id div 8 AS j", "id % 8 AS i", "CAST(id AS double) AS v"), grid_from_pixels(pixels, CRS_WGS84))
+    target = GridMapping.regular((97, 31), (8.0, 48.0), 0.09, CRS_WGS84)
+    out = rectify_dataset(frame, target, interp_methods="bilinear").df
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # No table of all target pixels is made: they are filled in where their row is.
+    assert f"Range (0, {97 * 31}," not in plan
+    rows = out.collect()
+    assert sorted((r.j, r.i) for r in rows) == [(j, i) for j in range(31) for i in range(97)]
+    def within(r):
+        row = (50 - (50.79 - 0.09 * (r.j + 0.5))) / 0.1
+        return 0 <= row <= 5 and 0 <= (8 + 0.09 * (r.i + 0.5) - 10 - 0.05 * row) / 0.1 <= 7
+
+    assert [(r.j, r.i) for r in rows if not math.isnan(r.v)] and all(within(r) != math.isnan(r.v) for r in rows)
