@@ -125,3 +125,14 @@ def test_quads_at_a_ragged_edge_make_few_candidates(spark):
     assert got and all(si <= 22 for _, si in got.values())
     clean = {(r.j, r.i): (r.sj, r.si) for r in rectify.source_indices(grid_from_pixels(skewed(spark, 23, 30)[1], "EPSG:4326"), target).collect()}
     assert all(clean[k] == v for k, v in got.items())
+
+
+def test_large_boxes_are_in_few_cells(spark):
+    # Two small pieces far apart: on the lattice of small cells alone, a box over both would be in billions.
+    rows = [(j, i, 0.001 * i + (1e6 if j >= 16 else 0.0), -0.001 * j - (1e6 if j >= 16 else 0.0)) for j in range(32) for i in range(16)]
+    pixels = spark.createDataFrame(rows, "j long, i long, x double, y double")
+    boxes = [(-1.0, -2e6, 2e6, 1.0), (0.0, -0.0105, 0.0045, 1.0), (0.0035, -1e6 - 0.0205, 1e6 + 0.0055, -0.0125), (5.0, -9.0, 6.0, -8.0)]
+    asked = spark.createDataFrame([(n, *b) for n, b in enumerate(boxes)], "n int, x0 double, y0 double, x1 double, y1 double")
+    grid = replace(GridMapping.regular((16, 32), (0, 0), 1, "EPSG:3857"), is_regular=False, pixels=pixels)
+    got = {r.n: (r.i0, r.j0, r.i1, r.j1) for r in windows.ij_windows(grid, asked, block=16).collect()}
+    assert [got[n] for n in range(4)] == [plain_window(rows, b, 0, 16, 32) for b in boxes]
