@@ -235,6 +235,12 @@ def test_line_dedup_counts_words_of_a_sample(spark, monkeypatch):
     assert got == dedup_by_hand(texts)
 
 
+def test_line_dedup_counts_words_of_all_documents(spark):
+    # Each document has a word of its own, and all have one in common: 40,000 of them are of class 15.
+    docs = spark.range(40_000).selectExpr("id AS own", "concat('all w', id) AS text")
+    assert max(map(int, line_dedup._levels(docs).split(","))) == 15
+
+
 def test_line_dedup_odd_rows(spark):
     line = "alpha beta gamma delta epsilon zeta"
     rows = [(None, line, "x"), (-3, line, "x"), (4, f"{line}\n{line} \nno", "x"), (4, f"{line}\n{line} \nno", "x"), (9, None, "x")]
