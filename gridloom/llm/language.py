@@ -5,10 +5,15 @@ and backwards across words, labels each byte with probabilities of the learned l
 probabilities are the mean over all its bytes.  Long texts are read in pieces: `STEP` bytes
 are labelled at a time, and `EDGE` more on either side are read to build up the state.
 
-It is trained here, in numpy, by backpropagation through time, on spans of bytes drawn at
-random from the whole texts of a sample of labelled documents: those with the least
-hashes of their ids, about `sample_docs` of them, and `sample_spans` spans from each, of up to the
-length that is read at once when labelling.
+It is trained here, in numpy, by backpropagation through time, on every byte of every labelled document
+that is not held out, and for every language any of them has:
+
+1. A start is fitted on spans of bytes drawn at random from the texts of a few documents: those with the least
+   hashes of their ids, about `sample_docs` of them but LEAST_DOCS of each language where there are so many, and
+   `sample_spans` spans from each, of up to the length that is read at once when labelling.
+2. The documents are dealt into PARTS parts by a hash of their ids.  For each part in turn, tasks add up the gradients of
+   all bytes of all its texts, Spark adds up the tasks', and the weights move by one step of Adam.  So what comes to the
+   driver is as large as the network, and the weights don't depend on how rows are dealt to tasks, but for rounding.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where
 nothing was learned; a null id is never held out; extra columns are not read.
@@ -33,6 +38,10 @@ STEP, EDGE = 96, 16
 SPAN = STEP + 2 * EDGE
 #: Pieces of texts that are read side by side.
 ABREAST = 1024
+#: Parts of the labelled documents, each a step of learning, and how far a step moves a weight.
+PARTS, RATE = 4, 0.003
+#: Documents of a language from which the start is fitted at least, where there are so many, and pieces whose gradients are worked out side by side.
+LEAST_DOCS, TAUGHT = 50, 256
 _SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 UNDETERMINED = "und"
 
@@ -54,6 +63,10 @@ class Network:
     offset: np.ndarray  # languages
 
 
+#: The fields of a network that are learned.
+WEIGHTS = ("inputs", "recurrent", "bias", "output", "offset")
+
+
 def _padded(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes (time, span), padded to the longest span, and the spans' sizes."""
     sizes = np.array([len(s) for s in spans])
@@ -120,10 +133,10 @@ def _gradients(net: Network, raw: np.ndarray, sizes: np.ndarray, label: np.ndarr
     return out
 
 
-def fit(spans: list[bytes], labels: list[str], *, width: int = 8, steps: int = 240, batch: int = 96, rate: float = 0.03, seed: int = 7) -> Network:
-    """A network trained on spans of bytes, each with a language, by Adam over random batches of spans of like length."""
+def fit(spans: list[bytes], labels: list[str], languages: tuple[str, ...] | None = None, *, width: int = 8, steps: int = 240, batch: int = 96, rate: float = 0.03, seed: int = 7) -> Network:
+    """A network trained on spans of bytes, each with a language, by Adam over random batches of spans of like length.  languages: all there are, if the spans may lack some."""
     rng = np.random.default_rng(seed)
-    languages = tuple(sorted(set(labels)))
+    languages = languages or tuple(sorted(set(labels)))
     index = {k: i for i, k in enumerate(languages)}
     small = lambda *shape: rng.normal(0, 0.2, shape).astype(np.float32)
     net = Network(languages, small(2, 256, 3 * width), small(2, width, 3 * width), small(2, width), small(2 * width, len(languages)), np.zeros(len(languages), np.float32))
@@ -177,14 +190,55 @@ def labels_of(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
     return [(net.languages[int(best[i].argmax())], round(min(1.0, float(best[i].max())), 6)) if r else (UNDETERMINED, 0.0) for i, r in enumerate(raw)]
 
 
+def _added(net: Network, labelled: DataFrame) -> tuple[int, dict[str, np.ndarray]]:
+    """How many bytes the texts of (id, text, lang) have, and the gradients of their mean cross entropy."""
+    index = {k: i for i, k in enumerate(net.languages)}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums, held = 0, np.zeros(sum(getattr(net, k).size for k in WEIGHTS)), []
+
+        def teach() -> None:
+            nonlocal total
+            raw, sizes = _padded([piece for piece, _ in held])
+            grads = _gradients(net, raw, sizes, np.array([at for _, at in held]))
+            sums[:] += np.concatenate([grads[k].ravel() for k in WEIGHTS]) * float(sizes.sum())
+            total += int(sizes.sum())
+            held.clear()
+
+        for batch in batches:
+            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = readable(text)
+                for a in range(0, len(own), SPAN):
+                    held.append((own[a : a + SPAN], index[lang]))
+                    if len(held) == TAUGHT:
+                        teach()
+        if held:
+            teach()
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["n", "g"])
+
+    tasks = labelled.mapInArrow(trimmed(add), "n long, g array<double>").where("n > 0")
+    # The number of bytes is one more place of the sums.
+    rows = tasks.select(F.posexplode(F.concat(F.array(F.col("n").cast("double")), "g")).alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
+    if not rows:
+        return 0, {}
+    n, *flat = (r["v"] for r in sorted(rows, key=lambda r: r["at"]))
+    parts = np.split(np.array(flat) / n, np.cumsum([getattr(net, k).size for k in WEIGHTS])[:-1])
+    return int(n), {k: g.reshape(getattr(net, k).shape) for k, g in zip(WEIGHTS, parts, strict=True)}
+
+
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, sample_spans: int = 8) -> Network:
-    """A network of the languages in lang_col, from documents that are not held out; see the module for the sample."""
+    """A network of the languages in lang_col, from all documents that are not held out; see the module for the start."""
     bound_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    count = labelled.count()
-    share = min(1.0, sample_docs / max(count, 1))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    rows = chosen.select(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.col(lang_col).cast("string")).limit(2 * sample_docs)
+    labelled = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = {r["lang"]: r["count"] for r in labelled.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").count().collect()}
+    share = min(1.0, sample_docs / max(sum(counts.values()), 1))
+    hashed = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
+    rare = {k: LEAST_DOCS / c for k, c in counts.items() if LEAST_DOCS / c > share}
+    chosen = hashed < int(share * 1_000_003) + 1
+    for lang, own in rare.items():
+        chosen |= (F.col("lang") == lang) & (hashed < int(min(1.0, own) * 1_000_003) + 1)
+    rows = labelled.where(chosen).limit(2 * (sample_docs + LEAST_DOCS * len(rare)))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +253,22 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([pa.array(spans, pa.binary()), pa.array(langs, pa.string())], names=["span", "lang"])
 
     drawn = sorted((bytes(r["span"]), r["lang"]) for r in rows.mapInArrow(draw, "span binary, lang string").collect())
-    return fit([s for s, _ in drawn], [k for _, k in drawn])
+    net = fit([s for s, _ in drawn], [k for _, k in drawn], tuple(sorted({*counts, *(k for _, k in drawn)})))
+    if len(net.languages) < 2:
+        return net
+    first = {k: np.zeros(getattr(net, k).shape) for k in WEIGHTS}
+    second = {k: np.zeros_like(v) for k, v in first.items()}
+    known, step = F.col("lang").isin(*net.languages), 0
+    for part in range(PARTS):
+        n, grads = _added(net, labelled.where(known & (F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)) == part)))
+        if not n:
+            continue
+        step += 1
+        for k, g in grads.items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            getattr(net, k)[...] -= (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    return net
 
 
 def label(docs: DataFrame, net: Network, *, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

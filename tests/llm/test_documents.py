@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -382,6 +383,24 @@ def test_language_learns_and_marks_undetermined(spark):
     assert {r.lang_pred for r in language.identify(docs.limit(5), empty).collect()} == {"und"}
 
 
+def test_language_learns_from_every_document_and_for_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "LEAST_DOCS", 2)
+    tongues = {"aa": ["kar", "tol", "min"], "bb": ["öu", "eli", "çan"], "cc": ["thry", "wyn", "ghul"]}
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(tongues[k]) for _ in range(40)), k) for i, k in enumerate(rng.choices(["aa", "bb"], k=240))]
+    rows += [(1000 + i, " ".join(rng.choice(tongues["cc"]) for _ in range(40)), "cc") for i in range(4)]
+    learn = lambda rows: language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=10)
+    net = learn(rows)
+    assert net.languages == ("aa", "bb", "cc")
+    # Documents of no letter have no language to learn; each other one that isn't held out moves the weights, and each held out one doesn't.
+    assert learn([*rows, (5000, "12 34", "dd")]).languages == net.languages
+    taught = [i for i in range(240) if zlib.crc32(str(i).encode()) % 4 != 2]
+    for i in (*rng.sample(taught, 3), next(i for i in range(240) if i not in taught)):
+        other = learn([(j, t + " qqq" if j == i else t, k) for j, t, k in rows])
+        # Of the bytes q only what was learned tells: a start of other documents leaves their weights alone.
+        assert np.array_equal(other.inputs[0][ord("q")], net.inputs[0][ord("q")]) == (i not in taught)
+
+
 def test_language_gradients_match_differences():
     net = language.fit([b"abc", b"xyz"] * 4, ["p", "q"] * 4, width=3, steps=1)
     raw, size = language._padded([b"abca", b"xy", b"zb"])
