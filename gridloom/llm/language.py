@@ -3,7 +3,8 @@
 The network reads a text's lower-cased UTF-8 bytes, every run of white space as one space, forwards
 and backwards across words, labels each byte with probabilities of the learned languages, and a document's
 probabilities are the mean over all its bytes.  Long texts are read in pieces: `STEP` bytes
-are labelled at a time, and `EDGE` more on either side are read to build up the state.
+are labelled at a time, and `EDGE` more on either side are read to build up the state.  Many pieces take each step
+together, as what numpy needs for a call is much of the work.
 
 It is trained here, in numpy, by backpropagation through time, on every byte of every labelled document
 that is not held out, and for every language any of them has:
@@ -21,6 +22,7 @@ nothing was learned; a null id is never held out; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,14 +36,16 @@ from pyspark.sql import functions as F
 from .store import bound_batches, trimmed
 
 #: Bytes that are labelled at once, bytes read on either side of them, and both together.
-STEP, EDGE = 96, 16
+STEP, EDGE = 224, 16
 SPAN = STEP + 2 * EDGE
 #: Pieces of texts that are read side by side.
-ABREAST = 1024
+ABREAST = 2048
 #: Parts of the labelled documents, each a step of learning, and how far a step moves a weight.
 PARTS, RATE = 4, 0.003
-#: Documents of a language from which the start is fitted at least, where there are so many, and pieces whose gradients are worked out side by side.
-LEAST_DOCS, TAUGHT = 50, 256
+#: Documents of a language from which the start is fitted at least, where there are so many.
+LEAST_DOCS = 50
+#: Pieces whose gradients are worked out side by side, and bytes of a piece.
+TAUGHT, LESSON = 2048, 128
 _SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 UNDETERMINED = "und"
 
@@ -74,63 +78,130 @@ def _padded(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(np.frombuffer(b"".join(s.ljust(longest, b"\0") for s in spans), np.uint8).reshape(len(spans), longest).T), sizes
 
 
-def _states(net: Network, way: int, raw: np.ndarray, sizes: np.ndarray, steps: list | None = None) -> np.ndarray:
-    """Hidden states (time, width, span) of one direction; what learning needs goes to steps."""
-    width = net.recurrent.shape[1]
-    turn, bias, shortest = np.ascontiguousarray(net.recurrent[way].T), net.bias[way][:, None], int(sizes.min())
-    h = np.zeros((width, raw.shape[1]), np.float32)
-    out = np.empty((raw.shape[0], *h.shape), np.float32)
-    for t in range(len(raw)) if way == 0 else reversed(range(len(raw))):
-        x, own = net.inputs[way][raw[t]].T, turn @ h
-        gates = np.tanh(0.5 * (own[: 2 * width] + x[: 2 * width]))
-        gates = 0.5 * gates + 0.5
-        z, r, inner = gates[:width], gates[width:], own[2 * width :] + bias
-        c = np.tanh(x[2 * width :] + r * inner)
-        if steps is not None:
-            steps.append((t, h, z, r, c, inner))
-        h = c + z * (h - c)
-        if t >= shortest:
-            h *= t < sizes
-        out[t] = h
+def _by_gate(weights: np.ndarray) -> np.ndarray:
+    """Weights (way, row, 3 * width) as (gate, way, row, width)."""
+    return np.ascontiguousarray(weights.reshape(2, weights.shape[1], 3, -1).transpose(2, 0, 1, 3))
+
+
+class Room(dict):
+    """Memory that calls use again, by name: fresh memory costs a page fault for every few of the numbers in it."""
+
+    def floats(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self or self[name].size < size:
+            self[name] = np.empty(size, np.float32)
+        return self[name][:size].reshape(shape)
+
+
+def _states(net: Network, raw: np.ndarray, sizes: np.ndarray, room: Room, learning: bool = False) -> np.ndarray:
+    """Hidden states (way, step, span, width), where backwards the first step is at the last byte; what learning needs stays in room.
+
+    Both ways take their steps together, and each gate is one block of memory.  Gates come from exponentials,
+    1 / (1 + e^-v) and 2 / (1 + e^-2v) - 1, which numpy works out faster than tanh.
+    """
+    (length, count), width, shortest = raw.shape, net.recurrent.shape[1], int(sizes.min())
+    scale = np.array([-1, -1, -2], np.float32)[:, None, None, None]
+    table, turn = scale * _by_gate(net.inputs), scale * _by_gate(net.recurrent)
+    table, bias = table.reshape(3, -1, width), np.repeat(-2 * net.bias[:, None], count, 1)
+    read = np.stack((raw, raw[::-1]), 1) + 256 * np.arange(2)[:, None]
+    out, x, own = room.floats("states", 2, length, count, width), room.floats("x", 3, 2, count, width), room.floats("own", 3, 2, count, width)
+    block = room.floats("block", 4, 2, length if learning else 1, count, width)
+    h = np.zeros_like(own[0])
+    with np.errstate(over="ignore"):
+        for s in range(length):
+            now = block[:, :, s if learning else 0]
+            gate, c, pull = now[:2], now[2], now[3]
+            for k in range(3):
+                np.take(table[k], read[s], 0, out=x[k], mode="clip")
+            np.matmul(h, turn, out=own)
+            np.add(x[:2], own[:2], out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.divide(1, gate, out=gate)
+            own[2] += bias
+            np.multiply(gate[1], own[2], out=pull)
+            np.add(pull, x[2], out=c)
+            np.exp(c, out=c)
+            c += 1
+            np.divide(2, c, out=c)
+            c -= 1
+            np.subtract(h, c, out=out[:, s])
+            h = out[:, s]
+            h *= gate[0]
+            h += c
+            # Backwards, what fills up a span comes before it.
+            if length - 1 - s >= shortest:
+                h[1, sizes <= length - 1 - s] = 0
     return out
 
 
-def _probabilities(net: Network, raw: np.ndarray, sizes: np.ndarray, steps: tuple[list, list] | None = None):
+def _probabilities(net: Network, raw: np.ndarray, sizes: np.ndarray, room: Room | None = None, learning: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities (time, language, span), and the states they come from."""
-    both = np.concatenate([_states(net, way, raw, sizes, steps and steps[way]) for way in (0, 1)], 1)
-    logits = net.output.T @ both + net.offset[:, None]
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True), both
-
-
-def _gradients(net: Network, raw: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    states = _states(net, raw, sizes, Room() if room is None else room, learning)
+    width = states.shape[3]
+    p = net.output[:width].T @ states[0].transpose(0, 2, 1)
+    p += net.output[width:].T @ states[1, ::-1].transpose(0, 2, 1)
+    p += net.offset[:, None]
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    return p, states
+
+
+def _gradients(net: Network, raw: np.ndarray, sizes: np.ndarray, label: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
     """Gradients of the mean cross entropy over all positions, by backpropagation through time."""
-    steps: tuple[list, list] = ([], [])
-    p, both = _probabilities(net, raw, sizes, steps)
-    inside = (np.arange(len(raw))[:, None] < sizes).astype(np.float32)
-    wrong = p - np.eye(len(net.languages), dtype=np.float32)[label].T
-    wrong = (wrong * inside[:, None, :] / sizes.sum()).astype(np.float32)
-    width = net.recurrent.shape[1]
-    out = {"output": np.einsum("thn,tkn->hk", both, wrong), "offset": wrong.sum((0, 2))}
-    out |= {k: np.zeros_like(getattr(net, k)) for k in ("inputs", "recurrent", "bias")}
-    to_state = net.output @ wrong
-    order = np.argsort(raw, axis=None, kind="stable")
-    values, first = np.unique(raw.ravel()[order], return_index=True)
+    room = Room() if room is None else room
+    wrong, states = _probabilities(net, raw, sizes, room, True)
+    (length, count), width, shortest = raw.shape, net.recurrent.shape[1], int(sizes.min())
+    block = room.floats("block", 4, 2, length, count, width)
+    wrong -= np.eye(len(net.languages), dtype=np.float32)[label].T
+    wrong *= ((np.arange(length)[:, None] < sizes) / np.float32(sizes.sum()))[:, None]
+    offset = wrong.sum((0, 2))
+    ends, to_state = [], room.floats("to_state", 2, length, count, width)
+    for way, (own, error) in enumerate(((net.output[:width], wrong), (net.output[width:], wrong[::-1]))):
+        np.matmul(error.transpose(0, 2, 1), own.T, out=to_state[way])
+        ends.append((error @ states[way]).sum(0).T)
+    # The second gate's errors are carried as twice what they are.
+    half = np.array([1, 0.5, 1], np.float32)[:, None, None, None]
+    back = np.ascontiguousarray((half * _by_gate(net.recurrent)).transpose(0, 1, 3, 2))
+    left, more, carry = room.floats("left", 2, count, width), room.floats("more", 2, count, width), np.zeros((2, count, width), np.float32)
+    # Errors take the place of what they come from: dz, dr, dc, and dc * r for the recurrent part.
+    for s in reversed(range(length)):
+        z, r, c, pull = block[:, :, s]
+        carry += to_state[:, s]
+        if length - 1 - s >= shortest:
+            carry[1, sizes <= length - 1 - s] = 0
+        np.subtract(1, z, out=left)
+        left *= carry
+        carry *= z
+        np.subtract(states[:, s - 1] if s else 0, c, out=more)
+        more *= left
+        z *= more
+        np.multiply(c, c, out=more)
+        np.subtract(1, more, out=more)
+        np.multiply(more, left, out=c)
+        np.subtract(r, 1, out=left)
+        left *= pull
+        np.multiply(c, r, out=pull)
+        np.multiply(c, left, out=r)
+        for error, own in ((z, back[0]), (r, back[1]), (pull, back[2])):
+            np.matmul(error, own, out=more)
+            carry += more
+    ones, recurrent, inputs = np.ones(length * count, np.float32), np.zeros_like(back), np.zeros((3, 2, 256, width), np.float32)
+    rows = lambda block: block.reshape(-1, width)
+    order, runs = np.argsort(raw, axis=None, kind="stable"), np.cumsum(np.bincount(raw.ravel(), minlength=256))
+    runs = [(value, a, b) for value, (a, b) in enumerate(zip([0, *runs[:-1]], runs, strict=True)) if a < b]
     for way in (0, 1):
-        carry = np.zeros((width, raw.shape[1]), np.float32)
-        to_input = np.empty((len(raw), raw.shape[1], 3 * width), np.float32)
-        for t, h, z, r, c, inner in reversed(steps[way]):
-            dh = (carry + to_state[t, way * width : (way + 1) * width]) * inside[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h - c) * z * (1 - z)
-            dr = dc * inner * r * (1 - r)
-            d_own = np.concatenate((dz, dr, dc * r))
-            out["recurrent"][way] += h @ d_own.T
-            out["bias"][way] += d_own[2 * width :].sum(1)
-            to_input[t] = np.concatenate((dz, dr, dc)).T
-            carry = dh * z + net.recurrent[way] @ d_own
-        out["inputs"][way][values] = np.add.reduceat(to_input.reshape(-1, 3 * width)[order], first)
-    return out
+        if way == 1:
+            order += (length - 1) * count - 2 * (order - order % count)
+        for k in range(3):
+            recurrent[k, way] = rows(states[way, :-1]).T @ rows(block[k if k < 2 else 3, way, 1:])
+            sorted_rows = np.take(rows(block[k, way]), order, 0, out=room.floats("sorted", len(order), width), mode="clip")
+            for value, a, b in runs:
+                inputs[k, way, value] = ones[: b - a] @ sorted_rows[a:b]
+    bias = np.stack([ones @ rows(errors) for errors in block[3]])
+    flat = lambda g: (half * g).transpose(1, 2, 0, 3).reshape(2, -1, 3 * width)
+    return {"output": np.concatenate(ends), "offset": offset, "inputs": flat(inputs), "recurrent": flat(recurrent), "bias": bias}
 
 
 def fit(spans: list[bytes], labels: list[str], languages: tuple[str, ...] | None = None, *, width: int = 8, steps: int = 240, batch: int = 96, rate: float = 0.03, seed: int = 7) -> Network:
@@ -145,12 +216,12 @@ def fit(spans: list[bytes], labels: list[str], languages: tuple[str, ...] | None
     order = np.argsort([len(s) for s in spans], kind="stable")
     first = {k: np.zeros_like(getattr(net, k)) for k in ("inputs", "recurrent", "bias", "output", "offset")}
     second = {k: np.zeros_like(v) for k, v in first.items()}
-    spots = max(1, len(spans) - batch)
+    spots, room = max(1, len(spans) - batch), Room()
     for step in range(1, steps + 1):
         at = int(rng.integers(0, spots))
         pick = order[at : at + batch]
         raw, sizes = _padded([spans[i] for i in pick])
-        grads = _gradients(net, raw, sizes, np.array([index[labels[i]] for i in pick]))
+        grads = _gradients(net, raw, sizes, np.array([index[labels[i]] for i in pick]), room)
         for k, g in grads.items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
@@ -166,9 +237,9 @@ def readable(text: str | None) -> bytes:
     return re.sub(b" {2,}", b" ", text.lower().encode("utf-8", "replace").translate(_SPACES)).strip()
 
 
-def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
+def pooled(net: Network, texts: list[bytes], room: Room | None = None) -> np.ndarray:
     """The mean of the labels of all bytes of each text (text, language); a text without bytes has zeros."""
-    sums = np.zeros((len(texts), len(net.languages)))
+    sums, room = np.zeros((len(texts), len(net.languages))), Room() if room is None else room
     pieces = ((i, max(0, a - EDGE), a, min(a + STEP, len(t))) for i, t in enumerate(texts) for a in range(0, len(t), STEP))
     while some := list(islice(pieces, 16 * ABREAST)):
         read = [texts[i][low : end + EDGE] for i, low, _, end in some]
@@ -176,17 +247,18 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
         for at in range(0, len(order), ABREAST):
             part = order[at : at + ABREAST]
             raw, sizes = _padded([read[i] for i in part])
-            p, _ = _probabilities(net, raw, sizes)
+            p, _ = _probabilities(net, raw, sizes, room)
             own, low, begin, end = spots[part].T
             place = np.arange(len(raw))[:, None] + low
-            np.add.at(sums, own, np.einsum("tkn,tn->nk", p, ((place >= begin) & (place < end)).astype(np.float32)))
+            p *= ((place >= begin) & (place < end))[:, None]
+            np.add.at(sums, own, p.sum(0).T)
     return sums / np.maximum([len(t) for t in texts], 1)[:, None]
 
 
-def labels_of(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
+def labels_of(net: Network, texts: list[str | None], room: Room | None = None) -> list[tuple[str, float]]:
     """Each text's language and its pooled probability."""
     raw = [readable(t) if net.languages else b"" for t in texts]
-    best = pooled(net, raw) if net.languages else None
+    best = pooled(net, raw, room) if net.languages else None
     return [(net.languages[int(best[i].argmax())], round(min(1.0, float(best[i].max())), 6)) if r else (UNDETERMINED, 0.0) for i, r in enumerate(raw)]
 
 
@@ -195,22 +267,25 @@ def _added(net: Network, labelled: DataFrame) -> tuple[int, dict[str, np.ndarray
     index = {k: i for i, k in enumerate(net.languages)}
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, sums, held = 0, np.zeros(sum(getattr(net, k).size for k in WEIGHTS)), []
+        total, sums, held, room = 0, np.zeros(sum(getattr(net, k).size for k in WEIGHTS)), [], Room()
 
         def teach() -> None:
             nonlocal total
-            raw, sizes = _padded([piece for piece, _ in held])
-            grads = _gradients(net, raw, sizes, np.array([at for _, at in held]))
-            sums[:] += np.concatenate([grads[k].ravel() for k in WEIGHTS]) * float(sizes.sum())
-            total += int(sizes.sum())
+            held.sort(key=lambda one: len(one[0]))
+            for at in range(0, len(held), TAUGHT):
+                part = held[at : at + TAUGHT]
+                raw, sizes = _padded([piece for piece, _ in part])
+                grads = _gradients(net, raw, sizes, np.array([lang for _, lang in part]), room)
+                sums[:] += np.concatenate([grads[k].ravel() for k in WEIGHTS]) * float(sizes.sum())
+                total += int(sizes.sum())
             held.clear()
 
         for batch in batches:
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = readable(text)
-                for a in range(0, len(own), SPAN):
-                    held.append((own[a : a + SPAN], index[lang]))
-                    if len(held) == TAUGHT:
+                for a in range(0, len(own), LESSON):
+                    held.append((own[a : a + LESSON], index[lang]))
+                    if len(held) == 8 * TAUGHT:
                         teach()
         if held:
             teach()
@@ -278,10 +353,11 @@ def label(docs: DataFrame, net: Network, *, text_col: str = "text", lang_col: st
     names, place = [*rows.columns, lang_col, score_col], rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = Room()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = labels_of(net, part.column(place).to_pylist())
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = labels_of(net, part.column(place).to_pylist(), room)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=names)
 
     schema = rows.withColumn(lang_col, F.lit(None).cast("string")).withColumn(score_col, F.lit(None).cast("double")).schema

@@ -453,6 +453,24 @@ def test_language_reads_every_byte_as_a_plain_loop_does(monkeypatch):
         np.testing.assert_allclose(got, total / max(len(text), 1), atol=1e-5)
 
 
+def test_language_reads_few_bytes_twice_and_reuses_memory(monkeypatch):
+    net = language.fit([b"abc de", b"xyz zy"] * 4, ["p", "q"] * 4, width=3, steps=5)
+    read, states = [], language._states
+    monkeypatch.setattr(language, "_states", lambda net, raw, *args: read.append(raw.shape) or states(net, raw, *args))
+    texts, room = [b"some words of a text " * 200] * 500, language.Room()
+    first = language.pooled(net, texts, room)
+    assert sum(t * n for t, n in read) < 1.25 * sum(map(len, texts))
+    # Few and wide steps: a call of numpy is for some thousands of pieces.
+    assert sum(t for t, _ in read) < 2000
+    held = {k: v.ctypes.data for k, v in room.items()}
+    np.testing.assert_array_equal(language.pooled(net, texts, room), first)
+    assert held and {k: v.ctypes.data for k, v in room.items()} == held
+    # Memory that held other pieces changes no gradient.
+    raw, size = language._padded([b"abca", b"xy", b"zb"])
+    used, fresh = (language._gradients(net, raw, size, np.array([0, 1, 1]), r) for r in (room, None))
+    assert all(np.array_equal(used[k], fresh[k]) for k in fresh)
+
+
 def test_license_scan_against_brute_force(spark):
     rng = random.Random(8)
     names = sorted(licenses.TEMPLATES)
