@@ -39,7 +39,7 @@ from .store import bound_batches, trimmed
 STEP, EDGE = 224, 16
 SPAN = STEP + 2 * EDGE
 #: Pieces of texts that are read side by side.
-ABREAST = 2048
+ABREAST = 1280
 #: Parts of the labelled documents, each a step of learning, and how far a step moves a weight.
 PARTS, RATE = 4, 0.003
 #: Documents of a language from which the start is fitted at least, where there are so many.
@@ -103,7 +103,7 @@ def _states(net: Network, raw: np.ndarray, sizes: np.ndarray, room: Room, learni
     scale = np.array([-1, -1, -2], np.float32)[:, None, None, None]
     table, turn = scale * _by_gate(net.inputs), scale * _by_gate(net.recurrent)
     table, bias = table.reshape(3, -1, width), np.repeat(-2 * net.bias[:, None], count, 1)
-    read = np.stack((raw, raw[::-1]), 1) + 256 * np.arange(2)[:, None]
+    ways = 256 * np.arange(2)[:, None]
     out, x, own = room.floats("states", 2, length, count, width), room.floats("x", 3, 2, count, width), room.floats("own", 3, 2, count, width)
     block = room.floats("block", 4, 2, length if learning else 1, count, width)
     h = np.zeros_like(own[0])
@@ -111,8 +111,9 @@ def _states(net: Network, raw: np.ndarray, sizes: np.ndarray, room: Room, learni
         for s in range(length):
             now = block[:, :, s if learning else 0]
             gate, c, pull = now[:2], now[2], now[3]
+            read = np.stack((raw[s], raw[-1 - s])) + ways
             for k in range(3):
-                np.take(table[k], read[s], 0, out=x[k], mode="clip")
+                np.take(table[k], read, 0, out=x[k], mode="clip")
             np.matmul(h, turn, out=own)
             np.add(x[:2], own[:2], out=gate)
             np.exp(gate, out=gate)
@@ -249,8 +250,8 @@ def pooled(net: Network, texts: list[bytes], room: Room | None = None) -> np.nda
             raw, sizes = _padded([read[i] for i in part])
             p, _ = _probabilities(net, raw, sizes, room)
             own, low, begin, end = spots[part].T
-            place = np.arange(len(raw))[:, None] + low
-            p *= ((place >= begin) & (place < end))[:, None]
+            place = np.arange(len(raw), dtype=np.int16)[:, None]
+            p *= ((place >= (begin - low).astype(np.int16)) & (place < (end - low).astype(np.int16)))[:, None]
             np.add.at(sums, own, p.sum(0).T)
     return sums / np.maximum([len(t) for t in texts], 1)[:, None]
 
@@ -355,8 +356,8 @@ def label(docs: DataFrame, net: Network, *, text_col: str = "text", lang_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         room = Room()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 found = labels_of(net, part.column(place).to_pylist(), room)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=names)
 
