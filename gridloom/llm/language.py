@@ -13,7 +13,7 @@ that is not held out, and for every language any of them has:
    hashes of their ids, about `sample_docs` of them but LEAST_DOCS of each language where there are so many, and
    `sample_spans` spans from each, of up to the length that is read at once when labelling.
 2. The documents are dealt into PARTS parts by a hash of their ids.  For each part in turn, tasks add up the gradients of
-   all bytes of all its texts, Spark adds up the tasks', and the weights move by one step of Adam.  So what comes to the
+   all bytes of all its texts, in pieces of LESSON bytes, Spark adds up the tasks', and the weights move by one step of Adam.  So what comes to the
    driver is as large as the network, and the weights don't depend on how rows are dealt to tasks, but for rounding.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where
