@@ -23,7 +23,6 @@ nothing was learned; a null id is never held out; extra columns are not read.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -46,7 +45,8 @@ PARTS, RATE = 4, 0.003
 LEAST_DOCS = 50
 #: Pieces whose gradients are worked out side by side, and bytes of a piece.
 TAUGHT, LESSON = 2048, 128
-_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+#: Steps back whose errors are summed by byte together, while they are in the processor's cache.
+STRIDE = 16
 UNDETERMINED = "und"
 
 
@@ -97,39 +97,40 @@ def _states(net: Network, raw: np.ndarray, sizes: np.ndarray, room: Room, learni
     """Hidden states (way, step, span, width), where backwards the first step is at the last byte; what learning needs stays in room.
 
     Both ways take their steps together, and each gate is one block of memory.  Gates come from exponentials,
-    1 / (1 + e^-v) and 2 / (1 + e^-2v) - 1, which numpy works out faster than tanh.
+    1 / (1 + e^-v) and 2 / (1 + e^-2v) - 1, which numpy works out faster than tanh.  Where nothing is learned
+    from the gates, what they weigh is divided by 1 + e^-v instead.
     """
     (length, count), width, shortest = raw.shape, net.recurrent.shape[1], int(sizes.min())
     scale = np.array([-1, -1, -2], np.float32)[:, None, None, None]
     table, turn = scale * _by_gate(net.inputs), scale * _by_gate(net.recurrent)
     table, bias = table.reshape(3, -1, width), np.repeat(-2 * net.bias[:, None], count, 1)
-    ways = 256 * np.arange(2)[:, None]
+    read = np.add(np.stack((raw, raw[::-1]), 1), 256 * np.arange(2)[:, None], dtype=np.intp)
     out, x, own = room.floats("states", 2, length, count, width), room.floats("x", 3, 2, count, width), room.floats("own", 3, 2, count, width)
     block = room.floats("block", 4, 2, length if learning else 1, count, width)
-    h = np.zeros_like(own[0])
+    h, weigh = np.zeros_like(own[0]), np.multiply if learning else np.divide
     with np.errstate(over="ignore"):
         for s in range(length):
             now = block[:, :, s if learning else 0]
             gate, c, pull = now[:2], now[2], now[3]
-            read = np.stack((raw[s], raw[-1 - s])) + ways
             for k in range(3):
-                np.take(table[k], read, 0, out=x[k], mode="clip")
+                np.take(table[k], read[s], 0, out=x[k], mode="clip")
             np.matmul(h, turn, out=own)
             np.add(x[:2], own[:2], out=gate)
             np.exp(gate, out=gate)
             gate += 1
-            np.divide(1, gate, out=gate)
-            own[2] += bias
-            np.multiply(gate[1], own[2], out=pull)
+            if learning:
+                np.divide(1, gate, out=gate)
+            last = own[2]
+            last += bias
+            weigh(last, gate[1], out=pull)
             np.add(pull, x[2], out=c)
             np.exp(c, out=c)
             c += 1
             np.divide(2, c, out=c)
             c -= 1
-            np.subtract(h, c, out=out[:, s])
-            h = out[:, s]
-            h *= gate[0]
-            h += c
+            np.subtract(h, c, out=last)
+            weigh(last, gate[0], out=last)
+            h = np.add(last, c, out=out[:, s])
             # Backwards, what fills up a span comes before it.
             if length - 1 - s >= shortest:
                 h[1, sizes <= length - 1 - s] = 0
@@ -138,14 +139,16 @@ def _states(net: Network, raw: np.ndarray, sizes: np.ndarray, room: Room, learni
 
 def _probabilities(net: Network, raw: np.ndarray, sizes: np.ndarray, room: Room | None = None, learning: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities (time, language, span), and the states they come from."""
-    states = _states(net, raw, sizes, Room() if room is None else room, learning)
-    width = states.shape[3]
-    p = net.output[:width].T @ states[0].transpose(0, 2, 1)
-    p += net.output[width:].T @ states[1, ::-1].transpose(0, 2, 1)
+    room = Room() if room is None else room
+    states = _states(net, raw, sizes, room, learning)
+    (_, length, count, width), langs = states.shape, len(net.languages)
+    p, back, one = room.floats("p", length, langs, count), room.floats("back", length, langs, count), room.floats("one", length, 1, count)
+    np.matmul(net.output[:width].T, states[0].transpose(0, 2, 1), out=p)
+    p += np.matmul(net.output[width:].T, states[1, ::-1].transpose(0, 2, 1), out=back)
     p += net.offset[:, None]
-    p -= p.max(1, keepdims=True)
+    p -= np.max(p, 1, keepdims=True, out=one)
     np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
+    p /= np.sum(p, 1, keepdims=True, out=one)
     return p, states
 
 
@@ -158,49 +161,50 @@ def _gradients(net: Network, raw: np.ndarray, sizes: np.ndarray, label: np.ndarr
     wrong -= np.eye(len(net.languages), dtype=np.float32)[label].T
     wrong *= ((np.arange(length)[:, None] < sizes) / np.float32(sizes.sum()))[:, None]
     offset = wrong.sum((0, 2))
-    ends, to_state = [], room.floats("to_state", 2, length, count, width)
-    for way, (own, error) in enumerate(((net.output[:width], wrong), (net.output[width:], wrong[::-1]))):
-        np.matmul(error.transpose(0, 2, 1), own.T, out=to_state[way])
-        ends.append((error @ states[way]).sum(0).T)
+    # From errors of labels, both ways in their order of steps, to those of states.
+    errors, own = (wrong, wrong[::-1]), np.ascontiguousarray(net.output.reshape(2, width, -1).transpose(0, 2, 1))
+    ends = [(errors[way] @ states[way]).sum(0).T for way in (0, 1)]
     # The second gate's errors are carried as twice what they are.
     half = np.array([1, 0.5, 1], np.float32)[:, None, None, None]
     back = np.ascontiguousarray((half * _by_gate(net.recurrent)).transpose(0, 1, 3, 2))
     left, more, carry = room.floats("left", 2, count, width), room.floats("more", 2, count, width), np.zeros((2, count, width), np.float32)
-    # Errors take the place of what they come from: dz, dr, dc, and dc * r for the recurrent part.
+    ones, recurrent, inputs = np.ones(length * count, np.float32), np.zeros_like(back), np.zeros((3, 2, 256, width), np.float32)
+    rows = lambda block: block.reshape(-1, width)
+    # Errors take the place of what they come from: dz, dc * r for the recurrent part, dc, and dr.
     for s in reversed(range(length)):
         z, r, c, pull = block[:, :, s]
-        carry += to_state[:, s]
+        for way in (0, 1):
+            np.matmul(errors[way][s].T, own[way], out=more[way])
+        carry += more
         if length - 1 - s >= shortest:
             carry[1, sizes <= length - 1 - s] = 0
-        np.subtract(1, z, out=left)
-        left *= carry
-        carry *= z
-        np.subtract(states[:, s - 1] if s else 0, c, out=more)
-        more *= left
-        z *= more
+        np.multiply(carry, z, out=more)
+        np.subtract(carry, more, out=left)
+        carry, more = more, carry
+        # The state less the candidate is the gate times what the state before was off it.
+        np.subtract(states[:, s], c, out=z)
+        z *= left
         np.multiply(c, c, out=more)
         np.subtract(1, more, out=more)
         np.multiply(more, left, out=c)
-        np.subtract(r, 1, out=left)
-        left *= pull
-        np.multiply(c, r, out=pull)
-        np.multiply(c, left, out=r)
-        for error, own in ((z, back[0]), (r, back[1]), (pull, back[2])):
-            np.matmul(error, own, out=more)
+        r *= c
+        np.subtract(r, c, out=left)
+        pull *= left
+        for error, turn in ((z, back[0]), (pull, back[1]), (r, back[2])):
+            np.matmul(error, turn, out=more)
             carry += more
-    ones, recurrent, inputs = np.ones(length * count, np.float32), np.zeros_like(back), np.zeros((3, 2, 256, width), np.float32)
-    rows = lambda block: block.reshape(-1, width)
-    order, runs = np.argsort(raw, axis=None, kind="stable"), np.cumsum(np.bincount(raw.ravel(), minlength=256))
-    runs = [(value, a, b) for value, (a, b) in enumerate(zip([0, *runs[:-1]], runs, strict=True)) if a < b]
-    for way in (0, 1):
-        if way == 1:
-            order += (length - 1) * count - 2 * (order - order % count)
-        for k in range(3):
-            recurrent[k, way] = rows(states[way, :-1]).T @ rows(block[k if k < 2 else 3, way, 1:])
-            sorted_rows = np.take(rows(block[k, way]), order, 0, out=room.floats("sorted", len(order), width), mode="clip")
-            for value, a, b in runs:
-                inputs[k, way, value] = ones[: b - a] @ sorted_rows[a:b]
-    bias = np.stack([ones @ rows(errors) for errors in block[3]])
+        if s % STRIDE == 0:
+            steps, first = slice(s, min(s + STRIDE, length)), max(s, 1)
+            for way, read in enumerate((raw, raw[::-1])):
+                order, runs = np.argsort(read[steps], axis=None, kind="stable"), np.cumsum(np.bincount(read[steps].ravel(), minlength=256))
+                into = room.floats("sorted", 3, len(order), width)
+                for k, (own_input, own_state) in enumerate(((block[0], block[0]), (block[3], block[3]), (block[2], block[1]))):
+                    np.take(rows(own_input[way, steps]), order, 0, out=into[k], mode="clip")
+                    recurrent[k, way] += rows(states[way, first - 1 : steps.stop - 1]).T @ rows(own_state[way, first : steps.stop])
+                for value, (a, b) in enumerate(zip([0, *runs[:-1]], runs, strict=True)):
+                    if a < b:
+                        inputs[:, way, value] += ones[: b - a] @ into[:, a:b]
+    bias = np.stack([ones @ rows(errors) for errors in block[1]])
     flat = lambda g: (half * g).transpose(1, 2, 0, 3).reshape(2, -1, 3 * width)
     return {"output": np.concatenate(ends), "offset": offset, "inputs": flat(inputs), "recurrent": flat(recurrent), "bias": bias}
 
@@ -235,7 +239,7 @@ def readable(text: str | None) -> bytes:
     """What the network reads of a text: nothing if it is null or has no letter."""
     if text is None or not any(map(str.isalpha, text)):
         return b""
-    return re.sub(b" {2,}", b" ", text.lower().encode("utf-8", "replace").translate(_SPACES)).strip()
+    return b" ".join(text.lower().encode("utf-8", "replace").split())
 
 
 def pooled(net: Network, texts: list[bytes], room: Room | None = None) -> np.ndarray:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -471,6 +472,23 @@ def test_language_reads_few_bytes_twice_and_reuses_memory(monkeypatch):
     assert all(np.array_equal(used[k], fresh[k]) for k in fresh)
 
 
+def test_language_takes_no_fresh_memory_and_sums_errors_in_small_blocks():
+    net = language.fit([b"abc de", b"xyz zy"] * 4, ["p", "q"] * 4, width=3, steps=5)
+    rng, room = np.random.default_rng(3), language.Room()
+    raw, sizes = rng.integers(97, 123, (100, 400)).astype(np.uint8), rng.integers(50, 101, 400)
+    label = rng.integers(0, 2, 400)
+    for work in (lambda: language._probabilities(net, raw, sizes, room), lambda: language._gradients(net, raw, sizes, label, room)):
+        work()
+        tracemalloc.start()
+        work()
+        fresh = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # Less than the states alone take.
+        assert fresh < room["states"].nbytes
+    assert room["sorted"].size < raw.size * 3
+    assert language.readable(" Ab\t\n c\x0b\x0c\r  d\x1c\u00a0E ") == b"ab c d\x1c\xc2\xa0e"
+
+
 def test_license_scan_against_brute_force(spark):
     rng = random.Random(8)
     names = sorted(licenses.TEMPLATES)
