@@ -47,6 +47,7 @@ LEAST_DOCS = 50
 TAUGHT, LESSON = 2048, 128
 #: Steps back whose errors are summed by byte together, while they are in the processor's cache.
 STRIDE = 16
+_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 UNDETERMINED = "und"
 
 
@@ -239,7 +240,10 @@ def readable(text: str | None) -> bytes:
     """What the network reads of a text: nothing if it is null or has no letter."""
     if text is None or not any(map(str.isalpha, text)):
         return b""
-    return b" ".join(text.lower().encode("utf-8", "replace").split())
+    raw = text.lower().encode("utf-8", "replace").translate(_SPACES)
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    return raw.strip()
 
 
 def pooled(net: Network, texts: list[bytes], room: Room | None = None) -> np.ndarray:
