@@ -5,10 +5,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators.gather import parted
+from gridloom import queries
+from gridloom.operators.gather import ZONE, parted, spread
 from gridloom.operators.reproject import split_targets, target_indices
 from gridloom.plans.crs import CRS, project_bounds
 from gridloom.plans.grid import GridMapping
+from gridloom.sources.frame import GridFrame
 
 ROTATED = CRS.from_any({"grid_mapping_name": "rotated_latitude_longitude", "grid_north_pole_latitude": 39.25, "grid_north_pole_longitude": -162.0})
 VIEW = CRS.from_any({"grid_mapping_name": "geostationary", "longitude_of_projection_origin": 0.0, "perspective_point_height": 35785831.0, "semi_major_axis": 6378137.0, "semi_minor_axis": 6356752.31414, "sweep_angle_axis": "y"})
@@ -51,3 +53,28 @@ def test_pixels_worked_out_grow_with_the_source(spark):
         assert parted(some, *grid.size, "ceil")[0].count() > 64 * 1400 * n
         counts.append(some.count())
     assert counts[1] < 2.2 * counts[0] and counts[2] < 2.2 * counts[1]
+
+
+def test_wide_rows_are_filled_zone_by_zone(spark):
+    """The numbers of columns in a stretch of a file's rows are those of one zone, however wide the target is."""
+    width, height = 2 * ZONE + 5, 6
+    pixels = spark.createDataFrame([(1, 0, 1.0), (1, ZONE - 1, 2.0), (1, ZONE, 3.0), (4, width - 1, 4.0), (5, 7, 5.0)], "j long, i long, v double")
+    frame = GridFrame.from_dataframe(pixels, GridMapping.regular((64, 64), (0, 0), 1, "EPSG:3857"))
+    df = spread(frame, frame.df, (width, height), {"v": -1.0})
+    assert df.count() == df.select("j", "i").distinct().count() == width * height
+    assert sorted(tuple(r) for r in df.where("v <> -1").collect()) == sorted(tuple(r) for r in pixels.collect())
+    placed = df.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("k"), F.expr(f"i div {ZONE}").alias("zone"))
+    ends = placed.groupBy("p", "zone").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n"))
+    assert ends.where("b - a + 1 <> n").count() == 0
+
+
+def test_targets_in_degrees_beyond_the_pole(spark):
+    """Degrees of long targets count as a plane's, with the same values."""
+    assert queries._degrees(600_000).size == (66_866, 630_080) and not queries._degrees(600_000).crs.is_geographic
+    assert queries._degrees(100_000).crs.is_geographic
+    h = 60
+    frame = GridFrame.from_dataframe(spark.range(h * 64).selectExpr("id div 64 AS j", "id % 64 AS i", "sin(id) AS v"), GridMapping.regular((64, h), (0, 0), 1, queries.PLANE))
+    degrees = queries._degrees(h)
+    plane = GridMapping.regular(degrees.size, (degrees.x_min, degrees.y_min), degrees.xy_res, queries.PLANE)
+    one, other = (queries._rectified_utm(frame, queries._pixels(spark, h, queries.UTM_X, queries.UTM_Y), t).df.select("j", "i", F.round("v", 6).alias("v")) for t in (degrees, plane))
+    assert one.where("NOT isnan(v)").count() > 1000 and one.exceptAll(other).count() == other.exceptAll(one).count() == 0
